@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from ridgeplan.llm import binary_output, decontaminate, packing, secrets, token_counts
+from ridgeplan.llm import binary_output, decontaminate, packing, quality, secrets, token_counts, toxicity, vector_search
 
 QUERIES = {
+    "op2_quality": quality.op2_quality,
+    "op4_top_k": vector_search.op4_top_k,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_packing": packing.op6_packing,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_token_files": binary_output.op8_token_files,
     "op9_secrets": secrets.op9_secrets,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
-ORACLE_SQL = dict(decontaminate.ORACLE_SQL)
+ORACLE_SQL = {**vector_search.ORACLE_SQL, **decontaminate.ORACLE_SQL}
