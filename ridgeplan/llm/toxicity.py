@@ -51,6 +51,12 @@ def hashed(data: np.ndarray) -> Iterator[np.ndarray]:
                 yield ((gram + np.uint64(n << 56)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def distinct(a: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (a plain sort is several times faster here than np.unique)."""
+    a = np.sort(a)
+    return a[np.append(True, a[1:] != a[:-1])] if len(a) else a
+
+
 def present(texts: list[str | None], chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(document, feature) pairs without repeats; ``chosen`` maps features to columns (-1: none)."""
     docs, features = [], []
@@ -69,8 +75,8 @@ def present(texts: list[str | None], chosen: np.ndarray | None = None) -> tuple[
                 place = np.nonzero(feature >= 0)[0]
                 feature = feature[place]
             doc = np.searchsorted(ends, place, side="right")
-            pairs.append(np.unique((doc << BITS) | feature))
-        got = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
+            pairs.append((doc << BITS) | feature)
+        got = distinct(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
         docs.append((got >> BITS) + low)
         features.append(got & ((1 << BITS) - 1))
         low = high
