@@ -76,3 +76,38 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
 def utf8(text: str) -> bytes:
     """UTF-8 bytes of a text as Arrow gave it."""
     return text.encode("utf-8", "surrogatepass")
+
+
+def runs(batches, *keys: str):
+    """Rows of sorted Arrow batches as one pyarrow Table per run of equal keys (across batches)."""
+    import pyarrow as pa
+
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+        cuts = [0, *change.tolist(), batch.num_rows]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            now = tuple(c[low] for c in columns)
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(low, high - low))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+#: Rows of a table of a few longs that may be broadcast (about 10 MB when it is hashed).
+BROADCAST_ROWS = 150_000
+
+
+def join_checked(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Join a materialised table of few columns: broadcast if its counted rows are few.
+
+    Beyond ``BROADCAST_ROWS`` both sides are exchanged on the key, and adaptive execution
+    splits what a hot key makes large.
+    """
+    return left.join(F.broadcast(right) if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else right.hint("merge"), on, how)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ridgeplan.llm import binary_output, decontaminate, packing, quality, secrets, token_counts, toxicity, vector_search
+from ridgeplan.llm import binary_output, decontaminate, jaccard, packing, quality, secrets, token_counts, toxicity, vector_search
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
+    "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_top_k": vector_search.op4_top_k,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_packing": packing.op6_packing,
@@ -14,4 +15,4 @@ QUERIES = {
     "op9_secrets": secrets.op9_secrets,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
-ORACLE_SQL = {**vector_search.ORACLE_SQL, **decontaminate.ORACLE_SQL}
+ORACLE_SQL = {**jaccard.ORACLE_SQL, **vector_search.ORACLE_SQL, **decontaminate.ORACLE_SQL}
