@@ -123,14 +123,16 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, id_col: s
     The manifest (path, first_doc, n_docs, n_tokens, start) is one row per file in
     ascending order of documents; ``start`` counts the ids in all files before it.
     Null text: empty (its document is the end id alone).  A null id sorts first.
-    Repeated ids stay as rows of their own, ordered by text.  Empty input: no files.
+    Repeated ids stay as rows of their own, ordered by a hash of the text.  Empty input: no files.
     ``folder`` must be reachable from every executor.  A partition's files end at about
     ``shard_bytes`` of compressed frames.
     """
     spark = docs.sparkSession
     rows = id_and_text(docs, id_col, text_col)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
-    ordered = rows.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # the range keys are longs: Spark samples them to the driver, and equal ids still spread
+    keyed = rows.withColumn("text_hash", F.xxhash64("text")).withColumn("row_no", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange(n, "doc_id", "text_hash", "row_no").sortWithinPartitions("doc_id", "text_hash", "row_no").select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, end = encoder(tokenizer).ids, np.array([end_id], "<u4")
