@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ridgeplan.llm import binary_output, decontaminate, jaccard, packing, quality, secrets, token_counts, toxicity, vector_search
+from ridgeplan.llm import binary_output, decontaminate, jaccard, packing, quality, secrets, substring_dedup, token_counts, toxicity, vector_search
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_quality": quality.op2_quality,
     "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_top_k": vector_search.op4_top_k,
@@ -15,4 +16,4 @@ QUERIES = {
     "op9_secrets": secrets.op9_secrets,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
-ORACLE_SQL = {**jaccard.ORACLE_SQL, **vector_search.ORACLE_SQL, **decontaminate.ORACLE_SQL}
+ORACLE_SQL = {**substring_dedup.ORACLE_SQL, **jaccard.ORACLE_SQL, **vector_search.ORACLE_SQL, **decontaminate.ORACLE_SQL}
