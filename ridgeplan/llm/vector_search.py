@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCALE, BLOCK, CHUNK = 256, 4096, 1024
+#: Share of a block that survives from which the next level is computed for the whole block.
+DENSE = 0.02
 BEST = "query_id long, vec_id long, score long"
 
 
@@ -36,6 +38,12 @@ def quantised(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     A row is not usable if it is null, or has a null or non-finite component.  Shorter
     vectors are filled with zeros, which changes no inner product.
     """
+    if len(vectors) and not vectors.null_count:
+        flat, sizes = vectors.flatten(), vectors.value_lengths().to_numpy()
+        if not flat.null_count and sizes.min() == sizes.max() > 0:
+            x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+            good = np.flatnonzero(np.isfinite(x).all(axis=1))
+            return good, np.floor(x[good] * SCALE)
     rows, good = [], []
     for k, v in enumerate(vectors.to_pylist()):
         if v is not None and None not in v:
@@ -69,10 +77,14 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([means, devs], axis=1)
 
 
+def largest_sum(q: np.ndarray, x: np.ndarray) -> float:
+    """Above every absolute inner product and partial sum of two blocks."""
+    return float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
+
+
 def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Row-wise integer inner products; beyond the range of a long they stay at its ends."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
-    if most < 2**53:
+    if largest_sum(q, x) < 2**53:
         return np.einsum("ij,ij->i", q, x).astype(np.int64)
     sums = [sum(int(a) * int(b) for a, b in zip(r, s, strict=True)) for r, s in zip(q, x, strict=True)]
     return np.array([min(max(v, -(2**63)), 2**63 - 1) for v in sums], np.int64)
@@ -96,21 +108,33 @@ class TopK:
         if q.shape[1] != self.q.shape[1] or not self.heads[0].shape[1]:
             self.q, self.heads = q, [statistics(q, s) for s in self.levels]
         floor = np.where(self.found >= self.k, self.score[:, -1], -np.inf).astype(np.float64)
-        tails = [statistics(x, s) for s in self.levels]
-        bound = self.heads[0] @ tails[0].T
         slack = 1e-6 * (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :] + 1)
-        i, j = np.nonzero(bound + slack >= floor[:, None])
-        for head, tail in zip(self.heads[1:], tails[1:], strict=True):
-            keep = np.einsum("ij,ij->i", head[i], tail[j]) + slack[i, j] >= floor[i]
-            i, j = i[keep], j[keep]
-        own = self.ids[i] != vec_ids[j]
-        i, j = i[own], j[own]
+        alive = self.ids[:, None] != vec_ids[None, :]
+        for head, segments in zip(self.heads, self.levels, strict=True):
+            tail = statistics(x, segments)
+            if alive.mean() > DENSE:
+                alive &= head @ tail.T + slack >= floor[:, None]
+            else:
+                i, j = np.nonzero(alive)
+                drop = np.einsum("ij,ij->i", head[i], tail[j]) + slack[i, j] < floor[i]
+                alive[i[drop], j[drop]] = False
+        self.tested += int(alive.sum())
+        if alive.mean() > DENSE and largest_sum(q, x) < 2**53:  # whole block: the products are exact in float64
+            scores = np.where(alive, q @ x.T, -np.inf)
+            if scores.shape[1] > self.k:
+                floor = np.maximum(floor, -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1])
+            i, j = np.nonzero(alive & (scores >= floor[:, None]))
+            scores = scores[i, j].astype(np.int64)
+        else:
+            i, j = np.nonzero(alive)
+            if not len(i):
+                return
+            scores = np.concatenate([exact(q[i[a : a + 65536]], x[j[a : a + 65536]]) for a in range(0, len(i), 65536)])
+            keep = scores >= floor[i]
+            i, j, scores = i[keep], j[keep], scores[keep]
         if not len(i):
             return
-        self.tested += len(i)
-        scores = np.concatenate([exact(q[i[a : a + 65536]], x[j[a : a + 65536]]) for a in range(0, len(i), 65536)])
-        keep = scores >= floor[i]
-        i, scores, vecs = i[keep], scores[keep], vec_ids[j[keep]]
+        vecs = vec_ids[j]
         rows = np.unique(i)
         held = np.arange(self.k)[None, :] < self.found[rows, None]
         at = np.concatenate([np.broadcast_to(rows[:, None], held.shape)[held], i])
@@ -129,7 +153,7 @@ class TopK:
         return pa.RecordBatch.from_arrays([pa.array(x[held], pa.int64()) for x in (ids, self.vec, self.score)], ["query_id", "vec_id", "score"])
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 5, *, id_col: str = "vec_id", vector_col: str = "embedding", levels: tuple[int, ...] = (4, 16), block: int = BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, queries: Column, k: int = 5, *, id_col: str = "vec_id", vector_col: str = "embedding", levels: tuple[int, ...] = (8, 32), block: int = BLOCK) -> DataFrame:
     """The k best rows by inner product for every row where ``queries`` (on ``id_col``) holds.
 
     query_id, rank (from 1), vec_id, score; ties to the smaller id; a row is never its own
