@@ -1,0 +1 @@
+"""No streaming operators: planning is a batch computation, and nothing is invented here."""
