@@ -14,8 +14,9 @@ a segment compared within one deletion is two, at least one must agree.
 * Buckets without an asking row are dropped.  The other buckets give candidate pairs with
   the bucket's first set; equal subsets inside a task are combined before the exchange.
 * Candidates are verified exactly on the whole texts.  Verified links make components.
-  A bucket whose sets are not all in one component then also gives its pairs between
-  different components, so no link between different components is lost.
+  In a bucket whose sets are not all in one component, pairs between components come
+  next: first just as many as could join them, then, with the components that those
+  made, all that are left, so no link between different components is lost.
 
 Sets are the nodes: documents with equal sets are one node from the start, however
 many they are, and never pairs.
@@ -260,8 +261,32 @@ def parity(found: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
-def candidate_tiles(tiles: Iterator[pa.Table], t: Threshold) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in each tile that size and parity do not rule out."""
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Positions of the edges (a, b) that join different trees, in order."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    kept, trees = [], len(np.unique(np.concatenate([a, b]))) if len(a) else 0
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            kept.append(k)
+            if len(kept) == trees - 1:
+                break
+    return np.array(kept, np.int64)
+
+
+def candidate_tiles(tiles: Iterator[pa.Table], t: Threshold, trees_only: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components in each tile that size and parity do not rule out.
+
+    ``trees_only``: just enough of them to join all components that they could join.
+    """
     for tile in tiles:
         node, comp, n, side = (tile.column(c).to_numpy() for c in ("node", "component", "n", "side"))
         bits = np.frombuffer(b"".join(tile.column("parity").to_pylist()), U64).reshape(-1, PARITY_WORDS)
@@ -272,6 +297,9 @@ def candidate_tiles(tiles: Iterator[pa.Table], t: Threshold) -> Iterator[pa.Reco
         for w in range(PARITY_WORDS):
             differ += np.bitwise_count(bits[left, w][:, None] ^ bits[right, w][None, :])
         i, j = np.nonzero(open_ & (differ <= most))
+        if trees_only:
+            kept = forest(comp[left[i]], comp[right[j]])
+            i, j = i[kept], j[kept]
         a, b = node[left[i]], node[right[j]]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -346,7 +374,7 @@ class JaccardJoin:
         both = pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").select("a", "b", "text_a", "text_b")
         return materialize(both.mapInArrow(test, "a long, b long"), "links")
 
-    def open_pairs(self, members: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
+    def open_pairs(self, members: DataFrame, comps: DataFrame, texts: DataFrame, trees_only: bool) -> DataFrame:
         """Pairs of different components in buckets that hold several components."""
         t, tile = self.t, self.tile
         placed = materialize(join_checked(members, comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "members")
@@ -359,7 +387,7 @@ class JaccardJoin:
             F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"),
             F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "node", "component", "n", "parity",
         )
-        pairs = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda batches: candidate_tiles(runs(batches, "tile"), t), "a long, b long")
+        pairs = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda batches: candidate_tiles(runs(batches, "tile"), t, trees_only), "a long, b long")
         return pairs.filter("a < b").distinct()
 
     def components(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -377,10 +405,11 @@ class JaccardJoin:
         texts = self.texts(docs, found, nodes)
         links = self.verified(pairs, texts)
         comps = components(links)
-        again = materialize(self.open_pairs(members, comps, texts).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        if again.limit(1).count():
-            more = self.verified(again, texts)
-            comps = components(links.unionByName(more))
+        for trees_only in (True, False):  # first as few pairs as may do, then all that are still open
+            again = materialize(self.open_pairs(members, comps, texts, trees_only).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+            if again.limit(1).count():
+                links, pairs = links.unionByName(self.verified(again, texts)), pairs.unionByName(again)
+                comps = components(links)
         rows = found.filter(F.col("kind") == DOC).select(F.col("x").alias("doc_id"), F.col("y").alias("node"), F.col("z").alias("n_shingles"))
         placed = materialize(join_checked(rows, comps, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("component")), "placed")
         first = materialize(placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("first")), "first")
@@ -413,7 +442,8 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = {
     "op3_jaccard_join": r"""
-WITH RECURSIVE d AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+') IF x <> ''] AS w FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+') IF x <> ''] AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 3], ' ') AS g FROM d, LATERAL (SELECT unnest(generate_series(1, greatest(1, len(w) - 3))) AS k) WHERE len(w) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
