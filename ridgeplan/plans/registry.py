@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ridgeplan.plans import relational, visibility
+from ridgeplan.plans import design, graphs, relational, visibility
 
-QUERIES = {**relational.QUERIES, **visibility.QUERIES}
-ORACLE = {**relational.ORACLE, **visibility.ORACLE}
+QUERIES = {**relational.QUERIES, **visibility.QUERIES, **graphs.QUERIES, **design.QUERIES}
+ORACLE = {**relational.ORACLE, **visibility.ORACLE, **graphs.ORACLE, **design.ORACLE}
