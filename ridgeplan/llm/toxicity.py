@@ -31,15 +31,29 @@ MAX_ROWS, N_FEATURES = 20_000, 4096
 SCORES = "doc_id long, score double"
 
 
-def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of the lower-cased texts with zeros between them, and the end of each text."""
-    parts = [utf8((t or "").lower()) for t in texts]
-    ends = np.cumsum(np.fromiter((len(p) + len(PAD) for p in parts), np.int64, len(parts)))
-    return np.frombuffer(PAD.join([*parts, b""]), np.uint8), ends
-
-
-def hashed(data: np.ndarray) -> Iterator[np.ndarray]:
-    """Feature of the n-gram at each place, for each size; padding keeps texts apart."""
+#: Bytes that are hashed at a time; longer texts are cut into overlapping pieces of that size.
+PIECE = 1 << 20
+
+
+def pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Lower-cased bytes of the texts with the place of their text, about ``PIECE`` bytes at a time."""
+    owners, parts, size, overlap = [], [], 0, max(SIZES) - 1
+    for k, text in enumerate(texts):
+        data = utf8((text or "").lower())
+        for low in range(0, max(1, len(data)), PIECE):
+            part = data[low : low + PIECE + overlap]
+            if parts and size + len(part) > PIECE:
+                yield owners, parts
+                owners, parts, size = [], [], 0
+            owners.append(k)
+            parts.append(part)
+            size += len(part)
+    if parts:
+        yield owners, parts
+
+
+def hashed(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each size the feature of the n-gram at each place."""
     wide, gram = data.astype(np.uint64), None
     for n in range(1, max(SIZES) + 1):
         m = len(wide) - n + 1
@@ -48,7 +62,7 @@ def hashed(data: np.ndarray) -> Iterator[np.ndarray]:
         gram = wide.copy() if gram is None else (gram[:m] << np.uint64(8)) | wide[n - 1 :]
         if n in SIZES:
             with np.errstate(over="ignore"):
-                yield ((gram + np.uint64(n << 56)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int64)
+                yield n, ((gram + np.uint64(n << 56)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def distinct(a: np.ndarray) -> np.ndarray:
@@ -59,29 +73,22 @@ def distinct(a: np.ndarray) -> np.ndarray:
 
 def present(texts: list[str | None], chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(document, feature) pairs without repeats; ``chosen`` maps features to columns (-1: none)."""
-    docs, features = [], []
-    budget, low = 1 << 21, 0
-    while low < len(texts):  # a few MB of text at a time
-        high, size = low, 0
-        while high < len(texts) and (high == low or size < budget):
-            size += len(texts[high] or "")
-            high += 1
-        data, ends = joined(texts[low:high])
-        pairs = []
-        for feature in hashed(data):
+    found = [np.empty(0, np.int64)]
+    for owners, parts in pieces(texts):
+        ends = np.cumsum(np.fromiter((len(p) + len(PAD) for p in parts), np.int64, len(parts)))
+        owner, pairs = np.array(owners), []
+        for n, feature in hashed(np.frombuffer(PAD.join([*parts, b""]), np.uint8)):
             place = np.arange(len(feature))
             if chosen is not None:
                 feature = chosen[feature]
-                place = np.nonzero(feature >= 0)[0]
+                place = np.flatnonzero(feature >= 0)
                 feature = feature[place]
-            doc = np.searchsorted(ends, place, side="right")
-            pairs.append((doc << BITS) | feature)
-        got = distinct(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
-        docs.append((got >> BITS) + low)
-        features.append(got & ((1 << BITS) - 1))
-        low = high
-    empty = np.empty(0, np.int64)
-    return np.concatenate([*docs, empty]), np.concatenate([*features, empty])
+            at = np.searchsorted(ends, place, side="right")
+            inside = place + n <= ends[at] - len(PAD)  # n-grams of one text only
+            pairs.append((owner[at[inside]] << BITS) | feature[inside])
+        found.append(distinct(np.concatenate(pairs)) if pairs else found[0])
+    got = distinct(np.concatenate(found)) if len(found) > 2 else found[-1]
+    return got >> BITS, got & ((1 << BITS) - 1)
 
 
 def minimise(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, rounds: int = 60, memory: int = 8) -> np.ndarray:
@@ -175,10 +182,11 @@ def train(docs: DataFrame, labels: DataFrame, *, target: str = "toxic", max_rows
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((2, 1 << BITS), np.int64)
         for batch in batches:
-            y = batch.column(1).to_numpy()
-            doc, feature = present(batch.column(0).to_pylist())
-            for c in (0, 1):
-                totals[c] += np.bincount(feature[y[doc] == c], minlength=1 << BITS)
+            y, texts = batch.column(1).to_numpy(), batch.column(0).to_pylist()
+            for low in range(0, len(texts), 64):  # all features of a few texts at a time
+                doc, feature = present(texts[low : low + 64])
+                for c in (0, 1):
+                    totals[c] += np.bincount(feature[y[low + doc] == c], minlength=1 << BITS)
         seen = np.nonzero(totals.sum(axis=0) >= 2)[0]
         for low in range(0, len(seen), 1 << 16):
             part = seen[low : low + (1 << 16)]
