@@ -98,16 +98,3 @@ def runs(batches, *keys: str):
             last = now
     if held:
         yield pa.Table.from_batches(held)
-
-
-#: Rows of a table of a few longs that may be broadcast (about 10 MB when it is hashed).
-BROADCAST_ROWS = 150_000
-
-
-def join_checked(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
-    """Join a materialised table of few columns: broadcast if its counted rows are few.
-
-    Beyond ``BROADCAST_ROWS`` both sides are exchanged on the key, and adaptive execution
-    splits what a hot key makes large.
-    """
-    return left.join(F.broadcast(right) if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else right.hint("merge"), on, how)

@@ -34,8 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeplan.llm.common import MIX_A, MIX_B, U64, id_and_text, join_checked, mix, runs, utf8, window_hashes, word_hashes
-from ridgeplan.llm.components import components
+from ridgeplan.llm.common import MIX_A, MIX_B, U64, id_and_text, mix, runs, utf8, window_hashes, word_hashes
+from ridgeplan.operators.graph import connected_components, join_counted
 from ridgeplan.runtime import materialize
 
 #: Words of text that a task gathers before it combines equal subsets.
@@ -293,7 +293,7 @@ def candidate_tiles(tiles: Iterator[pa.Table], t: Threshold, trees_only: bool) -
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         most = (t.den - t.num) * (n[left][:, None] + n[right][None, :]) // (t.den + t.num)
         open_ = (comp[left][:, None] != comp[right][None, :]) & (t.den * np.minimum(n[left][:, None], n[right][None, :]) >= t.num * np.maximum(n[left][:, None], n[right][None, :]))
-        differ = np.zeros(open_.shape, np.int64)
+        differ = np.zeros(open_.shape, np.uint16)
         for w in range(PARITY_WORDS):
             differ += np.bitwise_count(bits[left, w][:, None] ^ bits[right, w][None, :])
         i, j = np.nonzero(open_ & (differ <= most))
@@ -308,7 +308,7 @@ def candidate_tiles(tiles: Iterator[pa.Table], t: Threshold, trees_only: bool) -
 class JaccardJoin:
     """Links between documents whose shingle sets have a Jaccard similarity of num / den or more."""
 
-    def __init__(self, size: int = 4, num: int = 85, den: int = 100, chunk_words: int = CHUNK_WORDS, tile: int = 512) -> None:
+    def __init__(self, size: int = 4, num: int = 85, den: int = 100, chunk_words: int = CHUNK_WORDS, tile: int = 2048) -> None:
         self.size, self.t, self.chunk_words, self.tile = size, Threshold(num, den), chunk_words, tile
 
     def found(self, docs: DataFrame) -> DataFrame:
@@ -342,7 +342,7 @@ class JaccardJoin:
         """One text for each node that has a candidate."""
         size = self.size
         rows = found.filter(F.col("kind") == DOC).select(F.col("x").alias("doc_id"), F.col("y").alias("node"))
-        wanted = materialize(join_checked(rows, nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "wanted")
+        wanted = materialize(join_counted(rows, nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "wanted")
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -377,10 +377,10 @@ class JaccardJoin:
     def open_pairs(self, members: DataFrame, comps: DataFrame, texts: DataFrame, trees_only: bool) -> DataFrame:
         """Pairs of different components in buckets that hold several components."""
         t, tile = self.t, self.tile
-        placed = materialize(join_checked(members, comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "members")
+        placed = materialize(join_counted(members, comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "members")
         mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).filter("low < high AND size > 2")
         mixed = materialize(mixed.select("key", F.ceil(F.col("size") / tile).cast("int").alias("tiles")), "mixed")
-        rows = join_checked(placed, mixed, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+        rows = join_counted(placed, mixed, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
         rows = rows.join(texts.select("node", "n", "parity").hint("merge"), "node")
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         tiles = rows.select(
@@ -404,14 +404,14 @@ class JaccardJoin:
         nodes = materialize(members.select("node").distinct(), "nodes")
         texts = self.texts(docs, found, nodes)
         links = self.verified(pairs, texts)
-        comps = components(links)
+        comps = connected_components(links)
         for trees_only in (True, False):  # first as few pairs as may do, then all that are still open
             again = materialize(self.open_pairs(members, comps, texts, trees_only).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "pairs")
             if again.limit(1).count():
                 links, pairs = links.unionByName(self.verified(again, texts)), pairs.unionByName(again)
-                comps = components(links)
+                comps = connected_components(links)
         rows = found.filter(F.col("kind") == DOC).select(F.col("x").alias("doc_id"), F.col("y").alias("node"), F.col("z").alias("n_shingles"))
-        placed = materialize(join_checked(rows, comps, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("component")), "placed")
+        placed = materialize(join_counted(rows, comps, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("component")), "placed")
         first = materialize(placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("first")), "first")
         linked = placed.join(first.hint("merge"), "component", "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("component_id"))
         size = self.size
