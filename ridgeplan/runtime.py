@@ -50,8 +50,7 @@ def materialize(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Remove a path made by :func:`new_path` (any Hadoop file system)."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all intermediate tables below the shared folder (results that still read them are lost)."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/ridgeplan")
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -356,3 +356,18 @@ def test_resample_and_bits(spark):
     assert [r.z for r in gr.resample(cells, 2, 2, 4, 4).orderBy("cell_id").collect()] == [11, 13, 31, 33]
     pairs = frame(spark, [(0, 3), (0, 8), (5, 1)], "obs long, tgt long")
     assert {tuple(r) for r in los.pairs_of_bits(los.bits_of_pairs(pairs, 9)).collect()} == {(0, 3), (0, 8), (5, 1)}
+
+
+def test_browser_json(spark):
+    nodes = frame(spark, [(1, "sink", 1.0, 2.0), (2, "source", 3.0, 4.0)], "node long, kind string, lat double, lng double")
+    edges = frame(spark, [(1, 1, 2, 5), (2, 1, 2, None)], "edge_id long, tail long, head long, device_id int")
+    back_nodes, back_edges = wr.from_browser_json(wr.browser_json(nodes, edges))
+    assert sorted(back_nodes.collect()) == sorted(nodes.collect())
+    assert [tuple(r) for r in back_edges.orderBy("edge_id").collect()] == [(1, 1, 2, 5), (2, 1, 2, None)]
+
+
+def test_lp_lines():
+    net = small_net(0)
+    lines = wr.lp_lines(net, net.device_cost)
+    assert lines[0] == "Minimize" and lines[-1] == "End"
+    assert sum(line.startswith(" cap_") for line in lines) == 8 and sum(line.startswith(" sink_") for line in lines) == 4
