@@ -24,6 +24,11 @@ def lattice(spark: SparkSession, sf_dir: str) -> Lattice:
     return Lattice(NORTH, WEST, STEP, -(-n // side), side)
 
 
+def full_rows(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of the grid that are complete: resampling takes its samples from these."""
+    return max(1, load(spark, sf_dir, "part").count() // lattice(spark, sf_dir).n_cols)
+
+
 def cells(spark: SparkSession, sf_dir: str, grid: Lattice | None = None) -> DataFrame:
     side = (grid or lattice(spark, sf_dir)).n_cols
     key = F.col("p_partkey")
@@ -65,7 +70,7 @@ def links(spark: SparkSession, sf_dir: str, grid: Lattice | None = None) -> Data
 #: DuckDB's side.  Literals with an exponent are doubles.
 CTE = """
 size AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS side FROM part),
-grid AS (SELECT n, side AS n_cols, (n + side - 1) // side AS n_rows FROM size),
+grid AS (SELECT n, side AS n_cols, (n + side - 1) // side AS n_rows, greatest(1, n // side) AS full_rows FROM size),
 spot AS (SELECT p_partkey AS cell_id, CAST(p_partkey // n_cols AS INTEGER) AS r, CAST(p_partkey % n_cols AS INTEGER) AS c, n_cols FROM part, grid),
 cell AS (SELECT cell_id, r, c, 35.3e0 - 0.01e0 * r AS lat, -106.6e0 + 0.01e0 * c AS lng,
                 CASE WHEN cell_id % 37 <> 36 THEN CAST(100 + 6 * abs(r - n_cols // 2) + 4 * abs(c - n_cols * 7 // 12) + cell_id * 7919 % 5 AS INTEGER) END AS z, 10 AS mount_h FROM spot),

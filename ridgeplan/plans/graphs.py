@@ -93,7 +93,7 @@ def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(ends.groupBy("a", "b").agg(F.min("w").alias("w")), "edges")
 
 
-@query(f"""WITH RECURSIVE {ORDER_GRAPH}, h AS (SELECT 0::BIGINT AS source, 0::BIGINT AS node, 0 AS hops UNION SELECT source, b, hops + 1 FROM h JOIN both_ ON a = node WHERE hops < 40)
+@query(f"""WITH RECURSIVE {ORDER_GRAPH}, h AS (SELECT 0::BIGINT AS source, 0::BIGINT AS node, 0 AS hops WHERE EXISTS (SELECT 1 FROM both_ WHERE a = 0) UNION SELECT source, b, hops + 1 FROM h JOIN both_ ON a = node WHERE hops < 40)
 SELECT node, CAST(min(hops) AS BIGINT) AS hops FROM h GROUP BY node""")
 def shortest_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hops from the first site to all sites in reach."""

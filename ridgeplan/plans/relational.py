@@ -316,21 +316,22 @@ def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gr.mosaic(layers[0].unionByName(layers[1]).unionByName(layers[2]))
 
 
-@query("""SELECT CAST(tr * 20 + tc AS BIGINT) AS cell_id, z FROM (SELECT unnest(generate_series(0, 19)) AS tr), (SELECT unnest(generate_series(0, 19)) AS tc), grid JOIN cell ON true WHERE cell.r = (2 * tr + 1) * n_rows // 40 AND cell.c = (2 * tc + 1) * n_cols // 40""")
+@query("""SELECT CAST(tr * 20 + tc AS BIGINT) AS cell_id, z FROM (SELECT unnest(generate_series(0, 19)) AS tr), (SELECT unnest(generate_series(0, 19)) AS tc), grid JOIN cell ON true WHERE cell.r = (2 * tr + 1) * full_rows // 40 AND cell.c = (2 * tc + 1) * n_cols // 40""")
 def resample_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2: the grid resampled to 400 cells."""
     g = fx.lattice(spark, sf_dir)
-    return gr.resample(fx.cells(spark, sf_dir, g), 20, 20, g.n_rows, g.n_cols).select("cell_id", "z")
+    return gr.resample(fx.cells(spark, sf_dir, g), 20, 20, fx.full_rows(spark, sf_dir), g.n_cols).select("cell_id", "z")
 
 
-@query("""WITH RECURSIVE """ + CTE + """, k AS (SELECT 1 AS k UNION ALL SELECT k + 1 FROM k, grid WHERE CAST(floor(k * (n_rows / CAST(n_cols AS DOUBLE))) AS BIGINT) * k <= 400),
-s AS (SELECT max(k) AS tc FROM k), t AS (SELECT tc, greatest(1, CAST(floor(tc * (n_rows / CAST(n_cols AS DOUBLE))) AS BIGINT)) AS tr FROM s, grid)
-SELECT CAST(a * tc + b AS BIGINT) AS cell_id, z FROM (SELECT *, unnest(generate_series(0, tr - 1)) AS a FROM t) JOIN (SELECT unnest(generate_series(0, tc - 1)) AS b FROM t) ON true, grid JOIN cell ON true WHERE cell.r = (2 * a + 1) * n_rows // (2 * tr) AND cell.c = (2 * b + 1) * n_cols // (2 * tc)""")
+@query("""WITH RECURSIVE """ + CTE + """, k AS (SELECT 1 AS k UNION ALL SELECT k + 1 FROM k, grid WHERE CAST(floor(k * (full_rows / CAST(n_cols AS DOUBLE))) AS BIGINT) * k <= 400),
+s AS (SELECT max(k) AS tc FROM k), t AS (SELECT tc, greatest(1, CAST(floor(tc * (full_rows / CAST(n_cols AS DOUBLE))) AS BIGINT)) AS tr FROM s, grid)
+SELECT CAST(a * tc + b AS BIGINT) AS cell_id, z FROM (SELECT *, unnest(generate_series(0, tr - 1)) AS a FROM t) JOIN (SELECT unnest(generate_series(0, tc - 1)) AS b FROM t) ON true, grid JOIN cell ON true WHERE cell.r = (2 * a + 1) * full_rows // (2 * tr) AND cell.c = (2 * b + 1) * n_cols // (2 * tc)""")
 def proportional_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resampled to about 400 cells in the grid's own proportions."""
     g = fx.lattice(spark, sf_dir)
-    rows, cols = geo.proportional_size(g.n_rows, g.n_cols, 400)
-    return gr.resample(fx.cells(spark, sf_dir, g), rows, cols, g.n_rows, g.n_cols).select("cell_id", "z")
+    full = fx.full_rows(spark, sf_dir)
+    rows, cols = geo.proportional_size(full, g.n_cols, 400)
+    return gr.resample(fx.cells(spark, sf_dir, g), rows, cols, full, g.n_cols).select("cell_id", "z")
 
 
 @query("""WITH """ + CTE + """, e AS (SELECT a.cell_id, s.side, a.z AS z1, b.z AS z2 FROM cell a, (VALUES ('E', 0, 1), ('S', 1, 0)) AS s(side, dr, dc) JOIN cell b ON true WHERE b.r = a.r + dr AND b.c = a.c + dc AND a.z IS NOT NULL AND b.z IS NOT NULL)

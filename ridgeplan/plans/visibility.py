@@ -35,14 +35,14 @@ def query(sql: str | None = None):
 
 def small_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = fx.lattice(spark, sf_dir)
-    small = gr.resample(fx.cells(spark, sf_dir, g), N, N, g.n_rows, g.n_cols)
+    small = gr.resample(fx.cells(spark, sf_dir, g), N, N, fx.full_rows(spark, sf_dir), g.n_cols)
     return small.withColumn("r", F.floor(F.col("cell_id") / N).cast("int")).withColumn("c", (F.col("cell_id") % N).cast("int")).withColumn("mount_h", F.lit(fx.HEIGHT))
 
 
 #: The resampled grid, its rays and the fold over each ray, as lists.
 SMALL = f"""WITH {CTE},
 small AS (SELECT CAST(tr * 20 + tc AS BIGINT) AS id, CAST(tr AS INTEGER) AS r, CAST(tc AS INTEGER) AS c, cell.lat, cell.lng, z FROM (SELECT unnest(generate_series(0, 19)) AS tr), (SELECT unnest(generate_series(0, 19)) AS tc), grid JOIN cell ON true
-          WHERE cell.r = (2 * tr + 1) * n_rows // 40 AND cell.c = (2 * tc + 1) * n_cols // 40)"""
+          WHERE cell.r = (2 * tr + 1) * full_rows // 40 AND cell.c = (2 * tc + 1) * n_cols // 40)"""
 RAYS = """,
 ends AS (SELECT o.id AS obs, o.r AS r1, o.c AS c1, o.z AS zo, e.r AS r2, e.c AS c2, abs(e.c - o.c) > abs(e.r - o.r) AS steep FROM small o, small e WHERE (e.r IN (0, 19) OR e.c IN (0, 19)) AND e.id <> o.id),
 line AS (SELECT *, CASE WHEN steep THEN c1 ELSE r1 END AS x1, CASE WHEN steep THEN r1 ELSE c1 END AS y1, CASE WHEN steep THEN c2 ELSE r2 END AS x2, CASE WHEN steep THEN r2 ELSE c2 END AS y2 FROM ends),
