@@ -39,7 +39,7 @@ from ridgeplan.operators.graph import connected_components, join_counted
 from ridgeplan.runtime import materialize
 
 #: Words of text that a task gathers before it combines equal subsets.
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 1_000_000
 LOW = U64(1)
 
 
