@@ -261,24 +261,28 @@ def parity(found: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Positions of the edges (a, b) that join different trees, in order."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := root.get(x, x)) != x:
-            root[x] = root.get(up, up)
-            x = up
-        return x
-
-    kept, trees = [], len(np.unique(np.concatenate([a, b]))) if len(a) else 0
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        x, y = find(x), find(y)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            kept.append(k)
-            if len(kept) == trees - 1:
-                break
+def forest(a: np.ndarray, b: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+    """Positions of edges (a, b), in order, that join all trees that the edges can join.
+
+    Edges are looked at ``step`` at a time; those inside a tree fall out before any is walked.
+    """
+    names, both = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = both[: len(a)], both[len(a) :]
+    root, kept = np.arange(len(names)), []
+    for low in range(0, len(x), step):
+        while (root[root] != root).any():
+            root = root[root]
+        for k in (low + np.flatnonzero(root[x[low : low + step]] != root[y[low : low + step]])).tolist():
+            u, v = int(x[k]), int(y[k])
+            while root[u] != u:
+                u = int(root[u])
+            while root[v] != v:
+                v = int(root[v])
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                kept.append(k)
+        if len(kept) == len(names) - 1:
+            break
     return np.array(kept, np.int64)
 
 
@@ -288,15 +292,17 @@ def candidate_tiles(tiles: Iterator[pa.Table], t: Threshold, trees_only: bool) -
     ``trees_only``: just enough of them to join all components that they could join.
     """
     for tile in tiles:
-        node, comp, n, side = (tile.column(c).to_numpy() for c in ("node", "component", "n", "side"))
+        node, comp, n, side = (tile.column(c).to_numpy().astype(np.int64) for c in ("node", "component", "n", "side"))
         bits = np.frombuffer(b"".join(tile.column("parity").to_pylist()), U64).reshape(-1, PARITY_WORDS)
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        most = (t.den - t.num) * (n[left][:, None] + n[right][None, :]) // (t.den + t.num)
-        open_ = (comp[left][:, None] != comp[right][None, :]) & (t.den * np.minimum(n[left][:, None], n[right][None, :]) >= t.num * np.maximum(n[left][:, None], n[right][None, :]))
-        differ = np.zeros(open_.shape, np.uint16)
-        for w in range(PARITY_WORDS):
-            differ += np.bitwise_count(bits[left, w][:, None] ^ bits[right, w][None, :])
-        i, j = np.nonzero(open_ & (differ <= most))
+        found = []
+        for row, k in enumerate(left):  # one row of the tile at a time
+            most = (t.den - t.num) * (n[k] + n[right]) // (t.den + t.num)
+            open_ = (comp[right] != comp[k]) & (t.den * np.minimum(n[right], n[k]) >= t.num * np.maximum(n[right], n[k]))
+            j = np.flatnonzero(open_)
+            j = j[np.bitwise_count(bits[right[j]] ^ bits[k]).sum(axis=1, dtype=np.int64) <= most[j]]
+            found.append(np.stack([np.full(len(j), row), j]))
+        i, j = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
         if trees_only:
             kept = forest(comp[left[i]], comp[right[j]])
             i, j = i[kept], j[kept]
@@ -308,7 +314,7 @@ def candidate_tiles(tiles: Iterator[pa.Table], t: Threshold, trees_only: bool) -
 class JaccardJoin:
     """Links between documents whose shingle sets have a Jaccard similarity of num / den or more."""
 
-    def __init__(self, size: int = 4, num: int = 85, den: int = 100, chunk_words: int = CHUNK_WORDS, tile: int = 2048) -> None:
+    def __init__(self, size: int = 4, num: int = 85, den: int = 100, chunk_words: int = CHUNK_WORDS, tile: int = 1024) -> None:
         self.size, self.t, self.chunk_words, self.tile = size, Threshold(num, den), chunk_words, tile
 
     def found(self, docs: DataFrame) -> DataFrame:
