@@ -5,16 +5,18 @@ become patterns of a single automaton.  Each document is normalised once into it
 joined by single spaces, scanned once, and each match is mapped back through the word
 offsets to words and characters of the original text.
 
-The automaton is made once per worker from the broadcast items; its size is that of the
-benchmark, which is a fixed test set, and is checked (``max_benchmark_bytes``): a larger
-benchmark is split into parts, each with an automaton of its own, one scan per part.
+The automaton is made once per worker from the broadcast items and takes about 400 times
+their bytes.  The benchmark is a fixed test set whose size is checked
+(``max_benchmark_bytes``).  One of more than ``part_bytes`` is cut into parts; then a task
+holds ``CHUNK_BYTES`` of documents and scans them with one part's automaton after another,
+so that a worker never holds more than one automaton.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -28,6 +30,8 @@ from ridgeplan.llm.common import id_and_text
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 WINDOW = 10
+#: Text that a task holds while the parts of a large benchmark pass over it.
+CHUNK_BYTES = 32 << 20
 
 HITS = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 
@@ -39,10 +43,9 @@ def lower_ascii(text: str) -> str:
 class Windows:
     """The automaton of a set of items; ``scan`` gives the hit words of a text."""
 
-    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[object, list[str]]], window: int = WINDOW) -> None:
         patterns: dict[str, tuple[int, set[str]]] = {}
-        for item_id, text in items:
-            words = WORD.findall(lower_ascii(text or ""))
+        for item_id, words in items:
             for k in range(max(1, len(words) - window + 1) if words else 0):
                 part = words[k : k + window]
                 patterns.setdefault(f" {' '.join(part)} ", (len(part), set()))[1].add(str(item_id))
@@ -88,23 +91,73 @@ def char_spans(text: str, hit: np.ndarray) -> list[dict]:
     return spans
 
 
-_AUTOMATA: dict[str, list[Windows]] = {}
+def benchmark_parts(items: list[tuple[object, str | None]], window: int, most: int) -> list[list[tuple[object, list[str]]]]:
+    """The items' words in parts of about ``most`` bytes; a longer item is cut so that each of its windows is in a part."""
+    parts, size = [[]], 0
+    for item_id, text in items:
+        words = WORD.findall(lower_ascii(text or ""))
+        total = sum(len(word.encode("utf-8", "surrogatepass")) + 1 for word in words)
+        n = len(words) if total <= most else max(window, len(words) * most // total)
+        step = max(1, n - window + 1)
+        for k in range(0, max(1, len(words) - window + 1), step):
+            piece = words[k : k + n]
+            weight = total * len(piece) // max(1, len(words))
+            if parts[-1] and size + weight > most:
+                parts.append([])
+                size = 0
+            parts[-1].append((item_id, piece))
+            size += weight
+    return parts
+
+
+_AUTOMATON: dict[str, Windows] = {}
+
+
+def worker_automaton(part: list[tuple[object, list[str]]], window: int) -> Windows:
+    """The worker's automaton of a benchmark of one part."""
+    key = hashlib.sha256(repr((part, window)).encode("utf-8", "surrogatepass")).hexdigest()
+    if key not in _AUTOMATON:
+        _AUTOMATON.clear()
+        _AUTOMATON[key] = Windows(part, window)
+    return _AUTOMATON[key]
+
+
+def chunks(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of about ``most`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def scan_batches(batches: Iterable[pa.RecordBatch], place: int, items: list[tuple[object, str | None]], window: int, part_bytes: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, np.ndarray, set[str]]]]]:
+    """Each batch with the scans of its texts (column ``place``)."""
+    parts = benchmark_parts(items, window, part_bytes)
+    if len(parts) == 1:
+        found = worker_automaton(parts[0], window)
+        for batch in batches:
+            yield batch, [found.scan(text or "") for text in batch.column(place).to_pylist()]
+        return
+    for held in chunks(batches, CHUNK_BYTES):
+        scans: list[list[tuple[int, np.ndarray, set[str]]]] = [[] for _ in held]
+        for part in parts:
+            found = Windows(part, window)
+            for batch, scanned in zip(held, scans, strict=True):
+                new = [found.scan(text or "") for text in batch.column(place).to_pylist()]
+                scanned[:] = [merged(x, y) for x, y in zip(scanned, new, strict=True)] if scanned else new
+        yield from zip(held, scans, strict=True)
 
 
-def automata(items: list[tuple[object, str | None]], window: int, most: int) -> list[Windows]:
-    """The worker's automata for the items, in parts of at most ``most`` bytes of item text."""
-    key = hashlib.sha256(repr((items, window, most)).encode("utf-8", "surrogatepass")).hexdigest()
-    if key not in _AUTOMATA:
-        parts, size = [[]], 0
-        for item in items:
-            size += len(item[1] or "")
-            if size > most and parts[-1]:
-                parts.append([])
-                size = len(item[1] or "")
-            parts[-1].append(item)
-        _AUTOMATA.clear()
-        _AUTOMATA[key] = [Windows(part, window) for part in parts]
-    return _AUTOMATA[key]
+def merged(x: tuple[int, np.ndarray, set[str]], y: tuple[int, np.ndarray, set[str]]) -> tuple[int, np.ndarray, set[str]]:
+    """The scans of one text by two parts as one."""
+    if not len(y[1]):
+        return x
+    return x[0], x[1] | y[1] if len(x[1]) else y[1], x[2] | y[2]
 
 
 def benchmark_items(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", max_benchmark_bytes: int = 64 << 20) -> list[tuple[object, str | None]]:
@@ -116,16 +169,6 @@ def benchmark_items(benchmark: DataFrame, item_col: str = "item_id", text_col: s
     return sorted(((r.item_id, r.text) for r in rows.collect()), key=repr)
 
 
-def scan_text(parts: list[Windows], text: str) -> tuple[int, np.ndarray, set[str]]:
-    n, hit, items = parts[0].scan(text)
-    for part in parts[1:]:
-        _, more, ids = part.scan(text)
-        items |= ids
-        if len(more):
-            hit = more | hit if len(hit) else more
-    return n, hit, items
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, part_bytes: int = 256 << 10, with_spans: bool = True) -> DataFrame:
     """Per document: n_words, n_hit, the items that occur, and their character spans.
 
@@ -136,11 +179,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     items = benchmark_items(benchmark, item_col, item_text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = automata(items, window, part_bytes)
-        for batch in batches:
+        for batch, scans in scan_batches(batches, 1, items, window, part_bytes):
             out: tuple[list, ...] = ([], [], [], [])
-            for text in batch.column(1).to_pylist():
-                n, hit, ids = scan_text(parts, text or "")
+            for text, (n, hit, ids) in zip(batch.column(1).to_pylist(), scans, strict=True):
                 for column, value in zip(out, (n, int(hit.sum()), sorted(ids), char_spans(text, hit) if with_spans and len(hit) else []), strict=True):
                     column.append(value)
             span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
@@ -155,10 +196,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
     items, place = benchmark_items(benchmark), docs.columns.index(text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = automata(items, window, part_bytes)
-        for batch in batches:
-            clean = [not scan_text(parts, text or "")[2] for text in batch.column(place).to_pylist()]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+        for batch, scans in scan_batches(batches, place, items, window, part_bytes):
+            yield batch.filter(pa.array([not ids for _, _, ids in scans], pa.bool_()))
 
     return docs.mapInArrow(scan, docs.schema)
 
