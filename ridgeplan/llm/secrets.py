@@ -10,9 +10,11 @@ the class become a span of kind ``entropy``, unless the allow-list knows the can
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -89,8 +91,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def all_spans(text: str, allow: tuple[re.Pattern, ...] = ALLOW) -> list[tuple[int, int, int]]:
     """Base and entropy spans by start, then kind; an entropy span inside a base span is left out."""
-    base = base_spans(text)
-    found = list(base)
+    found = sorted(base_spans(text))
+    starts, reach = [start for start, _, _ in found], list(accumulate((end for _, _, end in found), max))  # furthest end so far
     for m in CANDIDATE.finditer(text):
         candidate = m.group()
         kind = char_class(candidate)
@@ -98,7 +100,8 @@ def all_spans(text: str, allow: tuple[re.Pattern, ...] = ALLOW) -> list[tuple[in
             continue
         for start, end in entropy_spans(candidate, THRESHOLDS[kind]):
             start, end = start + m.start(), end + m.start()
-            if not any(s <= start and end <= e for s, _, e in base):
+            before = bisect.bisect_right(starts, start)
+            if not before or reach[before - 1] < end:
                 found.append((start, 3, end))
     return sorted(found)
 
