@@ -78,7 +78,13 @@ def spanning_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gp.spanning_tree(_order_graph(spark, sf_dir).select("a", "b"), nodes)
 
 
-@query()
+@query(f"""WITH RECURSIVE {ORDER_GRAPH},
+we AS MATERIALIZED (SELECT a, b, min(edge_id % 97 + 1) AS w FROM (SELECT a, b, edge_id FROM eg UNION ALL SELECT b, a, edge_id FROM eg) GROUP BY a, b),
+p(source, node, cost) USING KEY (source, node) AS (SELECT CAST(s_suppkey AS BIGINT), CAST(s_suppkey AS BIGINT), CAST(0 AS BIGINT) FROM supplier WHERE s_suppkey IN (SELECT a FROM we)
+  UNION SELECT n.source, n.node, n.cost FROM (SELECT p.source, we.b AS node, CAST(min(p.cost + we.w * 1000000 + 1) AS BIGINT) AS cost FROM p JOIN we ON we.a = p.node GROUP BY p.source, we.b) n
+        LEFT JOIN recurring.p AS q ON q.source = n.source AND q.node = n.node WHERE q.cost IS NULL OR n.cost < q.cost),
+far AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY cost // 1000000 DESC, node) AS rn FROM p)
+SELECT source, node, cost // 1000000 AS dist, cost % 1000000 AS hops FROM far WHERE rn = 1""")
 def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Farthest site, distance and hops from every supplier's namesake site."""
     edges = _weighted(spark, sf_dir)

@@ -43,12 +43,19 @@ def small_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 SMALL = f"""WITH {CTE},
 small AS (SELECT CAST(tr * 20 + tc AS BIGINT) AS id, CAST(tr AS INTEGER) AS r, CAST(tc AS INTEGER) AS c, cell.lat, cell.lng, z FROM (SELECT unnest(generate_series(0, 19)) AS tr), (SELECT unnest(generate_series(0, 19)) AS tc), grid JOIN cell ON true
           WHERE cell.r = (2 * tr + 1) * full_rows // 40 AND cell.c = (2 * tc + 1) * n_cols // 40)"""
-RAYS = """,
-ends AS (SELECT o.id AS obs, o.r AS r1, o.c AS c1, o.z AS zo, e.r AS r2, e.c AS c2, abs(e.c - o.c) > abs(e.r - o.r) AS steep FROM small o, small e WHERE (e.r IN (0, 19) OR e.c IN (0, 19)) AND e.id <> o.id),
+
+
+def rays_sql(last_r: str, last_c: str) -> str:
+    """Cells of all rays to the edge of a grid with these last positions."""
+    return f""",
+ends AS (SELECT o.id AS obs, o.r AS r1, o.c AS c1, o.z AS zo, e.r AS r2, e.c AS c2, abs(e.c - o.c) > abs(e.r - o.r) AS steep FROM small o, small e WHERE (e.r IN (0, {last_r}) OR e.c IN (0, {last_c})) AND e.id <> o.id),
 line AS (SELECT *, CASE WHEN steep THEN c1 ELSE r1 END AS x1, CASE WHEN steep THEN r1 ELSE c1 END AS y1, CASE WHEN steep THEN c2 ELSE r2 END AS x2, CASE WHEN steep THEN r2 ELSE c2 END AS y2 FROM ends),
 asc_ AS (SELECT *, least(x1, x2) AS xa, greatest(x1, x2) AS xb, CASE WHEN x1 > x2 THEN y2 ELSE y1 END AS ya, CASE WHEN x1 > x2 THEN y1 ELSE y2 END AS yb FROM line),
 step AS (SELECT *, unnest(generate_series(0, xb - xa - 1)) AS k FROM asc_),
 cellk AS (SELECT obs, r1, c1, zo, r2, c2, k, xa + k AS x, ya + CASE WHEN ya < yb THEN 1 ELSE -1 END * ((2 * k * abs(yb - ya) + (xb - xa) - 1) // (2 * (xb - xa))) AS y, steep FROM step)"""
+
+
+RAYS = rays_sql("19", "19")
 FOLD = """,
 pts AS (SELECT obs, r1, c1, zo, r2, c2, k, CASE WHEN steep THEN y ELSE x END AS r, CASE WHEN steep THEN x ELSE y END AS c FROM cellk WHERE k >= 1 UNION ALL SELECT obs, r1, c1, zo, r2, c2, 1000000, r2, c2 FROM ends),
 slope AS (SELECT obs, p.r2, p.c2, k, t.id AS tgt, (t.z - zo) / sqrt(CAST((p.r - r1) * (p.r - r1) + (p.c - c1) * (p.c - c1) AS DOUBLE)) AS g, (t.z - zo - 10) / sqrt(CAST((p.r - r1) * (p.r - r1) + (p.c - c1) * (p.c - c1) AS DOUBLE)) AS g0
@@ -58,6 +65,10 @@ fold AS (SELECT obs, r2, c2, i, tgt, true AS seen, g0 AS m FROM nth WHERE i = 1
          UNION ALL SELECT n.obs, n.r2, n.c2, n.i, n.tgt, n.g >= f.m, CASE WHEN n.g >= f.m THEN n.g0 ELSE f.m END FROM fold f JOIN nth n ON n.obs = f.obs AND n.r2 = f.r2 AND n.c2 = f.c2 AND n.i = f.i + 1),
 visible AS (SELECT DISTINCT obs, tgt FROM fold WHERE seen)"""
 RECURSIVE = "WITH RECURSIVE" + (SMALL + RAYS + FOLD)[4:]
+#: The same over the whole grid; positions beyond the last cell have no data.
+WHOLE = f"""WITH RECURSIVE {CTE},
+small AS MATERIALIZED (SELECT tr * n_cols + tc AS id, CAST(tr AS INTEGER) AS r, CAST(tc AS INTEGER) AS c, z FROM grid, (SELECT unnest(generate_series(0, (SELECT n_rows - 1 FROM grid))) AS tr),
+          (SELECT unnest(generate_series(0, (SELECT n_cols - 1 FROM grid))) AS tc) LEFT JOIN cell ON cell.r = tr AND cell.c = tc)""" + rays_sql("(SELECT n_rows - 1 FROM grid)", "(SELECT n_cols - 1 FROM grid)") + FOLD
 
 
 @query(SMALL + RAYS + " SELECT obs, count(*) AS n_steps, sum(CASE WHEN steep THEN y ELSE x END)::BIGINT AS sum_r, sum(CASE WHEN steep THEN x ELSE y END)::BIGINT AS sum_c FROM cellk GROUP BY obs")
@@ -81,7 +92,8 @@ def visible_pairs_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return los.pairs_of_bits(los.visible_bits(small_grid(spark, sf_dir), N, N))
 
 
-@query()
+@query(WHOLE + """, seen AS (SELECT obs, count(*) AS n_seen FROM visible GROUP BY obs)
+SELECT cell_id AS obs, CAST(coalesce(n_seen, 0) AS BIGINT) AS n_visible, CAST(ceil(coalesce(n_seen, 0) / CAST(n_rows * n_cols AS DOUBLE) * 100) AS BIGINT) AS percent FROM cell LEFT JOIN seen ON obs = cell_id, grid WHERE z IS NOT NULL""")
 def visibility_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many cells each cell of the whole grid sees, and their percentage."""
     g = fx.lattice(spark, sf_dir)
