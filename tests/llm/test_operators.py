@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -410,3 +411,32 @@ def test_contamination(spark, part_bytes):
     assert Counter(r.doc_id for r in clean.collect()) == Counter(r.doc_id for r in got if not r.n_hit)
     assert decontaminate.contamination(table(spark, rows), benchmark.filter("false")).filter("n_hit > 0").count() == 0
     assert decontaminate.contamination(table(spark, rows).filter("false"), benchmark).count() == 0
+
+
+@pytest.mark.parametrize("chunk_bytes", [1, 1 << 20])
+def test_large_benchmarks_pass_part_by_part(monkeypatch, chunk_bytes):
+    monkeypatch.setattr(decontaminate, "CHUNK_BYTES", chunk_bytes)
+    rng = random.Random(12)
+    pick = lambda n: " ".join(rng.choices("a b c dd é".split(), k=n))
+    items = [(k, None if k == 3 else pick(n)) for k, n in enumerate((0, 1, 4, 9, 12, 60))]
+    texts = [None, "", *(pick(n) for n in (1, 5, 12, 40, 80, 200))]
+    batches = [pa.record_batch({"text": pa.array(texts[k : k + 3], pa.string())}) for k in range(0, len(texts), 3)]
+    for part_bytes in (1, 10, 33, 1 << 18):
+        found = [scan for _, scans in decontaminate.scan_batches(batches, 0, items, 10, part_bytes) for scan in scans]
+        assert [(n, int(hit.sum()), sorted(ids)) for n, hit, ids in found] == [hits_by_hand(t, items) for t in texts]
+    assert len(decontaminate.benchmark_parts(items, 10, 33)) > 3
+
+
+def test_entropy_spans_in_texts_full_of_secrets():
+    rng = random.Random(13)
+    make = lambda letters, n: "".join(rng.choices(letters, k=n))
+    text = " ".join(rng.choice(["token=", "", "AKIA"]) + make("abcdef0123456789", 24) + make("GhIjKlMnOp0123456789", rng.choice([0, 30])) for _ in range(400))
+    base = secrets.base_spans(text)
+    expected = set(base)
+    for m in secrets.CANDIDATE.finditer(text):
+        kind = secrets.char_class(m.group())
+        if kind and not any(p.fullmatch(m.group()) for p in secrets.ALLOW):
+            for start, end in secrets.entropy_spans(m.group(), secrets.THRESHOLDS[kind]):
+                if not any(s <= start + m.start() and end + m.start() <= e for s, _, e in base):
+                    expected.add((start + m.start(), 3, end + m.start()))
+    assert secrets.all_spans(text) == sorted(expected) and any(k == 3 for _, k, _ in expected)
