@@ -6,9 +6,10 @@ hashed into ``m`` segments, ``m`` being fixed by the size band of the larger set
 any ``h + 1`` units of allocation, where a segment compared for equality is one unit and
 a segment compared within one deletion is two, at least one must agree.
 
-* Every set is indexed under the subsets of its first ``k`` segments (``k`` covers every
-  larger partner) and, for one reserve segment, under its one-deletion neighbourhood too.
-* A set in the role of the larger one asks with the ``h(2a) + 1`` cheapest units only: the
+* Every set is indexed under the subsets of its first ``k`` segments (``k`` covers all that
+  any larger partner chooses from) and, for one reserve segment, under its one-deletion neighbourhood too.
+* A set in the role of the larger one asks with the ``h(2a) + 1`` cheapest units only of those
+  that it chooses from, under all of which its partners are indexed: the
   cost of a segment is its expected number of equal subsets, which falls with its size;
   empty segments are left out first, the reserve segment at two units fills the gap.
 * Buckets without an asking row are dropped.  The other buckets give candidate pairs with
@@ -58,11 +59,15 @@ class Threshold:
         """Size of the largest possible partner of a set of n."""
         return self.den * n // self.num
 
-    def units(self, n: int) -> int:
-        """Segments under which a set of n is indexed: those that a larger partner may need, and some to choose from."""
+    def choice(self, n: int) -> int:
+        """Segments that a set of n chooses from when it asks: those that it may need, and some more."""
         need = self.differ(n + self.largest(n)) + 1
         return need + (need > 1) * (1 + need // 12)
 
+    def units(self, n: int) -> int:
+        """Segments under which a set of n is indexed: all that its largest partner, so each larger one, chooses from."""
+        return self.choice(self.largest(n))
+
     def links(self, a: np.ndarray, b: np.ndarray) -> bool:
         """Exact test of two sorted arrays of distinct shingles."""
         small, large = sorted((len(a), len(b)))
@@ -119,7 +124,7 @@ def signatures(found: np.ndarray, t: Threshold, frequency: np.ndarray) -> np.nda
     with is exact; it decides only how many candidates are met.
     """
     n, out = len(found), []
-    k, need = t.units(n), t.differ(2 * n) + 1
+    k, among, need = t.units(n), t.choice(n), t.differ(2 * n) + 1
     scrambled = mix(found)
     for place, m in enumerate(bands(n, t)):
         segment = (found % U64(m)).astype(np.int64)
@@ -138,7 +143,7 @@ def signatures(found: np.ndarray, t: Threshold, frequency: np.ndarray) -> np.nda
                 # equal subsets are at most as many as the rarest shingle; a small subset may be equal by chance
                 cost = np.full(m, np.inf)
                 np.minimum.at(cost, segment, frequency.astype(float))
-                cheap = np.lexsort((-sizes[:k], cost[:k]))[:need]
+                cheap = np.lexsort((-sizes[:among], cost[:among]))[:need]
                 lacking = int((cost[cheap] > max(2.0, cost[reserve] * (sizes[reserve] + 1))).sum())
                 if lacking:
                     two = lacking > 1

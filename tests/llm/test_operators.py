@@ -199,6 +199,21 @@ def test_pigeonhole_covers_every_link():
             assert len(key) or jaccard.node_of(a) == jaccard.node_of(b)
 
 
+@pytest.mark.parametrize(("num", "pairs"), [(85, [(18, 16), (12, 11), (7, 6), (40, 34), (100, 85), (300, 255)]), (80, [(12, 10), (10, 8), (5, 4), (50, 40), (120, 96)])])
+def test_pigeonhole_covers_sets_of_different_size(num, pairs):
+    """The smaller set inside the larger one, whatever the larger one finds cheap to ask with."""
+    rng, t = np.random.default_rng(7), jaccard.Threshold(num, 100)
+    for n, m in pairs:
+        assert all(t.differ(2 * n) < t.choice(n) <= t.units(k) for k in range(m, n + 1))
+        for _ in range(2000 if n < 30 else 200):
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64))
+            b = np.sort(rng.permutation(a)[:m])
+            assert t.links(a, b)
+            fa, fb = (jaccard.signatures(x, t, rng.integers(1, 9, len(x))) for x in (a, b))
+            key, _, _ = jaccard.bucketed(np.concatenate([fa, fb]), np.repeat([1, 2], [len(fa), len(fb)]))
+            assert len(key), (n, m)
+
+
 # ---- 4: top-k search
 
 
