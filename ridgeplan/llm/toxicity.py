@@ -187,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, *, target: str = "toxic", max_rows
                 doc, feature = present(texts[low : low + 64])
                 for c in (0, 1):
                     totals[c] += np.bincount(feature[y[low + doc] == c], minlength=1 << BITS)
-        seen = np.nonzero(totals.sum(axis=0) >= 2)[0]
+        seen = np.nonzero(totals.sum(axis=0))[0]  # the least count holds for the sum over tasks only
         for low in range(0, len(seen), 1 << 16):
             part = seen[low : low + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (part, totals[1][part], totals[0][part])], ["feature", "p", "q"])

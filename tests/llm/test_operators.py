@@ -125,6 +125,17 @@ def test_held_out_labels_are_never_learnt(spark):
     assert np.array_equal(a.chosen, b.chosen) and np.allclose(a.weight, b.weight)
 
 
+def test_features_do_not_depend_on_partitions(spark):
+    """An n-gram that each task sees in one document only counts as well."""
+    docs, labels, _ = labelled(spark)
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))  # each file is a task
+    try:
+        one, many = (toxicity.train(docs.repartition(n), labels) for n in (1, 40))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert np.array_equal(one.chosen, many.chosen) and np.allclose(one.weight, many.weight, atol=1e-6) and abs(one.bias - many.bias) < 1e-6
+
+
 def test_features_of_long_texts_do_not_depend_on_pieces(monkeypatch):
     text = " ".join(words(random.Random(2), 3000))
     whole = toxicity.present([text, "b", None])
