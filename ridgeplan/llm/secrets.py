@@ -1,11 +1,11 @@
 """Secret scans: fixed patterns plus sliding-window Shannon entropy.
 
 Base spans come from three patterns (assignments, access keys, hex runs).  The entropy
-scan then takes candidate strings (runs of token characters), classifies each by the
-character classes that it uses, slides a window over it and keeps the window's character
-counts incrementally: adding one character and dropping another changes the sum of
-``c * log2(c)`` by two table look-ups.  Windows whose entropy reaches the threshold of
-the class become a span of kind ``entropy``, unless the allow-list knows the candidate.
+scan then takes candidate strings (runs of token characters), slides a window over each
+and keeps the window's character counts incrementally: adding one character and dropping
+another changes the sum of ``c * log2(c)`` by two table look-ups.  Windows whose entropy
+reaches the threshold of the candidate's class, or in a run of hexadecimals that of ``hex``, become
+a span of kind ``entropy``, unless the allow-list knows the candidate.
 """
 
 from __future__ import annotations
@@ -32,11 +32,15 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: class of a candidate -> entropy (bits per character) from which a window is a secret.
-THRESHOLDS = {"hex": 3.0, "mixed": 3.75}
-#: Candidates that are no secrets: numbers, UUIDs, dates, snake and kebab words, paths, examples.
+#: Runs that are judged as hexadecimals inside candidates of other classes.
+HEX_RUN = re.compile(r"[0-9A-F]{20,}|[0-9a-f]{20,}")
+#: class -> entropy (bits per character) from which a window is a secret.
+THRESHOLDS = {"hex": 3.0, "lower": 3.5, "upper": 3.5, "mixed": 3.75}
+#: Candidates that are no secrets: numbers, UUIDs, dates, snake and kebab words (with up to four digits
+#: at the end, or numbers between them), paths, examples.
 ALLOW = tuple(re.compile(p) for p in (
-    r"[0-9_=+/-]+", r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", r"[a-z]+(?:[_/-][a-z0-9]+)*", r"[A-Z]+(?:[_/-][A-Z0-9]+)*",
+    r"[0-9_=+/-]+", r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", r"[0-9A-F]{8}-(?:[0-9A-F]{4}-){3}[0-9A-F]{12}",
+    r"[_/-]*(?:[a-z]+\d{0,4}|\d+)(?:[_/-]+(?:[a-z]+\d{0,4}|\d+))*[_/-]*", r"[_/-]*(?:[A-Z]+\d{0,4}|\d+)(?:[_/-]+(?:[A-Z]+\d{0,4}|\d+))*[_/-]*",
     r"(?:[A-Za-z]+[_/-])*[A-Za-z]+=*", r"(?:/?[A-Za-z]+\d{0,4})(?:/[A-Za-z]+\d{0,4})*", r".*(?:EXAMPLE|example|xxxx|XXXX|0000000000).*",
 ))
 _CLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
@@ -45,14 +49,29 @@ SECRETS = "doc_id long, spans array<struct<kind:string,start:int,end:int>>"
 
 
 def char_class(candidate: str) -> str | None:
-    """``hex`` or ``mixed`` (letters of both cases and digits), or None: words and numbers."""
+    """``hex``, ``lower``, ``upper`` or ``mixed`` (digits with letters of one case or both), or None: words and numbers."""
     digit = any(c.isdigit() for c in candidate)
     lower, upper = any("a" <= c <= "z" for c in candidate), any("A" <= c <= "Z" for c in candidate)
     if not digit or not (lower or upper):
         return None
     if not (lower and upper) and all(c in "0123456789abcdefABCDEF" for c in candidate):
         return "hex"
-    return "mixed" if lower and upper else None
+    return "mixed" if lower and upper else "lower" if lower else "upper"
+
+
+def candidate_spans(candidate: str, kind: str) -> list[tuple[int, int]]:
+    """Spans by the candidate's class, and those in its runs of hexadecimals that are in none of them."""
+    spans = entropy_spans(candidate, THRESHOLDS[kind])
+    if kind == "hex":
+        return spans
+    starts, more = [start for start, _ in spans], []
+    for m in HEX_RUN.finditer(candidate):
+        for start, end in entropy_spans(m.group(), THRESHOLDS["hex"]) if char_class(m.group()) == "hex" else ():
+            start, end = start + m.start(), end + m.start()
+            before = bisect.bisect_right(starts, start)
+            if not before or spans[before - 1][1] < end:
+                more.append((start, end))
+    return spans + more
 
 
 def entropy_spans(candidate: str, threshold: float, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -98,7 +117,7 @@ def all_spans(text: str, allow: tuple[re.Pattern, ...] = ALLOW) -> list[tuple[in
         kind = char_class(candidate)
         if kind is None or any(p.fullmatch(candidate) for p in allow):
             continue
-        for start, end in entropy_spans(candidate, THRESHOLDS[kind]):
+        for start, end in candidate_spans(candidate, kind):
             start, end = start + m.start(), end + m.start()
             before = bisect.bisect_right(starts, start)
             if not before or reach[before - 1] < end:

@@ -396,6 +396,25 @@ def test_allow_list():
         assert not [s for s in secrets.all_spans(plain) if s[1] == 3]
 
 
+@pytest.mark.parametrize(("prefix", "letters", "n"), [
+    ("key-", "abcdefghijklmnopqrstuvwxyz0123456789", 32), ("", "abcdefghijklmnopqrstuvwxyz0123456789", 40), ("", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32),
+    ("KEY_", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32), ("API-", "0123456789ABCDEF", 32), ("Api/", "0123456789ABCDEF", 32), ("id=", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 32),
+])
+def test_one_secret_of_each_class(prefix, letters, n):
+    rng, found = random.Random(3), 0
+    for _ in range(200):
+        key = prefix + "".join(rng.choices(letters, k=n))
+        covered = {x for s, _, e in secrets.all_spans(f"see {key} end") for x in range(s, e)}
+        found += len(covered) >= 20
+    assert found >= 196
+    assert "3ax6xnjp29jd6fds4gc373sgvjxteol0" not in secrets.redacted("a key-3ax6xnjp29jd6fds4gc373sgvjxteol0 b")
+
+
+def test_words_with_numbers_are_no_secrets():
+    for plain in ("usr/lib/python3/dist-packages/numpy-2", "release_notes_for_version_12_of_2024", "API_RATE_LIMIT_WINDOW_V2_SECONDS_60", "550E8400-E29B-41D4-A716-446655440000", "/2024/05/17/some-long-title-of-a-page/"):
+        assert not secrets.all_spans(plain)
+
+
 def test_redaction_keeps_all_rows(spark):
     rows = [(1, None), (2, f"a {SECRET} b token=abcdefghijklmnop c"), (2, "clean")]
     out = secrets.redact_secrets(table(spark, rows))
