@@ -20,6 +20,8 @@ from ridgeplan.runtime import materialize
 
 #: Rows of a small table (a few longs each) that may be broadcast after they were counted.
 BROADCAST_ROWS = 150_000
+#: Links (two longs each) that one task joins; a few dozen MB.
+TASK_EDGES = 1_000_000
 
 
 def join_counted(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
@@ -41,15 +43,41 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def least_labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges (u, v), ascending, and the smallest node of each one's component."""
+    nodes, both = np.unique(np.concatenate([u, v]), return_inverse=True)
+    x, y, label = both[: len(u)], both[len(u) :], np.arange(len(nodes))
+    while len(x):
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(label, label[x], low)  # hooks roots, so that a whole tree follows
+        np.minimum.at(label, label[y], low)
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+    return nodes, nodes[label]
+
+
+def _solve_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if got:
+        node, component = least_labels(*(np.concatenate(c) for c in zip(*got, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(component, pa.int64())], ["node", "component"])
+
+
+def connected_components(edges: DataFrame, most_in_task: int = TASK_EDGES) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); component: its smallest node.
 
-    Alternating stars: a large star links every larger neighbour of a node with the node's
-    smallest neighbour, a small star does so with the smaller neighbours and the node.
+    Up to ``most_in_task`` distinct links, which are counted, are joined in one task of an
+    executor.  More go through alternating stars:
+    a large star links every larger neighbour of a node with the node's smallest neighbour,
+    a small star does so with the smaller neighbours and the node.
     Self links and repeated links change nothing; no links give no rows.
     """
-    now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct(), "links")
     seen = _state(now)
+    if seen[0] <= most_in_task:
+        return materialize(now.coalesce(1).mapInArrow(_solve_here, "node long, component long"), "components")
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         larger = materialize(_star(both, large=True), "links")
