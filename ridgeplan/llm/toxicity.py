@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier on character n-grams scaled by log-count ratios.
 
-Texts are lower-cased; byte n-grams of 3 to 6 bytes are hashed to 2^20 features, of which a
-document has or has not each one.  On a bounded sample of labelled rows,
+Texts are lower-cased; n-grams of 3 to 6 characters (code points) are hashed to 2^20
+features, of which a document has or has not each one.  On a bounded sample of labelled rows,
 
 * naive Bayes counts in how many documents of either class a feature is, which gives its
   log-count ratio ``r`` (features are counted on the executors, and the ``n_features``
@@ -22,24 +22,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeplan.llm.common import id_and_text, is_held_out, utf8
+from ridgeplan.llm.common import MIX_A, MIX_B, U64, id_and_text, is_held_out
 from ridgeplan.runtime import materialize
 
-SIZES, BITS, PAD = (3, 4, 5, 6), 20, b"\0" * 6
+SIZES, BITS, PAD = (3, 4, 5, 6), 20, "\0" * 6
 #: Labelled rows that are used at most (those with the smallest hash of their id), and features kept.
 MAX_ROWS, N_FEATURES = 20_000, 4096
 SCORES = "doc_id long, score double"
 
 
-#: Bytes that are hashed at a time; longer texts are cut into overlapping pieces of that size.
+#: Characters that are hashed at a time; longer texts are cut into overlapping pieces of that size.
 PIECE = 1 << 20
 
 
-def pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Lower-cased bytes of the texts with the place of their text, about ``PIECE`` bytes at a time."""
+def pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """The lower-cased texts with the place of their text, about ``PIECE`` characters at a time."""
     owners, parts, size, overlap = [], [], 0, max(SIZES) - 1
     for k, text in enumerate(texts):
-        data = utf8((text or "").lower())
+        data = (text or "").lower()
         for low in range(0, max(1, len(data)), PIECE):
             part = data[low : low + PIECE + overlap]
             if parts and size + len(part) > PIECE:
@@ -52,17 +52,16 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[bytes]]]:
         yield owners, parts
 
 
-def hashed(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each size the feature of the n-gram at each place."""
-    wide, gram = data.astype(np.uint64), None
+def hashed(points: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each size the feature of the n-gram at each place: a polynomial of its code points, scrambled."""
+    wide, gram = points.astype(np.uint64), None
     for n in range(1, max(SIZES) + 1):
         m = len(wide) - n + 1
         if m <= 0:
             return
-        gram = wide.copy() if gram is None else (gram[:m] << np.uint64(8)) | wide[n - 1 :]
+        gram = wide + U64(1) if gram is None else gram[:m] * MIX_B + wide[n - 1 :] + U64(1)
         if n in SIZES:
-            with np.errstate(over="ignore"):
-                yield n, ((gram + np.uint64(n << 56)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int64)
+            yield n, (((gram ^ (gram >> U64(32))) * MIX_A) >> U64(64 - BITS)).astype(np.int64)
 
 
 def distinct(a: np.ndarray) -> np.ndarray:
@@ -77,7 +76,7 @@ def present(texts: list[str | None], chosen: np.ndarray | None = None) -> tuple[
     for owners, parts in pieces(texts):
         ends = np.cumsum(np.fromiter((len(p) + len(PAD) for p in parts), np.int64, len(parts)))
         owner, pairs = np.array(owners), []
-        for n, feature in hashed(np.frombuffer(PAD.join([*parts, b""]), np.uint8)):
+        for n, feature in hashed(np.frombuffer(PAD.join([*parts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")):
             place = np.arange(len(feature))
             if chosen is not None:
                 feature = chosen[feature]
@@ -163,16 +162,21 @@ def fit_linear(doc: np.ndarray, column: np.ndarray, y: np.ndarray, ratio: np.nda
 
 
 def labelled(docs: DataFrame, labels: DataFrame, target: str, max_rows: int) -> DataFrame:
-    """text and y of at most ``max_rows`` labelled rows that are not held out (a table of its own)."""
+    """text and y of at most ``max_rows`` labelled rows that are not held out (a table of its own).
+
+    An id with several labels has the smallest one; of several rows under one id that with
+    the smallest hash of its text is used, so that the bound holds for any table.
+    """
     known = labels.select(F.col("doc_id").alias("doc_id"), F.col(target).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IN (0, 1)")
-    picked = known.filter(~is_held_out(F.col("doc_id"))).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    picked = known.filter(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # the picked rows are bounded by max_rows, so this side can be broadcast
-    sample = id_and_text(docs).join(F.broadcast(picked), "doc_id").select("text", "y")
-    return materialize(sample, "labelled")
+    found = id_and_text(docs).join(F.broadcast(picked), "doc_id")
+    one = found.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return materialize(one.select("text", "y"), "labelled")
 
 
 def train(docs: DataFrame, labels: DataFrame, *, target: str = "toxic", max_rows: int = MAX_ROWS, n_features: int = N_FEATURES, penalty: float = 1.0) -> ToxicityModel:
-    """Fit on labelled rows.  Without any: score 0.5; with one class only: its smoothed share."""
+    """Fit on at most ``max_rows`` labelled rows.  Without any: score 0.5; with one class only: its smoothed share."""
     sample = labelled(docs, labels, target, max_rows)
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
@@ -238,7 +242,11 @@ def score_documents(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, *, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is below ``threshold``."""
+    """The rows of ``docs``, all columns, whose score is below ``threshold``.
+
+    Null and empty texts have the model's bias as their score, like any text without a
+    known n-gram; repeated rows stay or go together.
+    """
     place = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
