@@ -121,7 +121,8 @@ def frequent_lengths(docs: DataFrame, path: str, table_size: int = TABLE_SIZE) -
     n = level.count()
     while n > 1:  # each round merges about sixteen summaries into one
         groups = max(1, math.ceil(n / 16))
-        salted = level.withColumn("g", F.pmod(F.monotonically_increasing_id(), F.lit(groups)) if groups > 1 else F.lit(0))
+        # the ids count up from a power of two in each partition, so their hash is dealt out
+        salted = level.withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
         level = materialize(salted.groupBy("g").applyInPandas(merge, "summary binary"), "pretoken-summaries")
         n = min(groups, n - 1)
     rows = level.collect()
