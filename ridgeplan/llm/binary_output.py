@@ -2,8 +2,7 @@
 
 File format (little endian), one file per shard of consecutive ``doc_id`` order:
 
-* one zstandard frame per document (or per slice of a very long one): its token ids as
-  unsigned 32-bit integers;
+* one zstandard frame per document: its token ids as unsigned 32-bit integers;
 * a zstandard *skippable* frame (magic 0x184D2A5E) that holds the seek table: per frame
   ``doc_id int64, is_null uint8, n_tokens uint32, compressed uint32, crc32 uint32`` and the
   footer ``n_frames uint32, crc32 of the table uint32, magic "RPSEEK01"``.
@@ -40,6 +39,8 @@ from ridgeplan.runtime import materialize, new_path
 SKIPPABLE, SEEK_MAGIC = 0x184D2A5E, b"RPSEEK01"
 ENTRY = np.dtype([("doc_id", "<i8"), ("is_null", "u1"), ("n_tokens", "<u4"), ("compressed", "<u4"), ("crc32", "<u4")])
 FOOTER = struct.Struct("<II8s")
+#: Tasks that read files back, at most.
+MOST_TASKS = 20_000
 
 MANIFEST = "path string, first_doc long, n_docs long, n_tokens long"
 TOKENS = "path string, pos long, doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -161,7 +162,9 @@ def read_token_files(manifest: DataFrame, doc_ids: frozenset[int] | None = None)
 
     path, pos (place in the file), doc_id, start (ids of all documents before it),
     n_tokens, ids_crc32 (of the ids' bytes, checked against the frame's checksum).
+    Files are dealt out to one task each (up to ``MOST_TASKS``), whatever the manifest's size.
     """
+    tasks = min(MOST_TASKS, max(1, manifest.count()))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +182,8 @@ def read_token_files(manifest: DataFrame, doc_ids: frozenset[int] | None = None)
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 6, [pa.string(), *[pa.int64()] * 5], strict=True)], ["path", "pos", "doc_id", "start", "n_tokens", "ids_crc32"])
                 reader.close()
 
-    spread = manifest.select("path", "start").repartition("path")
+    # a stated number, which adaptive execution does not lower: the manifest is tiny, its files are not
+    spread = manifest.select("path", "start").repartition(tasks, "path")
     return spread.mapInArrow(read, TOKENS)
 
 
