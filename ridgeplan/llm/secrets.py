@@ -5,7 +5,7 @@ scan then takes candidate strings (runs of token characters), slides a window ov
 and keeps the window's character counts incrementally: adding one character and dropping
 another changes the sum of ``c * log2(c)`` by two table look-ups.  Windows whose entropy
 reaches the threshold of the candidate's class, or in a run of hexadecimals that of ``hex``, become
-a span of kind ``entropy``, unless the allow-list knows the candidate.
+a span of kind ``entropy``, unless the allow-list knows the candidate or a filler is near.
 """
 
 from __future__ import annotations
@@ -41,8 +41,10 @@ THRESHOLDS = {"hex": 3.0, "lower": 3.5, "upper": 3.5, "mixed": 3.75}
 ALLOW = tuple(re.compile(p) for p in (
     r"[0-9_=+/-]+", r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", r"[0-9A-F]{8}-(?:[0-9A-F]{4}-){3}[0-9A-F]{12}",
     r"[_/-]*(?:[a-z]+\d{0,4}|\d+)(?:[_/-]+(?:[a-z]+\d{0,4}|\d+))*[_/-]*", r"[_/-]*(?:[A-Z]+\d{0,4}|\d+)(?:[_/-]+(?:[A-Z]+\d{0,4}|\d+))*[_/-]*",
-    r"(?:[A-Za-z]+[_/-])*[A-Za-z]+=*", r"(?:/?[A-Za-z]+\d{0,4})(?:/[A-Za-z]+\d{0,4})*", r".*(?:EXAMPLE|example|xxxx|XXXX|0000000000).*",
+    r"(?:[A-Za-z]+[_/-])*[A-Za-z]+=*", r"(?:/?[A-Za-z]+\d{0,4})(?:/[A-Za-z]+\d{0,4})*",
 ))
+#: Marks of examples and fillers; they silence the characters up to ``AROUND`` before and after them, not a whole blob.
+FILLER, AROUND = re.compile(r"EXAMPLE|example|xxxx|XXXX|0000000000"), 40
 _CLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 SECRETS = "doc_id long, spans array<struct<kind:string,start:int,end:int>>"
@@ -74,6 +76,15 @@ def candidate_spans(candidate: str, kind: str) -> list[tuple[int, int]]:
     return spans + more
 
 
+def live_spans(candidate: str, kind: str) -> list[tuple[int, int]]:
+    """The candidate's spans outside the neighbourhood of fillers."""
+    out, at = [], 0
+    for low, high in [(f.start() - AROUND, f.end() + AROUND) for f in FILLER.finditer(candidate)] + [(len(candidate), 0)]:
+        out += [(s + at, e + at) for s, e in candidate_spans(candidate[at : max(at, low)], kind)]
+        at = max(at, high)
+    return out
+
+
 def entropy_spans(candidate: str, threshold: float, window: int = WINDOW) -> list[tuple[int, int]]:
     """Unions of the windows whose Shannon entropy is at least ``threshold``."""
     counts: dict[str, int] = {}
@@ -117,7 +128,7 @@ def all_spans(text: str, allow: tuple[re.Pattern, ...] = ALLOW) -> list[tuple[in
         kind = char_class(candidate)
         if kind is None or any(p.fullmatch(candidate) for p in allow):
             continue
-        for start, end in candidate_spans(candidate, kind):
+        for start, end in live_spans(candidate, kind):
             start, end = start + m.start(), end + m.start()
             before = bisect.bisect_right(starts, start)
             if not before or reach[before - 1] < end:
