@@ -16,8 +16,9 @@ a segment compared within one deletion is two, at least one must agree.
   the bucket's first set; equal subsets inside a task are combined before the exchange.
 * Candidates are verified exactly on the whole texts.  Verified links make components.
   In a bucket whose sets are not all in one component, pairs between components come
-  next: first just as many as could join them, then, with the components that those
-  made, all that are left, so no link between different components is lost.
+  next: all that sizes and sketches leave, or, where those are very many, first just as many
+  as could join the components and then, with the components that those made, all that
+  are left, so no link between different components is lost.
 
 Sets are the nodes: documents with equal sets are one node from the start, however
 many they are, and never pairs.
@@ -252,8 +253,29 @@ def join_part(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     pairs = np.unique(np.concatenate([np.stack([head, member], axis=1), np.stack([local_head, local_member], axis=1)[live]]), axis=0)
     pairs = pairs[pairs[:, 0] != pairs[:, 1]]
     yield record(PAIR, pairs[:, 0], pairs[:, 1])
-    members = np.unique(np.concatenate([np.stack([key.view(np.int64), member], axis=1), np.stack([local_key, local_member], axis=1)[live]]), axis=0)
-    yield record(MEMBER, members[:, 0], members[:, 1])
+    yield record(MEMBER, *wide_buckets(np.concatenate([key, local_key.view(U64)[live]]), np.concatenate([member, local_member[live]])))
+
+
+def wide_buckets(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, node) of the buckets of three nodes and more, named by their nodes, each set of nodes once.
+
+    Buckets of two are one pair, which is tried anyway.
+    """
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    fresh = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))[: len(key)]
+    key, node = key[fresh], node[fresh]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    size = np.diff(np.append(first, len(key)))
+    if not (size > 2).any():
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    with np.errstate(over="ignore"):
+        name = mix(np.add.reduceat(mix(node.astype(U64) ^ MIX_A), first) + size.astype(U64) * MIX_B)
+    _, once = np.unique(name, return_index=True)
+    chosen = np.zeros(len(first), bool)
+    chosen[once] = True
+    live = np.repeat(chosen & (size > 2), size)
+    return np.repeat(name, size)[live].view(np.int64), node[live]
 
 
 PARITY_WORDS = 16
@@ -291,10 +313,16 @@ def forest(a: np.ndarray, b: np.ndarray, step: int = 1 << 14) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def candidate_tiles(tiles: Iterator[pa.Table], t: Threshold, trees_only: bool) -> Iterator[pa.RecordBatch]:
+#: Pairs that a tile gives at once, as a multiple of its nodes; beyond that first those that may join components.
+PAIRS_PER_NODE = 8
+TILED = "a long, b long, more boolean"
+
+
+def candidate_tiles(tiles: Iterator[pa.Table], t: Threshold, all_pairs: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of different components in each tile that size and parity do not rule out.
 
-    ``trees_only``: just enough of them to join all components that they could join.
+    A tile with very many of them gives, unless ``all_pairs``, just enough to join all
+    components that they could join, and a row that says that there are more.
     """
     for tile in tiles:
         node, comp, n, side = (tile.column(c).to_numpy().astype(np.int64) for c in ("node", "component", "n", "side"))
@@ -306,14 +334,19 @@ def candidate_tiles(tiles: Iterator[pa.Table], t: Threshold, trees_only: bool) -
             open_ = (comp[right] != comp[k]) & (t.den * np.minimum(n[right], n[k]) >= t.num * np.maximum(n[right], n[k]))
             j = np.flatnonzero(open_)
             j = j[np.bitwise_count(bits[right[j]] ^ bits[k]).sum(axis=1, dtype=np.int64) <= most[j]]
-            found.append(np.stack([np.full(len(j), row), j]))
-        i, j = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
-        if trees_only:
+            found.append(np.stack([np.full(len(j), row, np.int32), j.astype(np.int32)]))
+        i, j = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int32)
+        cut = int(not all_pairs and len(i) > PAIRS_PER_NODE * len(node))
+        if cut:
             kept = forest(comp[left[i]], comp[right[j]])
             i, j = i[kept], j[kept]
         a, b = node[left[i]], node[right[j]]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        fresh = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+        columns = [np.append(x[fresh], np.zeros(cut, np.int64)) for x in (a, b)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.append(np.zeros(fresh.sum(), bool), np.ones(cut, bool)))], ["a", "b", "more"])
 
 
 class JaccardJoin:
@@ -349,10 +382,11 @@ class JaccardJoin:
         sent = docs.filter("doc_id IS NOT NULL").mapInArrow(send, INDEX)
         return materialize(sent.repartition("p").sortWithinPartitions("p").mapInArrow(meet, FOUND), "jaccard")
 
-    def texts(self, docs: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
+    def texts(self, docs: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
         """One text for each node that has a candidate."""
         size = self.size
         rows = found.filter(F.col("kind") == DOC).select(F.col("x").alias("doc_id"), F.col("y").alias("node"))
+        nodes = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
         wanted = materialize(join_counted(rows, nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "wanted")
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +398,7 @@ class JaccardJoin:
                         out.append({"node": node, "n": len(own), "text": text, "parity": parity(own)})
                 yield pa.RecordBatch.from_pylist(out, pa.schema([("node", pa.int64()), ("n", pa.int32()), ("text", pa.string()), ("parity", pa.binary())]))
 
-        picked = docs.join(wanted.hint("merge"), "doc_id").select("node", "text").mapInArrow(look, SETS)
+        picked = join_counted(docs, wanted, "doc_id").select("node", "text").mapInArrow(look, SETS)
         return materialize(picked.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("n", "text", "parity")]), "texts")
 
     def verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -385,21 +419,22 @@ class JaccardJoin:
         both = pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").select("a", "b", "text_a", "text_b")
         return materialize(both.mapInArrow(test, "a long, b long"), "links")
 
-    def open_pairs(self, members: DataFrame, comps: DataFrame, texts: DataFrame, trees_only: bool) -> DataFrame:
-        """Pairs of different components in buckets that hold several components."""
+    def open_pairs(self, members: DataFrame, comps: DataFrame, texts: DataFrame, all_pairs: bool) -> tuple[DataFrame, DataFrame]:
+        """TILED rows for buckets that hold several components, and the members of those buckets."""
         t, tile = self.t, self.tile
         placed = materialize(join_counted(members, comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "members")
-        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).filter("low < high AND size > 2")
+        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).filter("low < high")
         mixed = materialize(mixed.select("key", F.ceil(F.col("size") / tile).cast("int").alias("tiles")), "mixed")
-        rows = join_counted(placed, mixed, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+        held = materialize(join_counted(placed, mixed, "key"), "mixed-members")
+        rows = held.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
         rows = rows.join(texts.select("node", "n", "parity").hint("merge"), "node")
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         tiles = rows.select(
             F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"),
             F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "node", "component", "n", "parity",
         )
-        pairs = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda batches: candidate_tiles(runs(batches, "tile"), t, trees_only), "a long, b long")
-        return pairs.filter("a < b").distinct()
+        out = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda batches: candidate_tiles(runs(batches, "tile"), t, all_pairs), TILED)
+        return materialize(out, "tiles"), held.select("key", "node")
 
     def components(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
@@ -411,16 +446,18 @@ class JaccardJoin:
         docs = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
         found = self.found(docs)
         pairs = materialize(found.filter(F.col("kind") == PAIR).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
-        members = materialize(found.filter(F.col("kind") == MEMBER).select(F.col("x").alias("key"), F.col("y").alias("node")).distinct(), "members")
-        nodes = materialize(members.select("node").distinct(), "nodes")
-        texts = self.texts(docs, found, nodes)
+        members = found.filter(F.col("kind") == MEMBER).select(F.col("x").alias("key"), F.col("y").alias("node")).distinct()
+        texts = self.texts(docs, found, pairs)
         links = self.verified(pairs, texts)
         comps = connected_components(links)
-        for trees_only in (True, False):  # first as few pairs as may do, then all that are still open
-            again = materialize(self.open_pairs(members, comps, texts, trees_only).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        for all_pairs in (False, True):  # then, where a tile gave only as few pairs as might do, all that are still open
+            tiles, members = self.open_pairs(members, comps, texts, all_pairs)
+            again = materialize(tiles.filter("NOT more").select("a", "b").distinct().join(pairs.hint("merge"), ["a", "b"], "left_anti"), "pairs")
             if again.limit(1).count():
                 links, pairs = links.unionByName(self.verified(again, texts)), pairs.unionByName(again)
                 comps = connected_components(links)
+            if not tiles.filter("more").limit(1).count():
+                break
         rows = found.filter(F.col("kind") == DOC).select(F.col("x").alias("doc_id"), F.col("y").alias("node"), F.col("z").alias("n_shingles"))
         placed = materialize(join_counted(rows, comps, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("component")), "placed")
         first = materialize(placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("first")), "first")
