@@ -12,16 +12,18 @@ tree at that depth matters, and most suffixes never reach it:
 2. **Prefix counts.**  Positions whose ``SEED``-word prefix is chosen only once in the
    corpus are leaves above ``SEED``; they are dropped.
 3. **Prefix partition.**  The suffixes of the windows behind the other positions are
-   dealt out by prefix: the ``SEED`` words at the chosen position, and for the few prefixes
-   that are more frequent than a bound all ``DEPTH`` words of the suffix, so that no group
-   outgrows memory.  Equal stretches inside a chunk are combined before they are sent.
-4. **Subtrees.**  In each group, suffixes are split further by variable-length prefixes
-   until a part is small, sorted, and the longest common prefixes of neighbours give the
-   internal nodes; each one at ``DEPTH`` covers the words of its suffixes.  This compares the
-   words themselves, so no hash decides a result.
+   dealt out by prefix: the ``SEED`` words at the chosen position, and for prefixes that are
+   chosen at least ``FREQUENT`` times all ``DEPTH`` words of the suffix, so that no group
+   outgrows memory.  Equal stretches, and equal rows, inside a chunk are combined before
+   they are sent.
+4. **Subtrees.**  In each group the nodes at depth 1, 2, 4 ... and ``DEPTH`` are named level by
+   level: a node is a pair of nodes of half its depth.  Suffixes with the same name at ``DEPTH``
+   are below one internal node and cover their words.  This compares the words themselves
+   (as numbers of a group's vocabulary), so no hash decides a result.
 
 Intermediate tables hold packed arrays by part.  The only thing that comes to the driver is
-the list of over-frequent prefixes, whose number is bounded by the bound on their share.
+the list of over-frequent prefixes: longs, at most ``MOST_PREFIXES`` of them, as the bound
+rises with the corpus beyond ``FREQUENT * MOST_PREFIXES`` positions.
 """
 
 from __future__ import annotations
@@ -39,11 +41,11 @@ from ridgeplan.llm.common import U64, id_and_text, mix, runs, utf8, window_hashe
 from ridgeplan.runtime import materialize
 
 DEPTH, SEED = 35, 8
-#: A prefix is over-frequent from this many chosen positions on, and from this share of all.
-FREQUENT, FREQUENT_SHARE = 512, 20_000
+#: A prefix is over-frequent from this many chosen positions on; so many of them at most are kept in a list.
+FREQUENT, MOST_PREFIXES = 4096, 2_000_000
 CHUNK_WORDS = 2_000_000
-#: Suffixes of a part that is sorted at once.
-PART = 50_000
+#: Words of whole groups that are named at once.
+PART = 400_000
 PLACE = U64((1 << 28) - 1)
 
 PACKED = "p int, kind int, a binary, b binary, c binary, d binary, e binary"
@@ -88,39 +90,44 @@ def parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 class Positions:
-    """Step 2, sending side: the chosen positions of one chunk."""
+    """Step 2, sending side: the chosen positions of one chunk.  Equal rows count, but are held once."""
 
     def __init__(self, parts: int) -> None:
         self.parts, self.words = parts, 0
         self.keys: list[np.ndarray] = []
         self.places: list[np.ndarray] = []
-        self.uids: list[tuple[int, int]] = []
+        self.copies: dict[tuple[int, int], int] = {}
 
     def add(self, uid: tuple[int, int], words: list[bytes]) -> None:
         self.words += len(words)
-        if len(words) >= DEPTH:
-            prefix, at = chosen(word_hashes().of(words))
-            at = at[np.append(True, at[1:] != at[:-1])]
-            self.keys.append(prefix[at])
-            self.places.append(at)
-            self.uids.append(uid)
+        if len(words) < DEPTH:
+            return
+        if uid in self.copies:
+            self.copies[uid] += 1
+            return
+        prefix, at = chosen(word_hashes().of(words))
+        at = at[np.append(True, at[1:] != at[:-1])]
+        self.keys.append(prefix[at])
+        self.places.append(at)
+        self.copies[uid] = 1
 
     def rows(self) -> Iterator[dict]:
         if not self.keys:
             return
-        key, place = np.concatenate(self.keys), np.concatenate(self.places)
-        uid = np.repeat(np.array(self.uids, np.int64), [len(k) for k in self.keys], axis=0)
+        key, place, sizes = np.concatenate(self.keys), np.concatenate(self.places), [len(k) for k in self.keys]
+        uid = np.repeat(np.array(list(self.copies), np.int64), sizes, axis=0)
+        weight = np.repeat(np.array(list(self.copies.values()), np.int64), sizes)
         order = np.argsort(key, kind="stable")
         key, place, uid = key[order], place[order], uid[order]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        size = np.diff(np.append(first, len(key)))
-        again = np.repeat(size > 1, size)  # live already: these only pass
-        yield from pack(PASS, parts_of(uid[again, 0] ^ uid[again, 1], self.parts), [uid[again, 0], uid[again, 1], place[again]], self.parts)
-        heads = first[size == 1]
+        n = np.add.reduceat(weight[order], first)
+        again = np.repeat(n > 1, np.diff(np.append(first, len(key))))  # live already: these only pass
+        passed = [uid[again, 0], uid[again, 1], place[again]]
+        yield from pack(PASS, parts_of(passed[0] ^ passed[1] ^ passed[2], self.parts), passed, self.parts)
+        heads = first[n == 1]
         yield from pack(MEET, parts_of(key[heads], self.parts), [key[heads], uid[heads, 0], uid[heads, 1], place[heads]], self.parts)
-        heads = first[size > 1]
-        many = np.stack([size[size > 1], np.zeros(len(heads), np.int64)], axis=1)
-        yield from pack(MEET, parts_of(key[heads], self.parts), [key[heads], many[:, 1], many[:, 1], -many[:, 0]], self.parts)
+        heads, none = first[n > 1], np.zeros(int((n > 1).sum()), np.int64)
+        yield from pack(MEET, parts_of(key[heads], self.parts), [key[heads], none, none, -n[n > 1]], self.parts)
 
 
 LIVE = "doc_id long, text_hash long, place long, n long"
@@ -163,9 +170,14 @@ class Stretches:
     def __init__(self, parts: int, frequent: np.ndarray) -> None:
         self.parts, self.frequent, self.words = parts, frequent, 0
         self.seen: dict[tuple[int, bytes], list[tuple[int, int, int, int]]] = {}
+        self.uids: dict[tuple[int, int], bool] = {}  # whether the row came again
 
     def add(self, uid: tuple[int, int], words: list[bytes], live: np.ndarray) -> None:
         self.words += len(words)
+        if uid in self.uids:
+            self.uids[uid] = True
+            return
+        self.uids[uid] = False
         prefix, at = chosen(word_hashes().of(words))
         first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
         after = np.append(first[1:], len(at))
@@ -184,10 +196,11 @@ class Stretches:
     def rows(self) -> Iterator[dict]:
         if not self.seen:
             return
-        covered = np.array([(d, h, s, s + n - 1 + DEPTH) for places in self.seen.values() if len(places) > 1 for d, h, s, n in places], np.int64).reshape(-1, 4)
-        yield from pack(PASS, parts_of(covered[:, 0] ^ covered[:, 1], self.parts), list(covered.T), self.parts)
+        again = [len(places) > 1 or self.uids[places[0][:2]] for places in self.seen.values()]
+        covered = np.array([(d, h, s, s + n - 1 + DEPTH) for places, more in zip(self.seen.values(), again, strict=True) if more for d, h, s, n in places], np.int64).reshape(-1, 4)
+        yield from pack(PASS, parts_of(covered[:, 0] ^ covered[:, 1] ^ covered[:, 2], self.parts), list(covered.T), self.parts)
         key = np.array([k for k, _ in self.seen], U64).view(np.int64)
-        uid_s_n = np.array([(*places[0][:3], places[0][3] if len(places) == 1 else -places[0][3]) for places in self.seen.values()], np.int64)
+        uid_s_n = np.array([(*places[0][:3], -places[0][3] if more else places[0][3]) for places, more in zip(self.seen.values(), again, strict=True)], np.int64)
         # packed with the place in two columns: key, then (doc_id, text_hash, start, n) row by row
         order = np.argsort(parts_of(key, self.parts), kind="stable")
         part, texts = parts_of(key, self.parts)[order], [t for _, t in self.seen]
@@ -198,79 +211,77 @@ class Stretches:
             yield {"p": int(p), "kind": MEET, "a": key[at].tobytes(), "b": uid_s_n[at].tobytes(), "d": np.fromiter(map(len, own), np.int64, len(own)).tobytes(), "e": b"".join(own)}
 
 
-def split_by_prefix(suffixes: list[list[bytes]], members: list[int], depth: int, limit: int = PART) -> Iterator[tuple[list[int], int]]:
-    """Parts of at most ``limit`` suffixes (or of equal ones), by ever longer prefixes: (members, words they share)."""
-    work = [(members, 0)]
-    while work:
-        part, shared = work.pop()
-        if len(part) <= limit or shared >= depth:
-            yield part, shared
-            continue
-        groups: dict[bytes, list[int]] = {}
-        for k in part:
-            groups.setdefault(suffixes[k][shared], []).append(k)
-        work += [(group, shared + 1) for group in groups.values()]
-
+def deep_nodes(words: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """For each place the name of its node at ``depth``: equal names for equal runs of ``depth`` words.
 
-def deep_nodes(suffixes: list[list[bytes]], members: list[int], depth: int = DEPTH) -> Iterator[list[int]]:
-    """Leaves below each internal node at ``depth`` of the subtree of these suffixes (single leaves too).
-
-    The subtree is the sorted order of the suffixes with the common prefixes of neighbours:
-    a node at ``depth`` is a longest run of neighbours that share ``depth`` words.
+    ``words`` are numbers of words.  A node of depth 2d is a pair of nodes of depth d; pairs are
+    numbered by sorting, so names are exact.
     """
-    for part, shared in split_by_prefix(suffixes, members, depth):
-        part.sort(key=lambda k: suffixes[k][shared:])
-        node = part[:1]
-        for k in part[1:]:
-            if suffixes[k] == suffixes[node[0]]:
-                node.append(k)
-            else:
-                yield node
-                node = [k]
-        if node:
-            yield node
+    name, have = words.astype(np.int64), 1
+    while have < depth:
+        step = min(have, depth - have)
+        pair = name[: len(name) - step] * (int(name.max(initial=0)) + 1) + name[step:]
+        order = np.argsort(pair, kind="stable")
+        ranked = pair[order]
+        name = np.empty(len(pair), np.int64)
+        name[order] = np.cumsum(np.append(False, ranked[1:] != ranked[:-1])[: len(pair)])
+        have += step
+    return name
 
 
 COVER = "doc_id long, text_hash long, start long, stop long"
 
 
+def covered_by(stretches: list[tuple[np.ndarray, bytes]]) -> np.ndarray:
+    """Ranges of words under internal nodes of whole groups: (doc_id, text_hash, start, stop)."""
+    numbers: dict[bytes, int] = {}
+    split = [text.split(b" ") for _, text in stretches]
+    flat = np.fromiter((numbers.setdefault(w, len(numbers)) for own in split for w in own), np.int64, sum(map(len, split)))
+    base = np.concatenate([[0], np.cumsum([len(own) for own in split])[:-1]])
+    place = np.stack([p for p, _ in stretches])
+    n = np.abs(place[:, 3])
+    owner = np.repeat(np.arange(len(n)), n)
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    name = deep_nodes(flat)[base[owner] + inside]
+    met = np.bincount(name, np.where(place[owner, 3] < 0, 2, 1))[name] > 1
+    owner, inside = owner[met], inside[met]
+    if not len(owner):
+        return np.empty((0, 4), np.int64)
+    # starts of one stretch that are at most DEPTH apart make one range
+    cut = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (inside[1:] > inside[:-1] + DEPTH)))
+    last = np.append(cut[1:], len(owner)) - 1
+    at = place[owner[cut]]
+    return np.stack([at[:, 0], at[:, 1], at[:, 2] + inside[cut], at[:, 2] + inside[last] + DEPTH], axis=1)
+
+
 def meet_stretches(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     """Step 4: the covered ranges of words that the subtrees of one part give."""
     out = [np.empty((0, 4), np.int64)]
-    groups: dict[int, list[tuple[tuple[int, ...], bytes]]] = {}
+    keys, places, texts = [np.empty(0, np.int64)], [np.empty((0, 4), np.int64)], []
     for kind, a, b, c, d, e in zip(*(rows.column(x).to_pylist() for x in ("kind", *NAMES)), strict=True):
         if kind == PASS:
             out.append(np.stack([np.frombuffer(x, np.int64) for x in (a, b, c, d)], axis=1))
             continue
         ends = np.cumsum(np.frombuffer(d, np.int64)).tolist()
-        for key, place, low, high in zip(np.frombuffer(a, np.int64).tolist(), np.frombuffer(b, np.int64).reshape(-1, 4).tolist(), [0, *ends], ends, strict=False):
-            groups.setdefault(key, []).append((place, e[low:high]))
-    found: list[tuple[int, int, int, int]] = []
-    for group in groups.values():
-        if len(group) == 1 and group[0][0][3] > 0:
+        keys.append(np.frombuffer(a, np.int64))
+        places.append(np.frombuffer(b, np.int64).reshape(-1, 4))
+        texts += [e[low:high] for low, high in zip([0, *ends], ends, strict=False)]
+    key, place = np.concatenate(keys), np.concatenate(places)
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])[: len(key)])
+    held: list[tuple[np.ndarray, bytes]] = []
+    words = 0
+    for low, high in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=False):
+        if high - low == 1 and place[order[low], 3] > 0:
             continue  # one stretch, met once; equal windows never share the position that represents them
-        suffixes, owner = [], []
-        for k, (place, text) in enumerate(group):
-            words = text.split(b" ")
-            for s in range(abs(place[3])):
-                suffixes.append(words[s : s + DEPTH])
-                owner.append((k, s))
-        hit: dict[int, list[int]] = {}
-        for node in deep_nodes(suffixes, list(range(len(suffixes)))):
-            if len(node) > 1 or group[owner[node[0]][0]][0][3] < 0:
-                for leaf in node:
-                    k, s = owner[leaf]
-                    hit.setdefault(k, []).append(s)
-        for k, starts in hit.items():
-            doc_id, text_hash, base, _ = group[k][0]
-            starts.sort()
-            low = last = starts[0]
-            for s in [*starts[1:], None]:
-                if s is None or s > last + DEPTH:
-                    found.append((doc_id, text_hash, base + low, base + last + DEPTH))
-                    low = s
-                last = s
-    out.append(np.array(found, np.int64).reshape(-1, 4))
+        for k in order[low:high].tolist():
+            held.append((place[k], texts[k]))
+            words += int(abs(place[k, 3])) + DEPTH - 1
+        if words >= PART:
+            out.append(covered_by(held))
+            held, words = [], 0
+    if held:
+        out.append(covered_by(held))
     cover = np.concatenate(out)
     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cover.T], ["doc_id", "text_hash", "start", "stop"])
 
@@ -303,10 +314,10 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
 
     sent = docs.select("doc_id", "text_hash", "text").mapInArrow(send_positions, PACKED)
     live = materialize(sent.repartition("p").sortWithinPartitions("p").mapInArrow(positions, LIVE), "positions")
-    # at most FREQUENT_SHARE prefixes can have more than a share of 1 / FREQUENT_SHARE each
-    total = live.filter("n = 0").count()
-    rows = live.filter((F.col("n") > 0) & (F.col("n") * FREQUENT_SHARE >= total)).select("doc_id").collect()
-    frequent = spark.sparkContext.broadcast(np.array([r.doc_id for r in rows], np.int64).view(U64))
+    # prefixes of at least total / MOST_PREFIXES positions are at most MOST_PREFIXES
+    total = live.filter("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = live.filter((F.col("n") > 0) & (F.col("n") * MOST_PREFIXES >= total)).select("doc_id").toArrow()
+    frequent = spark.sparkContext.broadcast(np.sort(rows.column(0).to_numpy().view(U64)))
 
     by_doc = live.filter("n = 0").groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("places"))
 
@@ -342,7 +353,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = id_and_text(docs, id_col, text_col).withColumn("row_id", F.col("doc_id").cast("long"))
     rows = rows.select(F.coalesce("row_id", F.lit(0)).alias("doc_id"), F.xxhash64("text", F.col("row_id").isNull()).alias("text_hash"), "row_id", "text")
     ranges = repeated_ranges(rows)
-    cover = materialize(ranges.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")), "cover")
+    # equal ranges of equal rows meet in each task before they are exchanged
+    cover = materialize(ranges.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("ranges")), "cover")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
