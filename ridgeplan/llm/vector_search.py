@@ -10,23 +10,29 @@ a lower bound of their distance that rises with the resolution.  As
 Candidates whose bound stays below the k-th best score so far are dropped at the coarse
 level, then at the finer one; the rest get exact integer scores.
 
-Queries are a stated subset of the rows.  They are taken in blocks of a fixed size; a block
-is broadcast (its size is known) and meets every row of the table, without an exchange
-of vectors; each task keeps k rows per query and a last step merges those.
+Queries are a stated subset of the rows.  They are written once to the shared folder in
+blocks; each task holds some tens of MB of its vectors at a time and streams the blocks past
+them, so vectors are never exchanged and no query passes through the driver.  A task
+gives k rows per query and group of vectors, and a last step merges those.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ridgeplan.llm.binary_output import file_system
+from ridgeplan.runtime import new_path
+
 SCALE, BLOCK, CHUNK = 256, 4096, 1024
+#: Components of vectors that a task holds at a time (eight bytes each).
+HELD = 8_000_000
 #: Share of a block that survives from which the next level is computed for the whole block.
 DENSE = 0.02
 BEST = "query_id long, vec_id long, score long"
@@ -153,35 +159,61 @@ class TopK:
         return pa.RecordBatch.from_arrays([pa.array(x[held], pa.int64()) for x in (ids, self.vec, self.score)], ["query_id", "vec_id", "score"])
 
 
+def held_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Usable vectors (ids, components) in groups of about ``most`` components."""
+    ids, parts, size = [], [], 0
+    for batch in batches:
+        good, x = quantised(batch.column(1))
+        if len(good):
+            ids.append(batch.column(0).to_numpy(zero_copy_only=False)[good])
+            parts.append(x)
+            size += x.size
+        if size >= most:
+            yield np.concatenate(ids), stacked(parts)
+            ids, parts, size = [], [], 0
+    if ids:
+        yield np.concatenate(ids), stacked(parts)
+
+
+def stacked(parts: list[np.ndarray]) -> np.ndarray:
+    d = max(x.shape[1] for x in parts)
+    return np.concatenate([np.pad(x, ((0, 0), (0, d - x.shape[1]))) for x in parts])
+
+
+def query_blocks(folder: str, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Usable queries (ids, components) from the shared folder, a block at a time."""
+    fs, path = file_system(folder)
+    for batch in pads.dataset(path, filesystem=fs, format="parquet").to_batches(columns=["vec_id", "embedding"], batch_size=block, batch_readahead=1, fragment_readahead=1):
+        good, q = quantised(batch.column(1))
+        if len(good):
+            yield batch.column(0).to_numpy()[good], q
+
+
 def top_k(vectors: DataFrame, queries: Column, k: int = 5, *, id_col: str = "vec_id", vector_col: str = "embedding", levels: tuple[int, ...] = (8, 32), block: int = BLOCK) -> DataFrame:
     """The k best rows by inner product for every row where ``queries`` (on ``id_col``) holds.
 
     query_id, rank (from 1), vec_id, score; ties to the smaller id; a row is never its own
     result.  Rows without an id, and vectors that are null or hold null or non-finite
-    components, take no part.  Fewer candidates than k: all of them.
+    components, take no part.  Fewer candidates than k: all of them.  Each row of a repeated
+    id is a candidate of other ids; queries that share an id share one list of k rows.
+    The folder of ``spark.checkpoint.dir`` must be open to pyarrow on the executors.
     """
     rows = vectors.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"), queries.alias("is_query"))
     asked = rows.filter("is_query").select("vec_id", "embedding")
     blocks = max(1, math.ceil(asked.count() / block))
-    spark, found = vectors.sparkSession, []
-    for b in range(blocks):
-        own = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()  # about `block` rows
-        good, q = quantised(own.column("embedding").combine_chunks())
-        ids = own.column("vec_id").to_numpy()[good]
-        sent = spark.sparkContext.broadcast((ids, q))
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            best = TopK(*sent.value, k, levels)
-            for batch in batches:
-                good, x = quantised(batch.column(1))
-                vec_ids = batch.column(0).to_numpy(zero_copy_only=False)[good]
+    folder = new_path(vectors.sparkSession, "queries")
+    asked.repartition(blocks, F.xxhash64("vec_id")).write.option("compression", "zstd").parquet(folder)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for vec_ids, x in held_groups(batches, HELD):
+            for ids, q in query_blocks(folder, block):
+                best = TopK(ids, q, k, levels)
                 for low in range(0, len(vec_ids), CHUNK):
                     best.add(vec_ids[low : low + CHUNK], x[low : low + CHUNK])
-            yield best.rows()
+                yield best.rows()
 
-        found.append(rows.select("vec_id", "embedding").mapInArrow(search, BEST))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    best = rows.select("vec_id", "embedding").mapInArrow(search, BEST).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
 
 
