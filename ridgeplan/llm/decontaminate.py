@@ -1,11 +1,12 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 All windows of ten consecutive words of the benchmark items (lower-cased, words only)
-become patterns of a single automaton.  Each document is normalised once into its words
-joined by single spaces, scanned once, and each match is mapped back through the word
-offsets to words and characters of the original text.
+become patterns of a single automaton over word numbers: each word of the benchmark is
+written as a fixed number of symbols, every other word as as many blanks.  Each document is
+normalised once into its words, written likewise, scanned once, and each match is mapped back through
+the place of its words to the original text.
 
-The automaton is made once per worker from the broadcast items and takes about 400 times
+The automaton is made once per worker from the broadcast items and takes about 150 times
 their bytes.  The benchmark is a fixed test set whose size is checked
 (``max_benchmark_bytes``).  One of more than ``part_bytes`` is cut into parts; then a task
 holds ``CHUNK_BYTES`` of documents and scans them with one part's automaton after another,
@@ -17,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -24,12 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeplan.llm.common import id_and_text
+from ridgeplan.llm.common import id_and_text, utf8
 
 #: What is a word, and what is lower-cased (A-Z only).
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-LOWER = {c: c + 32 for c in range(65, 91)}
+#: The same on UTF-8 bytes: other characters than words become spaces, A-Z become lower case.
+AS_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WINDOW = 10
+#: Benchmark text of one automaton.
+PART_BYTES = 768 << 10
 #: Text that a task holds while the parts of a large benchmark pass over it.
 CHUNK_BYTES = 32 << 20
 
@@ -37,18 +42,33 @@ HITS = "doc_id long, n_words long, n_hit long, items array<string>, spans array<
 
 
 def lower_ascii(text: str) -> str:
-    return text.lower() if text.isascii() else text.translate(LOWER)
+    return utf8(text).lower().decode("utf-8", "surrogatepass")
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a whole text, as UTF-8."""
+    return utf8(text or "").translate(AS_WORDS).split()
+
+
+#: Each digit of a word's number has its own 256 symbols, from here on.
+SYMBOLS, BASE = 0x4E00, 256
 
 
 class Windows:
     """The automaton of a set of items; ``scan`` gives the hit words of a text."""
 
-    def __init__(self, items: list[tuple[object, list[str]]], window: int = WINDOW) -> None:
-        patterns: dict[str, tuple[int, set[str]]] = {}
+    def __init__(self, items: list[tuple[object, list[bytes]]], window: int = WINDOW) -> None:
+        vocabulary = sorted({word for _, words in items for word in words})
+        self.digits = 1
+        while BASE**self.digits < len(vocabulary):
+            self.digits += 1
+        digit = lambda k, d: chr(SYMBOLS + d * BASE + k // BASE**d % BASE)
+        self.code = {word: "".join(digit(k, d) for d in range(self.digits)) for k, word in enumerate(vocabulary)}
+        patterns: dict[str, tuple[int, set]] = {}
         for item_id, words in items:
             for k in range(max(1, len(words) - window + 1) if words else 0):
                 part = words[k : k + window]
-                patterns.setdefault(f" {' '.join(part)} ", (len(part), set()))[1].add(str(item_id))
+                patterns.setdefault("".join(map(self.code.__getitem__, part)), (len(part), set()))[1].add(None if item_id is None else str(item_id))
         self.automaton = ahocorasick.Automaton()
         for pattern, (n, ids) in patterns.items():
             self.automaton.add_word(pattern, (n, tuple(ids)))
@@ -56,19 +76,17 @@ class Windows:
         if patterns:
             self.automaton.make_automaton()
 
-    def scan(self, text: str) -> tuple[int, np.ndarray, set[str]]:
+    def scan(self, text: str) -> tuple[int, np.ndarray, set]:
         """Number of words, flags of hit words, items with occurring windows."""
-        words = WORD.findall(lower_ascii(text))
+        words = words_of(text)
         if not words or self.empty:
             return len(words), np.zeros(0, bool), set()
-        ends: np.ndarray | None = None
-        items: set[str] = set()
+        items: set = set()
         marks = None
-        for last, (n, ids) in self.automaton.iter(f" {' '.join(words)} "):
-            if ends is None:  # position of the space after each word
-                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        for last, (n, ids) in self.automaton.iter("".join(map(self.code.get, words, repeat(" " * self.digits)))):
+            if marks is None:
                 marks = np.zeros(len(words) + 1, np.int64)
-            stop = int(np.searchsorted(ends, last)) + 1
+            stop = last // self.digits + 1
             marks[stop - n] += 1
             marks[stop] -= 1
             items.update(ids)
@@ -91,12 +109,12 @@ def char_spans(text: str, hit: np.ndarray) -> list[dict]:
     return spans
 
 
-def benchmark_parts(items: list[tuple[object, str | None]], window: int, most: int) -> list[list[tuple[object, list[str]]]]:
+def benchmark_parts(items: list[tuple[object, str | None]], window: int, most: int) -> list[list[tuple[object, list[bytes]]]]:
     """The items' words in parts of about ``most`` bytes; a longer item is cut so that each of its windows is in a part."""
     parts, size = [[]], 0
     for item_id, text in items:
-        words = WORD.findall(lower_ascii(text or ""))
-        total = sum(len(word.encode("utf-8", "surrogatepass")) + 1 for word in words)
+        words = words_of(text)
+        total = sum(len(word) + 1 for word in words)
         n = len(words) if total <= most else max(window, len(words) * most // total)
         step = max(1, n - window + 1)
         for k in range(0, max(1, len(words) - window + 1), step):
@@ -113,7 +131,7 @@ def benchmark_parts(items: list[tuple[object, str | None]], window: int, most: i
 _AUTOMATON: dict[str, Windows] = {}
 
 
-def worker_automaton(part: list[tuple[object, list[str]]], window: int) -> Windows:
+def worker_automaton(part: list[tuple[object, list[bytes]]], window: int) -> Windows:
     """The worker's automaton of a benchmark of one part."""
     key = hashlib.sha256(repr((part, window)).encode("utf-8", "surrogatepass")).hexdigest()
     if key not in _AUTOMATON:
@@ -169,11 +187,11 @@ def benchmark_items(benchmark: DataFrame, item_col: str = "item_id", text_col: s
     return sorted(((r.item_id, r.text) for r in rows.collect()), key=repr)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, part_bytes: int = 256 << 10, with_spans: bool = True) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, part_bytes: int = PART_BYTES, with_spans: bool = True) -> DataFrame:
     """Per document: n_words, n_hit, the items that occur, and their character spans.
 
     Null or empty text has no words.  An item of fewer words than a window, but not
-    none, is one window.  Repeated rows give repeated results.  An empty benchmark hits
+    none, is one window.  Items without an id hit like others and are listed as one null at the end.  Repeated rows give repeated results.  An empty benchmark hits
     nothing.  One pass over the documents, no exchange.
     """
     items = benchmark_items(benchmark, item_col, item_text_col)
@@ -182,7 +200,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
         for batch, scans in scan_batches(batches, 1, items, window, part_bytes):
             out: tuple[list, ...] = ([], [], [], [])
             for text, (n, hit, ids) in zip(batch.column(1).to_pylist(), scans, strict=True):
-                for column, value in zip(out, (n, int(hit.sum()), sorted(ids), char_spans(text, hit) if with_spans and len(hit) else []), strict=True):
+                for column, value in zip(out, (n, int(hit.sum()), sorted(ids, key=lambda x: (x is None, x)), char_spans(text, hit) if with_spans and len(hit) else []), strict=True):
                     column.append(value)
             span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.string())), pa.array(out[3], pa.list_(span))], ["doc_id", "n_words", "n_hit", "items", "spans"])
@@ -191,8 +209,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     return rows.mapInArrow(scan, HITS)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", window: int = WINDOW, part_bytes: int = 256 << 10) -> DataFrame:
-    """The rows of ``docs`` (all columns) in which no window of the benchmark occurs."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The rows of ``docs`` (all columns) in which no window of the benchmark occurs.
+
+    Null and empty texts have no words and stay; repeated rows stay or go together.
+    """
     items, place = benchmark_items(benchmark), docs.columns.index(text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
