@@ -60,10 +60,10 @@ def repeats_removed(rows, depth=35):
     return sorted(out)
 
 
-@pytest.mark.parametrize("frequent", [512, 2])
-def test_substring_dedup(spark, frequent, monkeypatch):
+@pytest.mark.parametrize(("frequent", "part"), [(512, 400_000), (2, 300)])
+def test_substring_dedup(spark, frequent, part, monkeypatch):
     monkeypatch.setattr(substring_dedup, "FREQUENT", frequent)
-    monkeypatch.setattr(substring_dedup, "FREQUENT_SHARE", 10**9 if frequent == 2 else substring_dedup.FREQUENT_SHARE)
+    monkeypatch.setattr(substring_dedup, "PART", part)
     rows = awkward()
     got = substring_dedup.remove_repeats(table(spark, rows)).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == repeats_removed(rows)
@@ -71,14 +71,25 @@ def test_substring_dedup(spark, frequent, monkeypatch):
     assert substring_dedup.remove_repeats(table(spark, rows).filter("false")).count() == 0
 
 
-def test_subtrees_split_by_prefix():
+@pytest.mark.parametrize("chunk_words", [500, 2_000_000])
+def test_many_equal_rows(spark, chunk_words, monkeypatch):
+    """A hot group of equal rows without an id, and one that shares a passage with it."""
+    monkeypatch.setattr(substring_dedup, "CHUNK_WORDS", chunk_words)
+    rng = random.Random(6)
+    hot = words(rng, 70, 10_000)
+    rows = [(None, " ".join(hot))] * 3000 + [(1, " ".join(words(rng, 20, 10_000) + hot[10:60])), (2, " ".join(words(rng, 90, 10_000)))]
+    got = substring_dedup.remove_repeats(table(spark, rows, 5), with_text=False).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert {(r.doc_id, r.n_words, r.n_removed, r["count"]) for r in got} == {(None, 70, 70, 3000), (1, 70, 50, 1), (2, 90, 0, 1)}
+
+
+def test_nodes_by_depth():
     rng = random.Random(1)
-    suffixes = [[rng.choice([b"a", b"b"]) for _ in range(6)] for _ in range(300)]
-    parts = list(substring_dedup.split_by_prefix(suffixes, list(range(300)), 6, limit=10))
-    assert sorted(k for part, _ in parts for k in part) == list(range(300))
-    nodes = list(substring_dedup.deep_nodes(suffixes, list(range(300)), 6))
-    assert Counter(tuple(suffixes[n[0]]) for n in nodes) == Counter(set(map(tuple, suffixes)))
-    assert all(len({tuple(suffixes[k]) for k in n}) == 1 for n in nodes)
+    words_ = np.array([rng.randrange(3) for _ in range(3000)])
+    for depth in (1, 2, 3, 8, 35):
+        names = substring_dedup.deep_nodes(words_, depth)
+        of = {}
+        assert all(of.setdefault(tuple(words_[k : k + depth]), names[k]) == names[k] for k in range(len(names)))
+        assert len(set(of.values())) == len(of) and len(names) == len(words_) - depth + 1
 
 
 # ---- 2, 5: classifiers
@@ -144,6 +155,92 @@ def test_features_of_long_texts_do_not_depend_on_pieces(monkeypatch):
     assert all(np.array_equal(x, y) for x, y in zip(whole, cut, strict=True))
 
 
+def test_features_are_character_ngrams():
+    """Present features of a text are exactly the hashes of its 3 to 6 character n-grams."""
+    one = lambda gram: {int(f) for n, x in toxicity.hashed(np.frombuffer(gram.encode("utf-32-le"), "<u4")) if n == len(gram) for f in x}
+    for text in ("Grüße aus Köln", "日本語のテキスト", "ab", "abc", "a\U0001f600b\U0001f600cd", "x" * 50):
+        low = text.lower()
+        want = {f for n in (3, 4, 5, 6) for k in range(len(low) - n + 1) for f in one(low[k : k + n])}
+        doc, feature = toxicity.present(["zz", text, None])
+        assert set(feature[doc == 1].tolist()) == want
+        if len(low) >= 6:
+            assert len(want) >= len({low[k : k + 6] for k in range(len(low) - 5)})
+
+
+def test_log_count_ratios_by_hand(spark):
+    """Chosen features and their ratios against a naive counter of documents by n-gram."""
+    docs, labels, truth = labelled(spark, n=120)
+    counts = {0: Counter(), 1: Counter()}
+    size = Counter()
+    texts = {r.doc_id: r.text for r in docs.filter("doc_id IS NOT NULL").collect() if r.doc_id != 5}
+    texts[5] = min((r.text for r in docs.filter("doc_id = 5").selectExpr("text", "xxhash64(text) AS h").collect()), key=lambda t: docs.sparkSession.range(1).select(F.xxhash64(F.lit(t)).alias("h")).first().h)
+    for k, (_, toxic) in truth.items():
+        if zlib.crc32(str(k).encode()) % 4 != 2 and k != 7 or (k == 7 and zlib.crc32(b"7") % 4 != 2):
+            size[toxic] += 1
+            counts[toxic].update(set(toxicity.present([texts[k]])[1].tolist()))
+    fitted = toxicity.train(docs, labels, n_features=200)
+    p = {f: (counts[1][f] + 1) / (size[1] + 2) for f in set(counts[0]) | set(counts[1]) if counts[0][f] + counts[1][f] >= 8}
+    q = {f: (counts[0][f] + 1) / (size[0] + 2) for f in p}
+    z = {f: abs(math.log(p[f] / q[f])) / math.sqrt((1 - p[f]) / (counts[1][f] + 1) + (1 - q[f]) / (counts[0][f] + 1)) for f in p}
+    least = sorted(z.values())[-200]
+    assert all(z[f] >= least - 1e-9 for f in fitted.chosen.tolist()) and len(fitted.chosen) == 200
+
+
+def test_sample_is_bounded_and_repeatable(spark):
+    """Repeated ids and conflicting labels: one row per id, the smallest label."""
+    docs = table(spark, [(k % 6, f"text {k}") for k in range(60)], 7)
+    labels = spark.createDataFrame([(k % 6, k % 2, (k // 6) % 2) for k in range(24)], "doc_id long, quality int, toxic int")
+    got = [sorted(map(tuple, toxicity.labelled(docs.repartition(n), labels, "toxic", 4).collect())) for n in (1, 9)]
+    assert got[0] == got[1] and len(got[0]) <= 4 and {y for _, y in got[0]} == {0}
+
+
+def plain_walk(trees, row):
+    """One row through each tree, node by node."""
+    z = trees.bias
+    for root in trees.roots.tolist():
+        node = root
+        while trees.left[node] != node:
+            k = trees.feature[node]
+            b = sum(row[k] > e for e in trees.edges[k])
+            node = int(trees.left[node] if b <= trees.limit[node] else trees.right[node])
+        z += trees.value[node]
+    return 1 / (1 + math.exp(-z))
+
+
+def test_flat_trees_score_like_a_plain_walk():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 5)).round(1)
+    trees = quality.grow(x, ((x[:, 0] + x[:, 3] ** 2 > 0.5) ^ (rng.random(400) < 0.1)).astype(float), rounds=25)
+    probe = np.concatenate([x[:50], rng.normal(size=(50, 5)) * 5])
+    assert len(trees.roots) == 25 and np.allclose(trees.score(probe), [plain_walk(trees, r) for r in probe])
+
+
+def test_statistics_by_hand():
+    text = "One two two THREE.\n\none 12 | 7%\nOne two two THREE.\n"
+    got = dict(zip(quality.FEATURES, quality.statistics(text), strict=True))
+    own = text.split()
+    lines = [x for x in text.split("\n") if x.strip()]
+    want = {
+        "chars": math.log1p(len(text)), "words": math.log1p(len(own)), "lines": math.log1p(3), "mean_word": sum(map(len, own)) / len(own), "short_words": sum(len(w) <= 3 for w in own) / len(own),
+        "distinct_words": len(set(own)) / len(own), "top_word": 4 / len(own), "same_neighbour": 2 / len(own), "digits": 3 / len(text), "upper": sum(c.isupper() for c in text) / len(text), "pipes": 1 / len(text),
+        "spaces": sum(c.isspace() for c in text) / len(text), "ended_lines": 2 / 3, "distinct_lines": 2 / 3, "capital_lines": 2 / 3, "numbers": 1 / len(own), "mean_line": math.log1p(len(text) / len(lines)),
+    }
+    assert all(abs(got[k] - v) < 1e-9 for k, v in want.items()), {k: (got[k], v) for k, v in want.items()}
+    assert quality.statistics(None) == quality.statistics(" \n") == [0.0] * len(quality.FEATURES)
+
+
+@pytest.mark.parametrize(("name", "target", "threshold", "least"), [("op2_quality", "quality", 0.7, 0.9), ("op5_toxicity", "toxic", 0.3, 0.9)])
+def test_held_out_accuracy(spark, name, target, threshold, least):
+    """Rows that no classifier saw, at the contract's threshold, on the given tables."""
+    from ridgeplan.llm.registry import QUERIES
+
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", F.col(target).alias("y"))
+    got = QUERIES[name](spark, folder).join(labels, "doc_id").filter("held_out AND y IS NOT NULL").collect()
+    assert len(got) > 30 and all((r.score >= threshold) == bool(r.predicted) for r in got)
+    assert sum(r.predicted == r.y for r in got) >= least * len(got)
+
+
 def test_trees_learn_a_threshold():
     x = np.random.default_rng(0).random((500, 3))
     y = (x[:, 1] > 0.5).astype(float)
@@ -194,6 +291,74 @@ def test_loose_family(spark):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == links_of(rows, 4, 80, 100)
 
 
+def test_allocation_covers_every_pair_of_sizes():
+    """Whatever a set chooses to ask with, its partners are indexed there: by enumeration of all sizes."""
+    for num in (85, 80, 50):
+        t = jaccard.Threshold(num, 100)
+        for a in range(1, 1500 if num > 50 else 300):
+            need = t.differ(2 * a) + 1  # units that a asks with, enough for partners up to its own size
+            assert t.choice(a) >= need
+            low = -(-num * a // 100)
+            assert all(t.units(b) >= t.choice(a) and t.differ(a + b) < need for b in (low, (low + a) // 2, a))
+            own = jaccard.bands(a, t)[0]
+            assert all(own in jaccard.bands(b, t) for b in (low, (low + a) // 2, a)) and own > t.units(a)
+
+
+def test_link_of_a_text_and_its_beginning(spark):
+    """A text of twenty words, its first eighteen and an exact copy are one class."""
+    rng = random.Random(17)
+    for _ in range(3):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(20)]
+        rows = [(1, " ".join(text)), (2, " ".join(text[:18])), (3, " ".join(text))]
+        got = jaccard.JaccardJoin().components(table(spark, rows)).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 17, 1), (2, 15, 1), (3, 17, 1)]
+
+
+@pytest.mark.parametrize(("size", "num"), [(4, 85), (5, 80)])
+def test_random_near_copies_meet(size, num):
+    """Signatures of random near copies of 8 to 200 words: no linked pair is without a common asked bucket."""
+    rng, t, linked = random.Random(size), jaccard.Threshold(num, 100), 0
+    for _ in range(4000):
+        text = [b"w%d" % rng.randrange(10**6) for _ in range(rng.randint(8, 200) if rng.random() < 0.3 else rng.randint(8, 40))]
+        other = list(text)
+        for _ in range(rng.randint(0, 1 + len(text) // 40)):
+            k = rng.choice([0, len(other) - 1, rng.randrange(len(other))])
+            other[k : k + rng.randint(0, 2)] = [b"x%d" % rng.randrange(10**6) for _ in range(rng.randint(0, 2))]
+        a, b = jaccard.shingles(text, size), jaccard.shingles(other, size)
+        if len(a) and len(b) and t.links(a, b) and jaccard.node_of(a) != jaccard.node_of(b):
+            linked += 1
+            fa, fb = (jaccard.signatures(x, t, np.array([rng.randint(1, 50) for _ in x])) for x in (a, b))
+            assert len(jaccard.bucketed(np.concatenate([fa, fb]), np.repeat([1, 2], [len(fa), len(fb)]))[0])
+    assert linked > 800
+
+
+def test_tiles_give_every_open_pair(monkeypatch):
+    """Cut tiles say so; the round without a cut gives all pairs that the sketches leave."""
+    rng, t = np.random.default_rng(3), jaccard.Threshold(80, 100)
+    core = rng.integers(0, 2**63, 60, dtype=np.int64).astype(np.uint64)
+    sets = [np.unique(np.append(rng.permutation(core)[: 56 + k % 4], rng.integers(0, 2**63, 2, dtype=np.int64).astype(np.uint64))) for k in range(40)]
+    batch = pa.record_batch({"tile": pa.array([1] * 40), "side": pa.array([2] * 40), "node": pa.array(range(40)), "component": pa.array(range(40)), "n": pa.array([len(s) for s in sets]), "parity": pa.array([jaccard.parity(s) for s in sets])})
+    tile = pa.Table.from_batches([batch])
+    whole = pa.Table.from_batches(jaccard.candidate_tiles(iter([tile]), t, True)).to_pydict()
+    pairs = set(zip(whole["a"], whole["b"], strict=True))
+    assert not any(whole["more"]) and all((a, b) in pairs for a in range(40) for b in range(a + 1, 40) if t.links(sets[a], sets[b]))
+    cut = pa.Table.from_batches(jaccard.candidate_tiles(iter([tile]), t, False)).to_pydict()
+    assert cut["more"].count(True) == 1 and len(cut["a"]) == 40
+    monkeypatch.setattr(jaccard, "PAIRS_PER_NODE", 1000)
+    assert pa.Table.from_batches(jaccard.candidate_tiles(iter([tile]), t, False)).to_pydict() == whole
+
+
+def test_words_end_at_all_six_separators():
+    text = "a\tb\nc\x0bd\x0ce\rf g"
+    assert jaccard.words_of(text) == [b"a", b"b", b"c", b"d", b"e", b"f", b"g"]
+    import duckdb
+
+    inner = jaccard.ORACLE_SQL["op3_jaccard_join"].split("AS w FROM documents")[0].split("SELECT doc_id, ", 1)[1]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT 1 AS doc_id, $1 AS text", [text])
+    assert con.execute(f"SELECT {inner} FROM documents").fetchone()[0] == list("abcdefg")
+
+
 def test_pigeonhole_covers_every_link():
     """Sets at the threshold always share a signature that the larger one asks with."""
     rng, t = np.random.default_rng(4), jaccard.Threshold(85, 100)
@@ -228,7 +393,7 @@ def test_pigeonhole_covers_sets_of_different_size(num, pairs):
 # ---- 4: top-k search
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(int(k), [float(x) for x in rng.normal(size=24)]) for k in range(300)]
     rows += [(400 + k, rows[0][1]) for k in range(8)] + [(500, None), (501, [1.0, None]), (502, [float("nan")] * 24), (503, []), (504, [1.0]), (550, [0.5] * 24), (None, [1.0] * 24), (600, [3e38] * 24)]
@@ -241,6 +406,7 @@ def test_top_k(spark):
             clamp = lambda s: min(max(s, -(2**63)), 2**63 - 1)
             best = sorted(((-clamp(sum(x * y for x, y in zip(a, b, strict=False))), i) for i, b in vectors.items() if i != q))[:5]
             want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    monkeypatch.setattr(vector_search, "HELD", 24 * 60)
     got = vector_search.top_k(table_, F.col("vec_id") % 50 == 0, 5)
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert vector_search.top_k(table_, F.col("vec_id") % 50 == 0, 5, block=2).count() == len(want)
@@ -249,6 +415,15 @@ def test_top_k(spark):
     assert [r.rank for r in sorted(few)] == [1, 2]
 
 
+def test_top_k_of_repeated_ids(spark):
+    """Rows of one id never meet one another; queries of one id share one list."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0]), (2, [0.0, 3.0]), (2, [0.0, 3.0]), (3, [1.0, 1.0])]
+    table_ = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vector_search.top_k(table_, F.col("vec_id") == 0, 4).collect()
+    best = sorted(((-65536 * int(sum(x * y for x, y in zip(a, b, strict=True))), j) for i, a in rows if i == 0 for j, b in rows if j))[:4]
+    assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
+
+
 # ---- 6, 7, 8: tokens
 
 
@@ -296,6 +471,26 @@ def test_plans_hold_every_piece():
         assert held == Counter(counts)
 
 
+def test_packing_is_as_good_as_plain_best_fit():
+    """Against a best-fit-decreasing packer that places one item at a time, on lengths like those of the tables."""
+    import bisect
+
+    def plain(lengths, capacity):
+        gaps = []
+        for z in sorted(lengths, reverse=True):
+            k = bisect.bisect_left(gaps, z)
+            gap = gaps.pop(k) if k < len(gaps) else capacity
+            bisect.insort(gaps, gap - z)
+        return len(gaps)
+
+    rng = random.Random(11)
+    for capacity in (64, 2048):
+        for _ in range(6):
+            lengths = [min(capacity, max(1, int(rng.lognormvariate(math.log(capacity / 5), 1)))) for _ in range(1500)]
+            ours = sum(n for n, _ in packing.plan_bins(dict(Counter(lengths)), capacity))
+            assert ours <= plain(lengths, capacity) * 1.01 + 1
+
+
 def test_large_items_pair_up():
     assert sum(n for n, _ in packing.plan_bins({60: 10, 40: 10}, 100)) == 10
     assert sum(n for n, _ in packing.plan_bins({45: 7}, 100)) == 4
@@ -410,6 +605,15 @@ def test_one_secret_of_each_class(prefix, letters, n):
     assert "3ax6xnjp29jd6fds4gc373sgvjxteol0" not in secrets.redacted("a key-3ax6xnjp29jd6fds4gc373sgvjxteol0 b")
 
 
+def test_a_filler_silences_its_neighbourhood_only():
+    rng = random.Random(4)
+    blob = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=300))
+    cut = blob[:150] + "xxxx" + blob[150:]
+    covered = {x for s, k, e in secrets.all_spans(cut) if k == 3 for x in range(s, e)}
+    assert covered >= set(range(20, 100)) | set(range(204, 290)) and not covered & set(range(112, 190))
+    assert not secrets.all_spans("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY")
+
+
 def test_words_with_numbers_are_no_secrets():
     for plain in ("usr/lib/python3/dist-packages/numpy-2", "release_notes_for_version_12_of_2024", "API_RATE_LIMIT_WINDOW_V2_SECONDS_60", "550E8400-E29B-41D4-A716-446655440000", "/2024/05/17/some-long-title-of-a-page/"):
         assert not secrets.all_spans(plain)
@@ -436,21 +640,21 @@ def hits_by_hand(text, items, n=10):
             for j in range(len(own) - len(window) + 1):
                 if own[j : j + len(window)] == window:
                     hit.update(range(j, j + len(window)))
-                    found.add(str(item))
-    return len(own), len(hit), sorted(found)
+                    found.add(item if item is None else str(item))
+    return len(own), len(hit), sorted(found - {None}) + [None] * (None in found)
 
 
 @pytest.mark.parametrize("part_bytes", [10, 1 << 18])
 def test_contamination(spark, part_bytes):
     rng = random.Random(8)
     item = words(rng, 25)
-    items = [(1, " ".join(item)), (2, "short one!"), (3, None), (4, ""), (5, " ".join(item[5:20])), (5, "éa Öb")]
-    rows = [(1, None), (2, ""), (3, "x, " + "! ".join(item[3:15]).upper()), (4, "A short...one; éa öb éa Öb"), (5, " ".join(item[:9])), (None, "short one"), (3, "short one short one"), (6, "y " * 60_000 + " ".join(item)), (7, "shortone short"), (8, "İé short one")]
+    items = [(1, " ".join(item)), (2, "short one!"), (3, None), (4, ""), (5, " ".join(item[5:20])), (5, "éa Öb"), (None, "without an id")]
+    rows = [(1, None), (2, ""), (9, "one without an id, short one"), (3, "x, " + "! ".join(item[3:15]).upper()), (4, "A short...one; éa öb éa Öb"), (5, " ".join(item[:9])), (None, "short one"), (3, "short one short one"), (6, "y " * 60_000 + " ".join(item)), (7, "shortone short"), (8, "İé short one")]
     benchmark = spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, doc_id long")
     got = decontaminate.contamination(table(spark, rows), benchmark, part_bytes=part_bytes).collect()
     assert Counter((r.doc_id, r.n_words, r.n_hit, str(r["items"])) for r in got) == Counter((i, *hits_by_hand(t, items)[:2], str(hits_by_hand(t, items)[2])) for i, t in rows)
     third = next(r for r in got if r.doc_id == 3 and r.n_words > 5)
-    text = rows[2][1]
+    text = rows[3][1]
     assert [text[s.start : s.end] for s in third.spans] == [text[3:]]
     clean = decontaminate.drop_contaminated(table(spark, rows), benchmark, part_bytes=part_bytes)
     assert Counter(r.doc_id for r in clean.collect()) == Counter(r.doc_id for r in got if not r.n_hit)
