@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeplan.functions import geo
@@ -15,16 +15,17 @@ def catalogue(devices: DataFrame) -> DataFrame:
     """One row: the devices that no other device beats, cheapest first.
 
     A device is beaten by a cheaper one (or an equally dear one earlier in file order) with at
-    least its range and throughput; what is left is a staircase, which stays small
-    for any catalogue.
+    least its range and throughput.  Devices are taken from the cheapest on and compared
+    with those that are left so far: a staircase, which stays small for any catalogue.
     """
     n = devices.count()
     if n > MOST_DEVICES:
         raise ValueError(f"{n} devices; a catalogue of at most {MOST_DEVICES} is expected")
     ranked = devices.select(F.struct(F.col("pair_cost").alias("cost"), "ord", "device_id", "throughput", "range_km").alias("d"))
     listed = ranked.agg(F.sort_array(F.collect_list("d")).alias("all"))
-    better = lambda d: F.exists("all", lambda o: (F.struct(o["cost"], o["ord"]) < F.struct(d["cost"], d["ord"])) & (o["range_km"] >= d["range_km"]) & (o["throughput"] >= d["throughput"]))
-    return listed.select(F.filter("all", lambda d: ~better(d)).alias("devices"))
+    beaten = lambda left, d: F.exists(left, lambda o: (o["range_km"] >= d["range_km"]) & (o["throughput"] >= d["throughput"]))
+    none = F.filter("all", lambda d: F.lit(False))
+    return listed.select(F.aggregate("all", none, lambda left, d: F.when(beaten(left, d), left).otherwise(F.concat(left, F.array(d)))).alias("devices"))
 
 
 def best_device(links: DataFrame, devices: DataFrame, km: str = "km", need: str = "need") -> DataFrame:
@@ -39,10 +40,6 @@ def best_device(links: DataFrame, devices: DataFrame, km: str = "km", need: str
     return chosen.select(*links.columns, F.coalesce("d.device_id", F.lit(-1)).alias("device_id"), F.coalesce("d.cost", F.lit(0)).alias("pair_cost"), F.coalesce("d.throughput", F.lit(0)).alias("capacity"))
 
 
-def feasible(devices_range: Column, devices_throughput: Column, km: Column, need: Column) -> Column:
-    return (devices_range >= km) & (devices_throughput >= need)
-
-
 def device_usage(edges: DataFrame, devices: DataFrame) -> DataFrame:
     """device_id, name, n_links, total_cost of the devices in use; unknown devices are dropped."""
     used = edges.groupBy("device_id").agg(F.count(F.lit(1)).alias("n_links"))
@@ -56,6 +53,16 @@ def solution_costs(edges: DataFrame) -> DataFrame:
     )
 
 
+def equipment_cost(edges: DataFrame, pinned: DataFrame, devices: DataFrame) -> DataFrame:
+    """One row: device costs of the used arcs (flow over zero); a pinned arc has its own device's cost.
+
+    A pinned link without a known device keeps the cost of the arc.
+    """
+    own = pinned.select("tail", "head", F.col("device_id").alias("pin")).dropDuplicates(["tail", "head"]).join(devices.select(F.col("device_id").alias("pin"), F.col("pair_cost").alias("pin_cost")), "pin", "left").drop("pin")
+    met = edges.filter("flow > 0").join(own, ["tail", "head"], "left")
+    return met.agg(F.sum(F.coalesce("pin_cost", "pair_cost")).cast("long").alias("equipment_cost"), F.count("pin_cost").alias("n_pinned"))
+
+
 def pinned_overlay(arcs: DataFrame, pinned: DataFrame, unlimited: int = 2**31 - 1) -> DataFrame:
     """Candidate arcs with pinned ones in their place: cost 0, own capacity (0: unlimited), seen or not."""
     p = pinned.select("tail", "head", F.lit(True).alias("is_pinned"), F.when(F.col("throughput") == 0, unlimited).otherwise(F.col("throughput")).alias("own_capacity"), F.col("device_id").alias("own_device"))

@@ -232,6 +232,12 @@ def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("node").distinct().join(n_in, "node", "left").join(n_out, "node", "left").select("node", F.coalesce("n_in", F.lit(0)).alias("n_in"), F.coalesce("n_out", F.lit(0)).alias("n_out"))
 
 
+def without_isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes (node, fixed) less the intermediate ones (not fixed) that no edge touches."""
+    touched = edges.select(F.explode(F.array("tail", "head")).alias("node")).distinct().withColumn("touched", F.lit(True))
+    return nodes.join(touched, "node", "left").filter("fixed OR touched").drop("touched")
+
+
 def leaf_edges(edges: DataFrame) -> DataFrame:
     """Edges whose head is never a tail."""
     return edges.join(edges.select(F.col("tail").alias("head")).distinct(), "head", "left_anti").select(edges.columns)
@@ -240,14 +246,22 @@ def leaf_edges(edges: DataFrame) -> DataFrame:
 def density_clusters(points: DataFrame, radius_m: float = 50.0, key: str = "site_id") -> DataFrame:
     """(key, cluster): points chained by steps of at most ``radius_m``; cluster: its smallest key.
 
-    Pairs are sought in bins of the radius: an equi-join with the 3 by 3 bins around.
+    Pairs are sought in bins of the radius: an equi-join with the 3 by 3 bins around.  Bins
+    of longitude are as wide as the radius is at the far edge of the next band of latitude, so
+    each band has its own; near the poles a band is one bin.  Points without a place stand alone.
     """
     lat_bin = radius_m / 111_000.0
-    lng_bin = lat_bin / 0.2  # wide enough for a bin up to 78 degrees of latitude
-    placed = points.select(F.col(key).alias("node"), "lat", "lng", F.floor(F.col("lat") / lat_bin).alias("i"), F.floor(F.col("lng") / lng_bin).alias("j"))
-    around = F.explode(F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    asked = placed.withColumn("d", around).select(F.col("node").alias("a"), F.col("lat").alias("lat1"), F.col("lng").alias("lng1"), (F.col("i") + F.col("d.di")).alias("i"), (F.col("j") + F.col("d.dj")).alias("j"))
-    met = asked.join(placed, ["i", "j"]).filter((F.col("a") < F.col("node")) & (geo.haversine_km(F.col("lat1"), F.col("lng1"), F.col("lat"), F.col("lng")) * 1000 <= radius_m))
+    width = lambda i: lat_bin / F.cos(F.radians(F.least(F.lit(89.9), F.greatest(F.abs(i * lat_bin), F.abs((i + 1) * lat_bin)) + lat_bin)))
+    bin_of = lambda lng, i: F.floor(F.pmod(lng + 180, F.lit(360.0)) / width(i))
+    count = lambda i: F.floor(F.lit(360.0) / width(i))  # noqa: E731  the last, narrower bin joins the one before
+    placed = points.select(F.col(key).alias("node"), "lat", "lng", F.floor(F.col("lat") / lat_bin).alias("i"))
+    bins = placed.withColumn("j", F.least(bin_of(F.col("lng"), F.col("i")), F.greatest(count(F.col("i")) - 1, F.lit(0))))
+    shift = F.explode(F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+    asked = placed.withColumn("d", shift).withColumn("i", F.col("i") + F.col("d.di"))
+    base = F.least(bin_of(F.col("lng"), F.col("i")), F.greatest(count(F.col("i")) - 1, F.lit(0)))
+    asked = asked.withColumn("j", F.pmod(base + F.col("d.dj"), F.greatest(count(F.col("i")), F.lit(1))))
+    asked = asked.select(F.col("node").alias("a"), F.col("lat").alias("lat1"), F.col("lng").alias("lng1"), "i", "j")
+    met = asked.join(bins, ["i", "j"]).filter((F.col("a") < F.col("node")) & (geo.haversine_km(F.col("lat1"), F.col("lng1"), F.col("lat"), F.col("lng")) * 1000 <= radius_m))
     comps = connected_components(met.select("a", F.col("node").alias("b")))
     return points.join(comps, F.col(key) == F.col("node"), "left").select(key, F.coalesce("component", key).alias("cluster"))
 

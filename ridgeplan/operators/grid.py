@@ -89,14 +89,14 @@ def weighted_elevation(points: DataFrame, cells: DataFrame, north: float, west:
     least; a neighbour without data, or of elevation zero, counts as the nearest sample.
     """
     y, x = (F.lit(north) - F.col("lat")) / step, (F.col("lng") - F.lit(west)) / step
-    located = points.select("*", y.alias("y"), x.alias("x"), F.floor(y + 0.5).cast("int").alias("r0"), F.floor(x + 0.5).cast("int").alias("c0"))
+    located = points.select("*", F.monotonically_increasing_id().alias("__row"), y.alias("y"), x.alias("x"), F.floor(y + 0.5).cast("int").alias("r0"), F.floor(x + 0.5).cast("int").alias("c0"))
     shifts = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))])
     asked = located.withColumn("shift", F.explode(shifts)).select("*", (F.col("r0") + F.col("shift.dr")).alias("r"), (F.col("c0") + F.col("shift.dc")).alias("c"))
     met = asked.join(cells.select("r", "c", "z"), ["r", "c"], "left")
     weight = F.greatest(F.lit(0.0), 1 - F.sqrt((F.col("y") - F.col("r")) * (F.col("y") - F.col("r")) + (F.col("x") - F.col("c")) * (F.col("x") - F.col("c"))))
     keys = [c for c in points.columns]
     centre = F.max(F.when((F.col("r") == F.col("r0")) & (F.col("c") == F.col("c0")), F.col("z")))
-    grouped = met.withColumn("weight", weight).groupBy(*keys).agg(centre.alias("z0"), F.sum("weight").alias("total"), F.collect_list(F.struct("weight", "z")).alias("near"))
+    grouped = met.withColumn("weight", weight).groupBy("__row", *keys).agg(centre.alias("z0"), F.sum("weight").alias("total"), F.collect_list(F.struct("weight", "z")).alias("near"))
     value = F.aggregate("near", F.lit(0.0), lambda acc, x: acc + x["weight"] * F.when(F.coalesce(x["z"], F.lit(0)) == 0, F.col("z0")).otherwise(x["z"]))
     return grouped.select(*keys, F.when(F.col("total") > 0, value / F.col("total")).otherwise(F.col("z0")).alias("z"))
 
@@ -116,6 +116,28 @@ def filled_track(track: DataFrame, key: str, order: str, known: str, along: str)
     return ends.withColumn("filled", value).drop("before", "after")
 
 
+def sampled_track(track: DataFrame, key: str, order: str, value: str, along: str, interval: float) -> DataFrame:
+    """A track's values taken only where a new interval of its length begins, interpolated between (``filled``)."""
+    step = F.floor(F.col(along) / interval)
+    before = F.lag(step).over(Window.partitionBy(key).orderBy(order))
+    known = F.when(before.isNull() | (step != before), F.col(value))
+    return filled_track(track.withColumn("__known", known), key, order, "__known", along).drop("__known")
+
+
+#: The sampling intervals in metres whose mean smooths a track.
+INTERVALS = (35.0, 141.0, 241.0)
+
+
+def smoothed_track(track: DataFrame, key: str, order: str, value: str, along: str, present: str | None = None) -> DataFrame:
+    """The mean of a track's samplings at three intervals (``filled``); values of ``present`` stay as they are."""
+    out = track
+    for k, interval in enumerate(INTERVALS):
+        out = sampled_track(out, key, order, value, along, interval).withColumnRenamed("filled", f"__s{k}")
+    names = [f"__s{k}" for k in range(len(INTERVALS))]
+    mean = sum((F.col(c) for c in names[1:]), F.col(names[0])) / len(names)
+    return out.withColumn("filled", mean if present is None else F.coalesce(F.col(present), mean)).drop(*names)
+
+
 def points_in_polygon(points: DataFrame, polygon: DataFrame, point_key: str = "point_id") -> DataFrame:
     """Points with ``inside`` by the crossing number; polygon rows: ord, lat, lng (closed by itself).
 

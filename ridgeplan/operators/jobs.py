@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeplan.functions import geo
+from ridgeplan.runtime import materialize, numbered
 
 MOST_JOBS, QUICK_CELLS = 3, 1_600
 
@@ -72,5 +73,24 @@ def next_ids(existing: DataFrame, fresh: DataFrame, order: str) -> DataFrame:
 
 
 def kept_order(edges: DataFrame) -> DataFrame:
-    """Edges with ``place``: flow ascending, then the text "tail,head"."""
-    return edges.withColumn("place", F.row_number().over(Window.orderBy("flow", F.concat_ws(",", F.col("tail").cast("string"), F.col("head").cast("string")))))
+    """Edges with ``place``: flow ascending, then the text "tail,head"; ranges of that order are numbered one by one."""
+    text = F.concat_ws(",", F.col("tail").cast("string"), F.col("head").cast("string"))
+    ordered = edges.withColumn("__text", text).repartitionByRange("flow", "__text").sortWithinPartitions("flow", "__text").withColumn("__ord", F.monotonically_increasing_id())
+    return numbered(materialize(ordered, "ordered"), "__ord", "place").drop("__text", "__ord")
+
+
+def one_source(nodes: DataFrame) -> DataFrame:
+    """(job_id, n_sources, ok): a job needs exactly one source."""
+    n = F.count(F.when(F.col("kind") == "source", 1))
+    return nodes.groupBy("job_id").agg(n.alias("n_sources"), (n == 1).alias("ok"))
+
+
+def local_ids(nodes: DataFrame) -> DataFrame:
+    """(node, local): distinct nodes numbered from 0 in ascending order."""
+    ordered = nodes.select("node").distinct().repartitionByRange("node").sortWithinPartitions("node").withColumn("__ord", F.monotonically_increasing_id())
+    return numbered(materialize(ordered, "nodes"), "__ord", "local").select("node", (F.col("local") - 1).alias("local"))
+
+
+def to_local(rows: DataFrame, ids: DataFrame, column: str = "node") -> DataFrame:
+    """Rows with ``local``, -1 for a node that has none."""
+    return rows.join(ids.withColumnRenamed("node", column), column, "left").withColumn("local", F.coalesce("local", F.lit(-1).cast("long")))

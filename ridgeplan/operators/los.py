@@ -9,12 +9,16 @@ edge cell comes last.  ``"outward"`` walks from the observer to the edge.
 
 The row form shows the computation as joins and folds and serves small grids and tests.
 The kernel serves any grid: one task holds the terrain (its size is checked) and takes
-observers in batches; for an observer all rays advance together.
+observers in batches; all rays of a batch advance together, step by step.  What it gives
+are packed rows of bits, on which unions, counts and links are computed without
+making a row of each visible pair.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,8 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A terrain of up to so many cells is broadcast (12 bytes each); the largest grid of a plan has 640,000.
+from ridgeplan.functions import geo
+from ridgeplan.operators.graph import join_counted
+from ridgeplan.operators.nearest import Lattice
+from ridgeplan.runtime import materialize
+
+#: A terrain of up to so many cells is broadcast (16 bytes each); the largest grid of a plan has 640,000.
 MOST_CELLS = 16_000_000
+#: Flags of visible cells that a task holds at a time.
+VIEW_CELLS = 32_000_000
 
 
 def edge_cells(cells: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
@@ -81,35 +92,57 @@ class Terrain:
 
     def view(self, r0: int, c0: int) -> np.ndarray:
         """Flags of the cells that the observer on (r0, c0) sees."""
-        seen = np.zeros(self.z.shape, bool)
-        if not np.isfinite(self.z[r0, c0]):
-            return seen
-        other = (self.edge_r != r0) | (self.edge_c != c0)
-        r2, c2 = self.edge_r[other], self.edge_c[other]
-        steep = np.abs(c2 - c0) > np.abs(r2 - r0)
-        x1, y1, x2, y2 = np.where(steep, c0, r0), np.where(steep, r0, c0), np.where(steep, c2, r2), np.where(steep, r2, c2)
+        return self.views(np.array([r0]), np.array([c0]))[0].reshape(self.z.shape)
+
+    def views(self, r0: np.ndarray, c0: np.ndarray) -> np.ndarray:
+        """Flags per observer (rows) and cell (columns).
+
+        Rays are sorted by length, so those still under way are the first ones; the minor
+        axis moves by an error term, as dy is never above dx.
+        """
+        n_rows, n_cols = self.z.shape
+        z, tower, outward = self.z.ravel(), self.tower.ravel(), self.order == "outward"
+        seen = np.zeros((len(r0), z.size), bool)
+        obs = np.repeat(np.arange(len(r0)), len(self.edge_r))
+        r1, c1, r2, c2 = r0[obs], c0[obs], np.tile(self.edge_r, len(r0)), np.tile(self.edge_c, len(r0))
+        kept = ((r1 != r2) | (c1 != c2)) & np.isfinite(self.z[r1, c1])
+        obs, r1, c1, r2, c2 = obs[kept], r1[kept], c1[kept], r2[kept], c2[kept]
+        steep = np.abs(c2 - c1) > np.abs(r2 - r1)
+        x1, y1, x2, y2 = np.where(steep, c1, r1), np.where(steep, r1, c1), np.where(steep, c2, r2), np.where(steep, r2, c2)
+        order = np.argsort(-np.abs(x2 - x1), kind="stable")
+        obs, r1, c1, r2, c2, steep, x1, y1, x2, y2 = (a[order] for a in (obs, r1, c1, r2, c2, steep, x1, y1, x2, y2))
         swap = x1 > x2
-        xa, ya, xb, yb = np.where(swap, x2, x1), np.where(swap, y2, y1), np.where(swap, x1, x2), np.where(swap, y1, y2)
-        dx, dy, way = xb - xa, np.abs(yb - ya), np.where(ya < yb, 1, -1)
-        level = np.full(len(r2), -np.inf)
-        outward = self.order == "outward"
-
-        def test(alive: np.ndarray, r: np.ndarray, c: np.ndarray) -> None:
-            zt = self.z[r, c]
-            steps = np.sqrt(((r - r0) ** 2 + (c - c0) ** 2).astype(self.kind)).astype(np.float64)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                g = (zt + self.tower[r, c] - self.z[r0, c0] - self.tower[r0, c0]) / steps
-                ok = (g >= level[alive]) & np.isfinite(zt) & (steps > 0)
-                level[alive[ok]] = ((zt - self.z[r0, c0] - self.tower[r0, c0]) / steps)[ok]
-            seen[r[ok], c[ok]] = True
-
-        for k in range(1, int(dx.max(initial=0))):
-            alive = np.flatnonzero(dx > k)
-            at = np.where(swap[alive], dx[alive] - k, k) if outward else np.full(len(alive), k)
-            x = xa[alive] + at
-            y = ya[alive] + way[alive] * ((2 * at * dy[alive] + dx[alive] - 1) // (2 * dx[alive]))
-            test(alive, np.where(steep[alive], y, x), np.where(steep[alive], x, y))
-        test(np.arange(len(r2)), r2, c2)
+        xa, ya, yb = np.where(swap, x2, x1), np.where(swap, y2, y1), np.where(swap, y1, y2)
+        dx, dy = np.abs(x2 - x1), np.abs(yb - ya)
+        major, minor = np.where(steep, 1, n_cols), np.where(ya < yb, 1, -1) * np.where(steep, n_cols, 1)
+        at, error, moved = np.where(steep, ya * n_cols + xa, xa * n_cols + ya), dx - 1, np.zeros(len(dx), np.int64)
+        start = at.copy()
+        z0, h0, base, level = self.z[r1, c1], self.tower[r1, c1], obs * z.size, np.full(len(dx), -np.inf)
+        flat = seen.ravel()
+
+        def test(m: int, cell: np.ndarray, along: np.ndarray, aside: np.ndarray) -> None:
+            zt = z[cell]
+            steps = np.sqrt((along * along + aside * aside).astype(self.kind)).astype(np.float64)
+            g = (zt + tower[cell] - z0[:m] - h0[:m]) / steps
+            ok = g >= level[:m]  # never where there is no data
+            level[:m] = np.where(ok, (zt - z0[:m] - h0[:m]) / steps, level[:m])
+            flat[(base[:m] + cell)[ok]] = True
+
+        under_way = len(dx) - np.cumsum(np.bincount(dx, minlength=1)) if len(dx) else np.zeros(1, np.int64)
+        for k in range(1, len(under_way) - 1):
+            m = int(under_way[k])  # rays with dx > k
+            if outward:
+                place = np.where(swap[:m], dx[:m] - k, k)
+                aside = (2 * place * dy[:m] + dx[:m] - 1) // (2 * dx[:m])
+                test(m, start[:m] + place * major[:m] + aside * minor[:m], np.full(m, k), np.where(swap[:m], dy[:m] - aside, aside))
+                continue
+            error[:m] += 2 * dy[:m]
+            step = error[:m] >= 2 * dx[:m]
+            error[:m] -= np.where(step, 2 * dx[:m], 0)
+            moved[:m] += step
+            at[:m] += major[:m] + np.where(step, minor[:m], 0)
+            test(m, at[:m], np.where(swap[:m], dx[:m] - k, k), np.where(swap[:m], dy[:m] - moved[:m], moved[:m]))
+        test(len(dx), r2 * n_cols + c2, dx, dy)
         return seen
 
 
@@ -131,17 +164,18 @@ def visible_bits(cells: DataFrame, n_rows: int, n_cols: int, *, order: str = "re
     asked = (cells if observers is None else observers).select("cell_id", "r", "c")
     tasks = max(spark.sparkContext.defaultParallelism, -(-n_rows * n_cols // 4096))
 
+    at_once = max(1, min(64, VIEW_CELLS // max(1, n_rows * n_cols)))
+
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terrain = Terrain(*sent.value, order, float32)
         for batch in batches:
-            for low in range(0, batch.num_rows, 64):
-                part = batch.slice(low, 64)
-                out = []
-                for cell, r, c in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
-                    if np.isfinite(terrain.z[r, c]):
-                        seen = terrain.view(r, c).ravel()
-                        out.append({"obs": cell, "n_visible": int(seen.sum()), "bits": np.packbits(seen, bitorder="little").tobytes()})
-                yield pa.RecordBatch.from_pylist(out, pa.schema([("obs", pa.int64()), ("n_visible", pa.int64()), ("bits", pa.binary())]))
+            cell, r, c = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            good = np.flatnonzero(np.isfinite(terrain.z[r, c]))
+            for low in range(0, len(good), at_once):
+                part = good[low : low + at_once]
+                seen = terrain.views(r[part].astype(np.int64), c[part].astype(np.int64))
+                bits = [row.tobytes() for row in np.packbits(seen, axis=1, bitorder="little")]
+                yield pa.RecordBatch.from_arrays([pa.array(cell[part], pa.int64()), pa.array(seen.sum(axis=1), pa.int64()), pa.array(bits, pa.binary())], ["obs", "n_visible", "bits"])
 
     return asked.repartition(tasks, "cell_id").mapInArrow(look, "obs long, n_visible long, bits binary")
 
@@ -169,6 +203,141 @@ def bits_of_pairs(visible: DataFrame, n_cells: int) -> DataFrame:
     return visible.groupBy("obs").applyInPandas(pack, "obs long, bits binary")
 
 
+#: Bytes of a packed row that are united together.
+BLOCK_BYTES = 1 << 16
+
+
+def coverage_of_bits(bits: DataFrame, n_cells: int) -> DataFrame:
+    """As :func:`coverage` for packed rows of the kept cells.
+
+    A task unites its rows, then blocks of the unions meet: what is exchanged is one row
+    of bits per task, whatever the number of observers.
+    """
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for row in batch.column(0).to_pylist():
+                own = np.frombuffer(row, np.uint8)
+                total = own.copy() if total is None else np.bitwise_or(total, own, out=total)
+        if total is not None:
+            cuts = range(0, len(total), BLOCK_BYTES)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array([total[k : k + BLOCK_BYTES].tobytes() for k in cuts], pa.binary())], ["block", "bits"])
+
+    def count(frame: pd.DataFrame) -> pd.DataFrame:
+        total = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in frame["bits"]])
+        return pd.DataFrame({"n": [int(np.bitwise_count(total).sum())]})
+
+    met = bits.select("bits").mapInArrow(unite, "block int, bits binary").groupBy("block").applyInPandas(count, "n long")
+    return met.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_seen")).select("n_seen", F.ceil(F.col("n_seen") / n_cells * 100).alias("percent"))
+
+
+def cell_flags(cells: DataFrame, n_cells: int) -> np.ndarray:
+    """Flags of the cells of a grid whose size was checked, on the driver."""
+    flags = np.zeros(n_cells, bool)
+    flags[cells.select("cell_id").toArrow().column(0).to_numpy()] = True
+    return flags
+
+
+def links_of_bits(bits: DataFrame, kept: np.ndarray, n_cols: int, reach: tuple[int, int] | None = None) -> DataFrame:
+    """(obs, tgt) of packed rows whose target is kept, at most ``reach`` rows and columns away."""
+    sent = bits.sparkSession.sparkContext.broadcast(np.packbits(kept, bitorder="little"))
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = sent.value
+        for batch in batches:
+            for obs, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tgt = np.flatnonzero(np.unpackbits(np.frombuffer(row, np.uint8) & mask, bitorder="little"))
+                tgt = tgt[tgt != obs]
+                if reach is not None:
+                    near = (np.abs(tgt // n_cols - obs // n_cols) <= reach[0]) & (np.abs(tgt % n_cols - obs % n_cols) <= reach[1])
+                    tgt = tgt[near]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tgt), obs), pa.int64()), pa.array(tgt, pa.int64())], ["obs", "tgt"])
+
+    return bits.select("obs", "bits").mapInArrow(unpack, "obs long, tgt long")
+
+
+def kept_links(cells: DataFrame, grid: Lattice, kept: DataFrame, within_km: float = -1.0, **looking) -> DataFrame:
+    """(obs, tgt, km) of visible pairs of kept cells, km rounded to a micrometre.
+
+    Only the kept cells are observers, and their packed rows are masked with the kept cells
+    before a pair is made.  ``within_km`` is the range limit (-1: off): far rows and columns are left out
+    by numbers, then the distances decide.
+    """
+    ends = kept.select("cell_id").distinct().join(cells, "cell_id", "left_semi")
+    observers = cells.join(ends, "cell_id", "left_semi")
+    reach = None
+    if within_km >= 0:
+        degree = 6371.0 * math.pi / 180
+        widest = max(abs(grid.north), abs(grid.north - grid.step * grid.n_rows))
+        reach = tuple(int(within_km / (grid.step * degree * x)) + 1 for x in (1.0, max(math.cos(math.radians(widest)), 1e-6)))
+    bits = visible_bits(cells, grid.n_rows, grid.n_cols, observers=observers, **looking)
+    pairs = links_of_bits(bits, cell_flags(ends, grid.n_rows * grid.n_cols), grid.n_cols, reach)
+    spot = materialize(observers.select("cell_id", "lat", "lng"), "spots")
+    of = lambda k: spot.select(F.col("cell_id").alias(k), F.col("lat").alias(f"lat_{k}"), F.col("lng").alias(f"lng_{k}"))
+    km = F.round(geo.haversine_km(F.col("lat_obs"), F.col("lng_obs"), F.col("lat_tgt"), F.col("lng_tgt")), 9)
+    met = join_counted(join_counted(pairs, of("obs"), "obs"), of("tgt"), "tgt").select("obs", "tgt", km.alias("km"))
+    return met if within_km < 0 else met.filter(F.col("km") <= within_km)
+
+
+def sight_counts(bits: DataFrame, areas: np.ndarray, parents: dict[int, tuple[int, ...]], alive: np.ndarray) -> DataFrame:
+    """Per observer: cells it sees in all, in its own area, and living ones in the areas above its own.
+
+    ``areas``: area of each cell of the grid (-1: none); ``alive``: survivors of the areas above.
+    """
+    sent = bits.sparkSession.sparkContext.broadcast((areas, parents, alive))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        area, above, living = sent.value
+        for batch in batches:
+            obs, out = batch.column(0).to_pylist(), []
+            for cell, row in zip(obs, batch.column(1).to_pylist(), strict=True):
+                tgt = np.flatnonzero(np.unpackbits(np.frombuffer(row, np.uint8), bitorder="little"))
+                own = area[tgt]
+                out.append((len(tgt), int((own == area[cell]).sum()) if area[cell] >= 0 else 0, int((np.isin(own, above.get(int(area[cell]), ())) & living[tgt]).sum())))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (obs, *columns)], ["cell_id", "n_all", "n_area", "n_parent"])
+
+    return bits.select("obs", "bits").mapInArrow(count, "cell_id long, n_all long, n_area long, n_parent long")
+
+
+def seen_digest(bits: DataFrame) -> DataFrame:
+    """Per observer: how many cells it sees and the sum of their numbers."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = [np.flatnonzero(np.unpackbits(np.frombuffer(row, np.uint8), bitorder="little")) for row in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in seen], pa.int64()), pa.array([int(x.sum()) for x in seen], pa.int64())], ["obs", "n_seen", "sum_tgt"])
+
+    return bits.select("obs", "bits").mapInArrow(digest, "obs long, n_seen long, sum_tgt long")
+
+
+def least_heights(cells: DataFrame, n_rows: int, n_cols: int, links: DataFrame, heights: tuple[float, ...] = (15, 20, 25, 30)) -> DataFrame:
+    """(obs, tgt, height): the first of the fallback heights with which obs sees tgt, null if none does.
+
+    Both ends get the height; every height is one pass over the observers of the links that
+    are still open, which are few after the first.
+    """
+    open_, found = materialize(links.select("obs", "tgt").distinct(), "open-links"), []
+    for height in heights:
+        raised = cells.withColumn("mount_h", F.lit(float(height)))
+        observers = cells.join(open_.select(F.col("obs").alias("cell_id")).distinct(), "cell_id", "left_semi")
+        asked = open_.groupBy("obs").agg(F.collect_list("tgt").alias("tgts"))
+        seen = visible_bits(raised, n_rows, n_cols, observers=observers).select("obs", "bits").join(asked, "obs")
+
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for obs, row, tgts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                    bits = np.frombuffer(row, np.uint8)
+                    good = [t for t in tgts if bits[t >> 3] >> (t & 7) & 1]
+                    yield pa.RecordBatch.from_arrays([pa.array([obs] * len(good), pa.int64()), pa.array(good, pa.int64())], ["obs", "tgt"])
+
+        now = materialize(seen.select("obs", "bits", "tgts").mapInArrow(pick, "obs long, tgt long"), "raised-links")
+        found.append(now.withColumn("height", F.lit(int(height))))
+        open_ = materialize(open_.join(now, ["obs", "tgt"], "left_anti"), "open-links")
+    return reduce(DataFrame.unionByName, found).unionByName(open_.withColumn("height", F.lit(None).cast("int")))
+
+
 def coverage(visible: DataFrame, kept: DataFrame, n_cells: int) -> DataFrame:
     """One row: cells seen by at least one kept cell, and their percentage of all cells."""
     seen = visible.join(kept.select(F.col("cell_id").alias("obs")), "obs", "left_semi").select("tgt").distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeplan.functions import geo
@@ -40,14 +40,15 @@ def nearest_cell(points: DataFrame, cells: DataFrame, grid: Lattice, key: str =
     """Each point with ``cell_id`` and ``km`` of its nearest cell; of equally near ones the highest id.
 
     A point looks at the 3 by 3 block of cells around its grid position: an equi-join on
-    (r, c) of nine rows per point, whatever the size of the grid.
+    (r, c) of nine rows per point, whatever the size of the grid.  Equal points stay rows
+    of their own.
     """
     r, c = grid.near(F.col("lat"), F.col("lng"))
     around = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    asked = points.withColumn("r", r).withColumn("c", c).withColumn("d", around).withColumn("r", F.col("r") + F.col("d.dr")).withColumn("c", F.col("c") + F.col("d.dc")).drop("d")
+    asked = points.withColumn("__row", F.monotonically_increasing_id()).withColumn("r", r).withColumn("c", c).withColumn("d", around).withColumn("r", F.col("r") + F.col("d.dr")).withColumn("c", F.col("c") + F.col("d.dc")).drop("d")
     met = asked.join(cells.select("r", "c", "cell_id", F.col("lat").alias("cell_lat"), F.col("lng").alias("cell_lng")), ["r", "c"])
     km = _rank_km(geo.haversine_km(F.col("lat"), F.col("lng"), F.col("cell_lat"), F.col("cell_lng")))
-    best = met.withColumn("km", km).groupBy(*points.columns).agg(F.min(F.struct("km", (-F.col("cell_id")).alias("k"))).alias("b"))
+    best = met.withColumn("km", km).groupBy("__row", *points.columns).agg(F.min(F.struct("km", (-F.col("cell_id")).alias("k"))).alias("b"))
     return best.select(*points.columns, (-F.col("b.k")).alias("cell_id"), F.col("b.km").alias("km"))
 
 
@@ -85,13 +86,17 @@ def unique_source(source_cell: DataFrame, sink_cells: DataFrame, cells: DataFram
     return own.join(F.broadcast(taken)).join(F.broadcast(near)).select(F.when(F.col("taken"), F.coalesce(-F.col("b.k"), F.col("own"))).otherwise(F.col("own")).alias("cell_id"))
 
 
-def snapped_links(links: DataFrame, cells: DataFrame, grid: Lattice, key: str = "link_id") -> DataFrame:
-    """Links by coordinates (lat1, lng1, lat2, lng2) as links between cells (tail, head)."""
-    first = nearest_cell(links.select(F.col(key), F.col("lat1").alias("lat"), F.col("lng1").alias("lng")), cells, grid, key).select(key, F.col("cell_id").alias("tail"))
-    second = nearest_cell(links.select(F.col(key), F.col("lat2").alias("lat"), F.col("lng2").alias("lng")), cells, grid, key).select(key, F.col("cell_id").alias("head"))
-    return links.join(first, key).join(second, key)
+def snapped_links(links: DataFrame, cells: DataFrame, grid: Lattice) -> DataFrame:
+    """Links by coordinates (lat1, lng1, lat2, lng2) as links between cells: adds tail and head.
+
+    Equal links stay rows of their own; a link off the grid goes to the cells at its edge.
+    """
+    held = F.struct(*links.columns).alias("link")
+    first = nearest_cell(links.select(held, F.col("lat1").alias("lat"), F.col("lng1").alias("lng")), cells, grid)
+    second = nearest_cell(first.select("link", F.col("cell_id").alias("tail"), F.col("link.lat2").alias("lat"), F.col("link.lng2").alias("lng")), cells, grid)
+    return second.select("link.*", "tail", F.col("cell_id").alias("head"))
 
 
 def latest(points: DataFrame) -> DataFrame:
     """The last row by ``ord`` (a source file's last line wins)."""
-    return points.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("ord")))).filter("rn = 1").drop("rn")
+    return points.agg(F.max_by(F.struct(*points.columns), "ord").alias("p")).filter("p IS NOT NULL").select("p.*")

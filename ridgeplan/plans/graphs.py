@@ -69,8 +69,9 @@ def site_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {ORDER_GRAPH}, w AS (SELECT c_custkey AS x, c_custkey AS low FROM customer UNION SELECT b, low FROM w JOIN both_ ON a = x WHERE low < b),
 m AS MATERIALIZED (SELECT x AS node, min(low) AS component FROM w GROUP BY x),
-t AS (SELECT node, 0 AS level FROM m WHERE node = component UNION SELECT b, level + 1 FROM t JOIN both_ ON a = node WHERE level < 40),
-l AS MATERIALIZED (SELECT node, CAST(min(level) AS INTEGER) AS level FROM t GROUP BY node)
+t(node, level) USING KEY (node) AS (SELECT node, 0 FROM m WHERE node = component UNION SELECT n.node, n.level FROM (SELECT b AS node, CAST(min(level + 1) AS INTEGER) AS level FROM t JOIN both_ ON a = t.node GROUP BY b) n
+  LEFT JOIN recurring.t AS q ON q.node = n.node WHERE q.level IS NULL OR n.level < q.level),
+l AS MATERIALIZED (SELECT node, level FROM t)
 SELECT l.node, m.component, l.level, (SELECT min(p.node) FROM both_ JOIN l p ON p.node = both_.a WHERE both_.b = l.node AND p.level = l.level - 1) AS parent FROM l JOIN m USING (node)""")
 def spanning_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Breadth-first trees of the sites' graph."""
@@ -99,8 +100,9 @@ def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(ends.groupBy("a", "b").agg(F.min("w").alias("w")), "edges")
 
 
-@query(f"""WITH RECURSIVE {ORDER_GRAPH}, h AS (SELECT 0::BIGINT AS source, 0::BIGINT AS node, 0 AS hops WHERE EXISTS (SELECT 1 FROM both_ WHERE a = 0) UNION SELECT source, b, hops + 1 FROM h JOIN both_ ON a = node WHERE hops < 40)
-SELECT node, CAST(min(hops) AS BIGINT) AS hops FROM h GROUP BY node""")
+@query(f"""WITH RECURSIVE {ORDER_GRAPH}, h(node, hops) USING KEY (node) AS (SELECT 0::BIGINT, 0::BIGINT WHERE EXISTS (SELECT 1 FROM both_ WHERE a = 0) UNION SELECT n.node, n.hops FROM (SELECT b AS node, CAST(min(hops + 1) AS BIGINT) AS hops FROM h JOIN both_ ON a = h.node GROUP BY b) n
+  LEFT JOIN recurring.h AS q ON q.node = n.node WHERE q.hops IS NULL OR n.hops < q.hops)
+SELECT node, hops FROM h""")
 def shortest_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hops from the first site to all sites in reach."""
     edges = _order_graph(spark, sf_dir).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("w", F.lit(1))
@@ -200,30 +202,37 @@ def elevation_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def cluster_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kept cells per elevation area by clusters and spaced picks."""
+def whole_map_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with what the subsets see of the whole map."""
     g = fx.lattice(spark, sf_dir)
     cells = fx.cells(spark, sf_dir, g)
-    areas = gp.elevation_areas(cells, 100)
-    sample = rm.area_sample(areas, 100, (F.col("cell_id") * 7919 + 104729) % 10007)
-    sight = los.visible_bits(cells, g.n_rows, g.n_cols).select(F.col("obs").alias("cell_id"), F.col("n_visible").alias("n_all"))
-    placed = sample.join(cells.select("cell_id", "lat", "lng"), "cell_id").join(sight, "cell_id", "left").select("area_id", "cell_id", "lat", "lng", F.lit(0).cast("long").alias("n_parent"), F.coalesce("n_all", F.lit(0)).alias("n_all"))
-    return rm.cluster_removal(placed, 90.0)
+    bits = los.visible_bits(cells, g.n_rows, g.n_cols).select("obs", "bits")
+    buckets = cells.filter("z IS NOT NULL").select("cell_id", geo.elevation_bucket(F.col("z")).alias("bucket"))
+    return rm.elevation_removal(bits, buckets, 95.0, scope="map")
 
 
-SMALL_AREAS = vis.RECURSIVE + """, sb AS (SELECT id, r, c, CAST(z // 100 AS INTEGER) AS bucket FROM small WHERE z IS NOT NULL), ar AS (SELECT id, bucket AS area_id FROM sb)"""
+@query()
+def cluster_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept cells per elevation area by clusters and spaced picks, from the highest areas down."""
+    g = fx.lattice(spark, sf_dir)
+    cells = fx.cells(spark, sf_dir, g)
+    areas = materialize(gp.elevation_areas(cells, 100), "areas")
+    sample = materialize(rm.area_sample(areas, 100, (F.col("cell_id") * 7919 + 104729) % 10007).join(cells.select("cell_id", "lat", "lng"), "cell_id"), "sample")
+    bits = materialize(los.visible_bits(cells, g.n_rows, g.n_cols, observers=cells.join(sample.select("cell_id"), "cell_id", "left_semi")).select("obs", "bits"), "bits")
+    return rm.remove_from_above(sample, areas, gp.area_parents(areas), bits, g.n_rows * g.n_cols, 90.0)
 
 
-@query(SMALL_AREAS + """ SELECT v.obs AS cell_id, count(*) AS n_all, count(CASE WHEN a.area_id = b.area_id THEN 1 END) AS n_area, count(CASE WHEN b.area_id = a.area_id + 1 AND v.tgt % 2 = 0 THEN 1 END) AS n_parent
-FROM visible v JOIN ar a ON a.id = v.obs LEFT JOIN ar b ON b.id = v.tgt GROUP BY v.obs""")
+@query(vis.WHOLE + """, ar AS (SELECT cell_id, CAST(z // 100 AS INTEGER) AS area_id FROM cell WHERE z IS NOT NULL)
+SELECT a.cell_id, count(v.tgt) AS n_all, count(CASE WHEN a.area_id = b.area_id THEN 1 END) AS n_area, count(CASE WHEN b.area_id = a.area_id + 1 AND v.tgt % 2 = 0 THEN 1 END) AS n_parent
+FROM ar a LEFT JOIN visible v ON a.cell_id = v.obs LEFT JOIN ar b ON b.cell_id = v.tgt GROUP BY a.cell_id""")
 def parent_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5: cells seen in all, in the same bucket and among the even cells one bucket higher."""
-    cells = materialize(vis.small_grid(spark, sf_dir), "cells")
+    g = fx.lattice(spark, sf_dir)
+    cells = fx.cells(spark, sf_dir, g)
     areas = cells.filter("z IS NOT NULL").select("cell_id", geo.elevation_bucket(F.col("z"), 100).cast("long").alias("area_id"))
-    ids = areas.select("area_id").distinct()
-    parents = ids.join(ids.select((F.col("area_id") - 1).alias("area_id"), F.col("area_id").alias("parent_area_id")), "area_id")
-    visible = los.pairs_of_bits(los.visible_bits(cells, vis.N, vis.N))
-    return rm.visibility_counts(visible, areas, parents, areas.filter("cell_id % 2 = 0"))
+    above = {int(r.area_id): (int(r.area_id) + 1,) for r in areas.select("area_id").distinct().collect()}  # a few hundred-metre buckets
+    alive = los.cell_flags(areas.filter("cell_id % 2 = 0"), g.n_rows * g.n_cols)
+    return los.sight_counts(los.visible_bits(cells, g.n_rows, g.n_cols), rm.area_array(areas, g.n_rows * g.n_cols), above, alive)
 
 
 @query(f"""WITH {CTE}, s AS (SELECT site_id, site_id % 25 AS cluster, demand, revenue FROM site) SELECT site_id, row_number() OVER (PARTITION BY cluster ORDER BY demand DESC, revenue DESC, site_id)::INTEGER AS rank FROM s""")
@@ -233,16 +242,43 @@ def ranked_in_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rm.ranked_in_cluster(rows).select(F.col("cell_id").alias("site_id"), "rank")
 
 
-@query(vis.SMALL + """, pair AS (SELECT a.id * 400 + b.id AS edge_id, a.r AS r1, a.c AS c1, b.r AS r2, b.c AS c2 FROM small a JOIN small b ON a.id < b.id AND a.z IS NOT NULL AND b.z IS NOT NULL AND (a.r = b.r OR a.c = b.c)),
-line AS (SELECT edge_id, unnest(generate_series(0, (r2 - r1) + (c2 - c1) - 1)) AS k, r1, c1, r2, c2 FROM pair),
-b AS (SELECT edge_id, z // 100 AS bucket FROM line JOIN small ON small.r = CASE WHEN r1 = r2 THEN r1 ELSE r1 + k END AND small.c = CASE WHEN c1 = c2 THEN c1 ELSE c1 + k END WHERE z IS NOT NULL)
-SELECT edge_id FROM b GROUP BY edge_id HAVING min(bucket) = max(bucket)""")
+@query(f"""WITH {CTE}, p AS (SELECT link_id, CAST(least(greatest(floor((35.3e0 - lat1) / 0.01e0 + 0.5e0), 0), n_rows - 1) AS INTEGER) AS r1, CAST(least(greatest(floor((lng1 - -106.6e0) / 0.01e0 + 0.5e0), 0), n_cols - 1) AS INTEGER) AS c1, cell.r AS r2, cell.c AS c2
+FROM link JOIN cell USING (cell_id), grid), ends AS (SELECT *, abs(c2 - c1) > abs(r2 - r1) AS steep FROM p),
+line AS (SELECT *, CASE WHEN steep THEN c1 ELSE r1 END AS x1, CASE WHEN steep THEN r1 ELSE c1 END AS y1, CASE WHEN steep THEN c2 ELSE r2 END AS x2, CASE WHEN steep THEN r2 ELSE c2 END AS y2 FROM ends),
+asc_ AS (SELECT *, least(x1, x2) AS xa, greatest(x1, x2) AS xb, CASE WHEN x1 > x2 THEN y2 ELSE y1 END AS ya, CASE WHEN x1 > x2 THEN y1 ELSE y2 END AS yb FROM line WHERE x1 <> x2),
+step AS (SELECT *, unnest(generate_series(0, xb - xa - 1)) AS k FROM asc_),
+spot_ AS (SELECT link_id, steep, xa + k AS x, ya + CASE WHEN ya < yb THEN 1 ELSE -1 END * ((2 * k * abs(yb - ya) + (xb - xa) - 1) // (2 * (xb - xa))) AS y FROM step),
+b AS (SELECT link_id, z // 100 AS bucket FROM spot_ JOIN cell ON cell.r = CASE WHEN steep THEN y ELSE x END AND cell.c = CASE WHEN steep THEN x ELSE y END WHERE z IS NOT NULL)
+SELECT link_id FROM b GROUP BY link_id HAVING min(bucket) = max(bucket)""")
 def edges_in_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Straight edges whose line stays in one elevation bucket."""
-    cells = materialize(vis.small_grid(spark, sf_dir), "cells")
-    ground = cells.filter("z IS NOT NULL")
-    a, b = (ground.select(F.col("cell_id").alias(f"id{k}"), F.col("r").alias(f"r{k}"), F.col("c").alias(f"c{k}")) for k in (1, 2))
-    rows = a.join(b, (F.col("r1") == F.col("r2")) & (F.col("id1") < F.col("id2"))).unionByName(a.join(b, (F.col("c1") == F.col("c2")) & (F.col("id1") < F.col("id2"))))
-    edges = rows.select((F.col("id1") * 400 + F.col("id2")).alias("edge_id"), "r1", "c1", "r2", "c2")
-    on_line = los.ray_steps(edges).join(ground.select("r", "c", "z"), ["r", "c"]).select("edge_id", geo.elevation_bucket(F.col("z"), 100).alias("bucket"))
-    return rm.stays_in_bucket(edges, on_line).select("edge_id")
+    """Links whose line, in any direction, stays in one elevation bucket of 100 m."""
+    g = fx.lattice(spark, sf_dir)
+    cells = fx.cells(spark, sf_dir, g)
+    r, c = g.near(F.col("lat1"), F.col("lng1"))
+    edges = fx.links(spark, sf_dir, g).join(cells.select("cell_id", F.col("r").alias("r2"), F.col("c").alias("c2")), "cell_id").select("link_id", r.alias("r1"), c.alias("c1"), "r2", "c2")
+    ground = cells.filter("z IS NOT NULL").select("r", "c", "z")
+    on_line = los.ray_steps(edges).join(ground, ["r", "c"]).select(F.col("link_id").alias("edge_id"), geo.elevation_bucket(F.col("z"), 100).alias("bucket"))
+    return rm.stays_in_bucket(edges.select(F.col("link_id").alias("edge_id")), on_line).select(F.col("edge_id").alias("link_id"))
+
+
+@query(f"WITH {ORDER_GRAPH}, n AS (SELECT c_custkey AS node, c_acctbal < 0 AS fixed FROM customer) SELECT node FROM n WHERE fixed OR node IN (SELECT a FROM both_)")
+def without_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intermediate nodes without any link are dropped."""
+    edges = _order_graph(spark, sf_dir).select(F.col("a").alias("tail"), F.col("b").alias("head"))
+    nodes = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), (F.col("c_acctbal") < 0).alias("fixed"))
+    return gp.without_isolated(nodes, edges).select("node")
+
+
+DIST = """we AS MATERIALIZED (SELECT a, b, min(edge_id % 97 + 1) AS w FROM (SELECT a, b, edge_id FROM eg UNION ALL SELECT b, a, edge_id FROM eg) GROUP BY a, b)"""
+
+
+@query(f"""WITH RECURSIVE {ORDER_GRAPH}, {DIST},
+p(source, node, cost) USING KEY (source, node) AS (SELECT CAST(s_suppkey AS BIGINT), CAST(s_suppkey AS BIGINT), CAST(0 AS BIGINT) FROM supplier WHERE s_suppkey IN (SELECT a FROM we)
+  UNION SELECT n.source, n.node, n.cost FROM (SELECT p.source, we.b AS node, CAST(min(p.cost + we.w) AS BIGINT) AS cost FROM p JOIN we ON we.a = p.node GROUP BY p.source, we.b) n
+        LEFT JOIN recurring.p AS q ON q.source = n.source AND q.node = n.node WHERE q.cost IS NULL OR n.cost < q.cost)
+SELECT source AS u, node AS v, cost AS d FROM p""")
+def distance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All distances from every supplier's namesake site, in rows."""
+    sources = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"))
+    paths = gp.shortest_paths(_weighted(spark, sf_dir), sources)
+    return paths.select(F.col("source").alias("u"), F.col("node").alias("v"), F.col("dist").cast("long").alias("d"))

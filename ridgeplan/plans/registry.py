@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ridgeplan.plans import design, files, graphs, relational, visibility
+from ridgeplan.plans import design, files, graphs, planner, relational, visibility
 
-QUERIES = {**relational.QUERIES, **visibility.QUERIES, **graphs.QUERIES, **design.QUERIES, **files.QUERIES}
-ORACLE = {**relational.ORACLE, **visibility.ORACLE, **graphs.ORACLE, **design.ORACLE, **files.ORACLE}
+QUERIES = {**relational.QUERIES, **visibility.QUERIES, **graphs.QUERIES, **design.QUERIES, **files.QUERIES, **planner.QUERIES}
+ORACLE = {**relational.ORACLE, **visibility.ORACLE, **graphs.ORACLE, **design.ORACLE, **files.ORACLE, **planner.ORACLE}

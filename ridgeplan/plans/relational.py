@@ -164,7 +164,7 @@ def formatted_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 b AS (SELECT site_id, cell_id, km, row_number() OVER (PARTITION BY site_id ORDER BY km, cell_id DESC) AS rn FROM k)
 SELECT site_id, cell_id, CAST(round(km * 1000) AS BIGINT) AS metres FROM b WHERE rn = 1""")
 def nearest_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest cell of every site."""
+    """The nearest cell of every site."""
     g = fx.lattice(spark, sf_dir)
     return near.nearest_cell(fx.sites(spark, sf_dir, g).select("site_id", "lat", "lng"), fx.cells(spark, sf_dir, g), g).select("site_id", "cell_id", metres(F.col("km")).alias("metres"))
 
@@ -218,7 +218,7 @@ def device_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {CTE}, {BEST} SELECT CAST(sum(floor(0.1258e0 * km * km + 6.7747e0 * km + 63.429e0)) AS BIGINT) AS unit_cost, CAST(round(sum(0.1258e0 * km * km + 6.7747e0 * km + 63.429e0)) AS BIGINT) AS link_cost, CAST(sum(pair_cost) AS BIGINT) AS equipment_cost, count(*) AS n_edges FROM best WHERE link_id % 3 > 0""")
 def solution_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Costs of the used arcs (flow over zero)."""
+    """Costs of the used arcs (flow over zero)."""
     edges = _best(spark, sf_dir).select("*", geo.unit_cost(F.col("km")).alias("unit_cost"), (F.col("link_id") % 3).alias("flow"))
     return dev.solution_costs(edges)
 
@@ -309,7 +309,7 @@ def cropped_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH """ + CTE + """, t AS (SELECT r AS lat_key, c AS lng_key, 0 AS tile_ord, CASE WHEN cell_id % 3 = 0 THEN z END AS z FROM cell UNION ALL SELECT r, c, 1, CASE WHEN cell_id % 2 = 0 THEN z + 1000 END FROM cell UNION ALL SELECT r, c, 2, z + 2000 FROM cell)
 SELECT lat_key, lng_key, first(z ORDER BY tile_ord) FILTER (WHERE z IS NOT NULL) AS z FROM t GROUP BY 1, 2""")
 def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of overlapping tiles the first with data counts."""
+    """Of overlapping tiles the first with data counts."""
     c = fx.cells(spark, sf_dir)
     keys = [F.col("r").alias("lat_key"), F.col("c").alias("lng_key")]
     layers = [c.select(*keys, F.lit(k).alias("tile_ord"), z.alias("z")) for k, z in enumerate((F.when(F.col("cell_id") % 3 == 0, F.col("z")), F.when(F.col("cell_id") % 2 == 0, F.col("z") + 1000), F.col("z") + 2000))]

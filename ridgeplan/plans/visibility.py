@@ -1,7 +1,7 @@
-"""Queries of the line-of-sight operators.
+"""Queries of the line-of-sight operators, over the whole grid.
 
-All-pairs visibility in rows is defined on the grid resampled to 400 cells, the size of a
-quick plan; counts per observer come from the whole grid.
+All pairs stay packed rows of bits; rows are made of digests per observer and of links
+between kept cells only.
 """
 
 from __future__ import annotations
@@ -11,16 +11,14 @@ from pyspark.sql import functions as F
 
 from ridgeplan.functions import geo
 from ridgeplan.operators import devices as dev
-from ridgeplan.operators import grid as gr
 from ridgeplan.operators import los
 from ridgeplan.operators import nearest as near
 from ridgeplan.plans import fixtures as fx
 from ridgeplan.plans.fixtures import CTE, km_sql
-from ridgeplan.runtime import load, materialize
+from ridgeplan.runtime import load
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-N = 20
 
 
 def query(sql: str | None = None):
@@ -33,63 +31,65 @@ def query(sql: str | None = None):
     return put
 
 
-def small_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = fx.lattice(spark, sf_dir)
-    small = gr.resample(fx.cells(spark, sf_dir, g), N, N, fx.full_rows(spark, sf_dir), g.n_cols)
-    return small.withColumn("r", F.floor(F.col("cell_id") / N).cast("int")).withColumn("c", (F.col("cell_id") % N).cast("int")).withColumn("mount_h", F.lit(fx.HEIGHT))
-
-
-#: The resampled grid, its rays and the fold over each ray, as lists.
-SMALL = f"""WITH {CTE},
-small AS (SELECT CAST(tr * 20 + tc AS BIGINT) AS id, CAST(tr AS INTEGER) AS r, CAST(tc AS INTEGER) AS c, cell.lat, cell.lng, z FROM (SELECT unnest(generate_series(0, 19)) AS tr), (SELECT unnest(generate_series(0, 19)) AS tc), grid JOIN cell ON true
-          WHERE cell.r = (2 * tr + 1) * full_rows // 40 AND cell.c = (2 * tc + 1) * n_cols // 40)"""
-
-
 def rays_sql(last_r: str, last_c: str) -> str:
     """Cells of all rays to the edge of a grid with these last positions."""
     return f""",
-ends AS (SELECT o.id AS obs, o.r AS r1, o.c AS c1, o.z AS zo, e.r AS r2, e.c AS c2, abs(e.c - o.c) > abs(e.r - o.r) AS steep FROM small o, small e WHERE (e.r IN (0, {last_r}) OR e.c IN (0, {last_c})) AND e.id <> o.id),
+ends AS (SELECT o.id AS obs, o.r AS r1, o.c AS c1, o.z AS zo, e.r AS r2, e.c AS c2, abs(e.c - o.c) > abs(e.r - o.r) AS steep
+         FROM small o, small e WHERE (e.r IN (0, {last_r}) OR e.c IN (0, {last_c})) AND e.id <> o.id),
 line AS (SELECT *, CASE WHEN steep THEN c1 ELSE r1 END AS x1, CASE WHEN steep THEN r1 ELSE c1 END AS y1, CASE WHEN steep THEN c2 ELSE r2 END AS x2, CASE WHEN steep THEN r2 ELSE c2 END AS y2 FROM ends),
 asc_ AS (SELECT *, least(x1, x2) AS xa, greatest(x1, x2) AS xb, CASE WHEN x1 > x2 THEN y2 ELSE y1 END AS ya, CASE WHEN x1 > x2 THEN y1 ELSE y2 END AS yb FROM line),
 step AS (SELECT *, unnest(generate_series(0, xb - xa - 1)) AS k FROM asc_),
 cellk AS (SELECT obs, r1, c1, zo, r2, c2, k, xa + k AS x, ya + CASE WHEN ya < yb THEN 1 ELSE -1 END * ((2 * k * abs(yb - ya) + (xb - xa) - 1) // (2 * (xb - xa))) AS y, steep FROM step)"""
 
 
-RAYS = rays_sql("19", "19")
-FOLD = """,
-pts AS (SELECT obs, r1, c1, zo, r2, c2, k, CASE WHEN steep THEN y ELSE x END AS r, CASE WHEN steep THEN x ELSE y END AS c FROM cellk WHERE k >= 1 UNION ALL SELECT obs, r1, c1, zo, r2, c2, 1000000, r2, c2 FROM ends),
-slope AS (SELECT obs, p.r2, p.c2, k, t.id AS tgt, (t.z - zo) / sqrt(CAST((p.r - r1) * (p.r - r1) + (p.c - c1) * (p.c - c1) AS DOUBLE)) AS g, (t.z - zo - 10) / sqrt(CAST((p.r - r1) * (p.r - r1) + (p.c - c1) * (p.c - c1) AS DOUBLE)) AS g0
-          FROM pts p JOIN small t ON t.r = p.r AND t.c = p.c WHERE zo IS NOT NULL AND t.z IS NOT NULL AND t.id <> obs),
-nth AS (SELECT *, row_number() OVER (PARTITION BY obs, r2, c2 ORDER BY k) AS i FROM slope),
-fold AS (SELECT obs, r2, c2, i, tgt, true AS seen, g0 AS m FROM nth WHERE i = 1
-         UNION ALL SELECT n.obs, n.r2, n.c2, n.i, n.tgt, n.g >= f.m, CASE WHEN n.g >= f.m THEN n.g0 ELSE f.m END FROM fold f JOIN nth n ON n.obs = f.obs AND n.r2 = f.r2 AND n.c2 = f.c2 AND n.i = f.i + 1),
-visible AS (SELECT DISTINCT obs, tgt FROM fold WHERE seen)"""
-RECURSIVE = "WITH RECURSIVE" + (SMALL + RAYS + FOLD)[4:]
-#: The same over the whole grid; positions beyond the last cell have no data.
-WHOLE = f"""WITH RECURSIVE {CTE},
+def fold_sql(heights: tuple[int, ...] = (10,)) -> str:
+    """The fold over each ray, for towers of these heights on both ends."""
+    return f""",
+pts AS (SELECT obs, r1, c1, zo, r2, c2, k, CASE WHEN steep THEN y ELSE x END AS r, CASE WHEN steep THEN x ELSE y END AS c FROM cellk WHERE k >= 1
+        UNION ALL SELECT obs, r1, c1, zo, r2, c2, 1000000, r2, c2 FROM ends),
+slope AS (SELECT obs, h, p.r2, p.c2, k, t.id AS tgt, (t.z - zo) / sqrt(CAST((p.r - r1) * (p.r - r1) + (p.c - c1) * (p.c - c1) AS DOUBLE)) AS g,
+                 (t.z - zo - h) / sqrt(CAST((p.r - r1) * (p.r - r1) + (p.c - c1) * (p.c - c1) AS DOUBLE)) AS g0
+          FROM pts p JOIN small t ON t.r = p.r AND t.c = p.c, (VALUES {", ".join(f"({h})" for h in heights)}) AS hs(h) WHERE zo IS NOT NULL AND t.z IS NOT NULL AND t.id <> obs),
+nth AS (SELECT *, row_number() OVER (PARTITION BY obs, h, r2, c2 ORDER BY k) AS i FROM slope),
+fold AS (SELECT obs, h, r2, c2, i, tgt, true AS seen, g0 AS m FROM nth WHERE i = 1
+         UNION ALL SELECT n.obs, n.h, n.r2, n.c2, n.i, n.tgt, n.g >= f.m, CASE WHEN n.g >= f.m THEN n.g0 ELSE f.m END
+                   FROM fold f JOIN nth n ON n.obs = f.obs AND n.h = f.h AND n.r2 = f.r2 AND n.c2 = f.c2 AND n.i = f.i + 1),
+visible AS MATERIALIZED (SELECT DISTINCT obs, tgt, h FROM fold WHERE seen)"""
+
+
+#: The whole grid as a rectangle (positions beyond the last cell have no data), its rays, and the fold over them.
+RECTANGLE = f"""WITH RECURSIVE {CTE},
 small AS MATERIALIZED (SELECT tr * n_cols + tc AS id, CAST(tr AS INTEGER) AS r, CAST(tc AS INTEGER) AS c, z FROM grid, (SELECT unnest(generate_series(0, (SELECT n_rows - 1 FROM grid))) AS tr),
-          (SELECT unnest(generate_series(0, (SELECT n_cols - 1 FROM grid))) AS tc) LEFT JOIN cell ON cell.r = tr AND cell.c = tc)""" + rays_sql("(SELECT n_rows - 1 FROM grid)", "(SELECT n_cols - 1 FROM grid)") + FOLD
-
-
-@query(SMALL + RAYS + " SELECT obs, count(*) AS n_steps, sum(CASE WHEN steep THEN y ELSE x END)::BIGINT AS sum_r, sum(CASE WHEN steep THEN x ELSE y END)::BIGINT AS sum_c FROM cellk GROUP BY obs")
+          (SELECT unnest(generate_series(0, (SELECT n_cols - 1 FROM grid))) AS tc) LEFT JOIN cell ON cell.r = tr AND cell.c = tc)"""
+RAYS = RECTANGLE + rays_sql("(SELECT n_rows - 1 FROM grid)", "(SELECT n_cols - 1 FROM grid)")
+WHOLE = RAYS + fold_sql()
+#: The cells of the sites: the nearest one of each, the highest number on ties.
+SPOTS = f"""spot0 AS (SELECT site_id, demand, cell_id, row_number() OVER (PARTITION BY site_id ORDER BY round({km_sql("site.lat", "site.lng", "cell.lat", "cell.lng")}, 9), cell_id DESC) AS rn FROM site, cell),
+kept AS MATERIALIZED (SELECT DISTINCT cell_id FROM spot0 WHERE rn = 1)"""
+#: Visible pairs of kept cells with their distance.
+PAIRS = f"""pair AS MATERIALIZED (SELECT obs, tgt, round({km_sql("a.lat", "a.lng", "b.lat", "b.lng")}, 9) AS km FROM visible JOIN kept ka ON ka.cell_id = obs JOIN kept kb ON kb.cell_id = tgt
+JOIN cell a ON a.cell_id = obs JOIN cell b ON b.cell_id = tgt WHERE obs <> tgt)"""
+
+
+@query(RAYS + """ SELECT obs, count(*) AS n_steps, sum(CASE WHEN steep THEN y ELSE x END)::BIGINT AS sum_r, sum(CASE WHEN steep THEN x ELSE y END)::BIGINT AS sum_c
+FROM cellk JOIN cell ON cell_id = obs GROUP BY obs""")
 def ray_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells on all rays to the edge, summed per observer."""
-    cells = small_grid(spark, sf_dir)
-    edge = los.edge_cells(cells, N, N).select(F.col("r").alias("r2"), F.col("c").alias("c2"))
-    rays = cells.select(F.col("cell_id").alias("obs"), F.col("r").alias("r1"), F.col("c").alias("c1")).join(F.broadcast(edge), (F.col("r1") != F.col("r2")) | (F.col("c1") != F.col("c2")))
+    g = fx.lattice(spark, sf_dir)
+    at = spark.range(g.n_rows * g.n_cols).select(F.floor(F.col("id") / g.n_cols).cast("int").alias("r"), (F.col("id") % g.n_cols).cast("int").alias("c"))
+    edge = los.edge_cells(at, g.n_rows, g.n_cols).select(F.col("r").alias("r2"), F.col("c").alias("c2"))
+    observers = fx.cells(spark, sf_dir, g).select(F.col("cell_id").alias("obs"), F.col("r").alias("r1"), F.col("c").alias("c1"))
+    # the edge has 2 (rows + columns) cells: the square root of the grid's checked size
+    rays = observers.repartition(spark.sparkContext.defaultParallelism * 4, "obs").join(F.broadcast(edge), (F.col("r1") != F.col("r2")) | (F.col("c1") != F.col("c2")))
     return los.ray_steps(rays).groupBy("obs").agg(F.count(F.lit(1)).alias("n_steps"), F.sum("r").alias("sum_r"), F.sum("c").alias("sum_c"))
 
 
-@query(RECURSIVE + " SELECT obs, tgt FROM visible")
+@query(WHOLE + """, seen AS (SELECT obs, count(*) AS n, sum(tgt) AS total FROM visible GROUP BY obs)
+SELECT cell_id AS obs, CAST(coalesce(n, 0) AS BIGINT) AS n_seen, CAST(coalesce(total, 0) AS BIGINT) AS sum_tgt FROM cell LEFT JOIN seen ON obs = cell_id WHERE z IS NOT NULL""")
 def visible_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All visible pairs, in rows."""
-    return los.visible_rows(small_grid(spark, sf_dir), N, N, fx.HEIGHT)
-
-
-@query(RECURSIVE + " SELECT obs, tgt FROM visible")
-def visible_pairs_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same pairs from the kernel's packed rows."""
-    return los.pairs_of_bits(los.visible_bits(small_grid(spark, sf_dir), N, N))
+    """All visible pairs as packed rows; per observer their number and the sum of their cell numbers."""
+    g = fx.lattice(spark, sf_dir)
+    return los.seen_digest(los.visible_bits(fx.cells(spark, sf_dir, g), g.n_rows, g.n_cols))
 
 
 @query(WHOLE + """, seen AS (SELECT obs, count(*) AS n_seen FROM visible GROUP BY obs)
@@ -101,32 +101,41 @@ def visibility_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.withColumn("percent", geo.visible_percent(F.col("n_visible"), F.lit(g.n_rows * g.n_cols)))
 
 
-SPOTS = f"""spot0 AS (SELECT site_id, small.id AS cell_id, row_number() OVER (PARTITION BY site_id ORDER BY round({km_sql("site.lat", "site.lng", "small.lat", "small.lng")}, 9), small.id DESC) AS rn FROM site, small),
-kept AS (SELECT DISTINCT cell_id FROM spot0 WHERE rn = 1)"""
-
+def kept_cells(spark: SparkSession, sf_dir: str, cells: DataFrame, grid: near.Lattice) -> DataFrame:
+    """(cell_id, demand) of the cells that are nearest to some site."""
+    own = near.nearest_cell(fx.sites(spark, sf_dir, grid).select("site_id", "lat", "lng", "demand"), cells, grid)
+    return own.groupBy("cell_id").agg(F.sum("demand").alias("demand"))
 
-def _kept(spark: SparkSession, sf_dir: str, cells: DataFrame) -> DataFrame:
-    """Cells of the small grid that are nearest to some site (few cells, so a broadcast argmin)."""
-    sites = fx.sites(spark, sf_dir).select("site_id", "lat", "lng")
-    km = F.round(geo.haversine_km(F.col("lat"), F.col("lng"), F.col("cell_lat"), F.col("cell_lng")), 9)
-    spots = F.broadcast(cells.select("cell_id", F.col("lat").alias("cell_lat"), F.col("lng").alias("cell_lng")))  # N * N rows
-    best = sites.join(spots).groupBy("site_id").agg(F.min(F.struct(km.alias("km"), (-F.col("cell_id")).alias("k"))).alias("b"))
-    return best.select((-F.col("b.k")).alias("cell_id")).distinct()
 
-
-@query(RECURSIVE + f", {SPOTS} SELECT count(DISTINCT tgt) AS n_seen, CAST(ceil(count(DISTINCT tgt) / 400e0 * 100) AS BIGINT) AS percent FROM visible JOIN kept ON obs = cell_id")
+@query(WHOLE + f""", {SPOTS} SELECT count(DISTINCT tgt) AS n_seen, CAST(ceil(count(DISTINCT tgt) / CAST((SELECT n_rows * n_cols FROM grid) AS DOUBLE) * 100) AS BIGINT) AS percent FROM visible JOIN kept ON obs = cell_id""")
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of the grid that the sites' cells see together."""
-    cells = small_grid(spark, sf_dir)
-    visible = los.pairs_of_bits(los.visible_bits(cells, N, N))
-    return los.coverage(visible, _kept(spark, sf_dir, cells), N * N)
+    g = fx.lattice(spark, sf_dir)
+    cells = fx.cells(spark, sf_dir, g)
+    observers = cells.join(kept_cells(spark, sf_dir, cells, g).select("cell_id"), "cell_id", "left_semi")
+    return los.coverage_of_bits(los.visible_bits(cells, g.n_rows, g.n_cols, observers=observers), g.n_rows * g.n_cols)
 
 
-@query(RECURSIVE + f", {SPOTS} SELECT obs, tgt FROM visible WHERE obs IN (SELECT cell_id FROM kept) AND tgt IN (SELECT cell_id FROM kept)")
+@query(WHOLE + f", {SPOTS}, {PAIRS} SELECT obs, tgt FROM pair WHERE km <= 12")
 def candidate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visible pairs of kept cells."""
-    cells = small_grid(spark, sf_dir)
-    return los.candidate_links(los.pairs_of_bits(los.visible_bits(cells, N, N)), _kept(spark, sf_dir, cells))
+    """Visible pairs of kept cells within a range of 12 km."""
+    g = fx.lattice(spark, sf_dir)
+    cells = fx.cells(spark, sf_dir, g)
+    return los.kept_links(cells, g, kept_cells(spark, sf_dir, cells, g), 12.0).select("obs", "tgt")
+
+
+FALLBACK = (15, 20, 25, 30)
+
+
+@query(RAYS + fold_sql(FALLBACK) + f""", {SPOTS}, asked AS (SELECT DISTINCT spot0.cell_id AS obs, link.cell_id AS tgt FROM link JOIN spot0 USING (site_id) WHERE rn = 1 AND spot0.cell_id <> link.cell_id)
+SELECT asked.obs, asked.tgt, CAST(min(h) AS INTEGER) AS height FROM asked LEFT JOIN visible ON visible.obs = asked.obs AND visible.tgt = asked.tgt GROUP BY 1, 2""")
+def fallback_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of four tower heights with which a site's cell sees the cell that it asks for."""
+    g = fx.lattice(spark, sf_dir)
+    cells = fx.cells(spark, sf_dir, g)
+    own = near.nearest_cell(fx.sites(spark, sf_dir, g).select("site_id", "lat", "lng"), cells, g).select("site_id", F.col("cell_id").alias("obs"))
+    asked = fx.links(spark, sf_dir, g).select("site_id", F.col("cell_id").alias("tgt")).join(own, "site_id").filter("obs <> tgt")
+    return los.least_heights(cells, g.n_rows, g.n_cols, asked, FALLBACK)
 
 
 @query("WITH " + CTE + """, o AS (SELECT l_partkey AS cell_id, CAST(max(l_linenumber) AS INTEGER) AS own FROM lineitem GROUP BY 1)
@@ -137,45 +146,48 @@ def tower_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return los.with_heights(fx.cells(spark, sf_dir), overrides).select("cell_id", "mount_h")
 
 
-@query("WITH RECURSIVE " + CTE + """, p AS (SELECT link_id, lat1, lng1, lat2, lng2, demand, unnest(generate_series(0, 16)) AS k FROM link),
-q AS (SELECT link_id, demand, k, CAST(floor((35.3e0 - (lat1 + (lat2 - lat1) * k / 16)) / 0.01e0 + 0.5e0) AS INTEGER) AS r, CAST(floor(((lng1 + (lng2 - lng1) * k / 16) - -106.6e0) / 0.01e0 + 0.5e0) AS INTEGER) AS c FROM p),
+@query("WITH RECURSIVE " + CTE + """, p AS (SELECT link_id, lat1, lng1, lat2, lng2, demand, unnest(generate_series(0, 256)) AS k FROM link),
+q AS (SELECT link_id, demand, k, CAST(floor((35.3e0 - (lat1 + (lat2 - lat1) * k / 256)) / 0.01e0 + 0.5e0) AS INTEGER) AS r, CAST(floor(((lng1 + (lng2 - lng1) * k / 256) - -106.6e0) / 0.01e0 + 0.5e0) AS INTEGER) AS c FROM p),
 m AS (SELECT link_id, demand, k, z FROM q JOIN cell USING (r, c) WHERE z IS NOT NULL),
 w AS (SELECT *, row_number() OVER (PARTITION BY link_id ORDER BY k) AS i, first(k) OVER (PARTITION BY link_id ORDER BY k) AS k0, first(z) OVER (PARTITION BY link_id ORDER BY k) + 10 AS z0 FROM m),
 f AS (SELECT link_id, i, k, k0, -1e300 AS lim, false AS ok FROM w WHERE i = 1
-      UNION ALL SELECT w.link_id, w.i, w.k, w.k0, CASE WHEN (w.z + CASE WHEN w.k = 16 THEN 5 + w.demand ELSE 10 END - z0) / CAST(w.k AS DOUBLE) >= lim THEN (w.z - z0) / CAST(w.k AS DOUBLE) ELSE lim END, (w.z + CASE WHEN w.k = 16 THEN 5 + w.demand ELSE 10 END - z0) / CAST(w.k AS DOUBLE) >= lim FROM f JOIN w ON w.link_id = f.link_id AND w.i = f.i + 1)
-SELECT link_id, coalesce(bool_or(ok AND k = 16 AND k0 = 0), false) AS visible FROM link LEFT JOIN f USING (link_id) GROUP BY link_id""")
+      UNION ALL SELECT w.link_id, w.i, w.k, w.k0, CASE WHEN (w.z + CASE WHEN w.k = 256 THEN 5 + w.demand ELSE 10 END - z0) / CAST(w.k AS DOUBLE) >= lim THEN (w.z - z0) / CAST(w.k AS DOUBLE) ELSE lim END, (w.z + CASE WHEN w.k = 256 THEN 5 + w.demand ELSE 10 END - z0) / CAST(w.k AS DOUBLE) >= lim FROM f JOIN w ON w.link_id = f.link_id AND w.i = f.i + 1)
+SELECT link_id, coalesce(bool_or(ok AND k = 256 AND k0 = 0), false) AS visible FROM link LEFT JOIN f USING (link_id) GROUP BY link_id""")
 def path_line_of_sight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line of sight of every link along 16 samples."""
+    """Line of sight of every link along 256 samples."""
     g = fx.lattice(spark, sf_dir)
     ends = fx.links(spark, sf_dir, g).select("link_id", "lat1", "lng1", "lat2", "lng2", F.lit(10).alias("h1"), (F.col("demand") + 5).alias("h2"))
-    return los.path_visible(ends, fx.cells(spark, sf_dir, g), fx.NORTH, fx.WEST, fx.STEP, samples=16)
+    return los.path_visible(ends, fx.cells(spark, sf_dir, g), fx.NORTH, fx.WEST, fx.STEP)
+
 
+#: Devices with enough throughput that no cheaper one (or earlier one of the same cost) outranges.
+STAIRS = """stairs AS (SELECT * FROM device d WHERE throughput >= 100 AND NOT EXISTS (SELECT 1 FROM device e WHERE e.throughput >= 100 AND e.range_km >= d.range_km AND (e.pair_cost, e.ord) < (d.pair_cost, d.ord)))"""
+REPORT = WHOLE + f""", {SPOTS}, {PAIRS}, {STAIRS},
+got AS (SELECT pair.tgt, pair.km, device_id, pair_cost, row_number() OVER (PARTITION BY obs, tgt ORDER BY pair_cost, stairs.ord) AS rn FROM pair JOIN stairs ON range_km >= km)
+SELECT device_id, count(*) AS n_arcs, CAST(sum(pair_cost) AS BIGINT) AS pair_cost, count(DISTINCT tgt) AS n_heads, CAST(round(max(km) * 1000) AS BIGINT) AS longest_m FROM got WHERE rn = 1 GROUP BY device_id"""
 
-REPORT = RECURSIVE + f""", {SPOTS}, arc AS (SELECT obs, tgt, round({km_sql("a.lat", "a.lng", "b.lat", "b.lng")}, 9) AS km FROM visible JOIN small a ON a.id = obs JOIN small b ON b.id = tgt WHERE obs IN (SELECT cell_id FROM kept) AND tgt IN (SELECT cell_id FROM kept)),
-fit AS (SELECT obs, tgt, device_id, pair_cost, row_number() OVER (PARTITION BY obs, tgt ORDER BY pair_cost, device.ord) AS rn FROM arc JOIN device ON range_km >= km AND throughput >= 100),
-got AS (SELECT arc.obs, arc.tgt, coalesce(device_id, -1) AS device_id, coalesce(pair_cost, 0) AS pair_cost, km FROM arc LEFT JOIN fit ON fit.obs = arc.obs AND fit.tgt = arc.tgt AND rn = 1)
-SELECT device_id, count(*) AS n_arcs, CAST(sum(pair_cost) AS BIGINT) AS pair_cost, count(DISTINCT tgt) AS n_heads, CAST(round(max(km) * 1000) AS BIGINT) AS longest_m FROM got GROUP BY device_id"""
+
+def widest_range(devices: DataFrame) -> float:
+    """No link beyond it has a device."""
+    return float(devices.agg(F.max("range_km").alias("m")).first().m or 0)
 
 
 @query(REPORT)
 def plan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: terrain to visibility to candidate arcs to devices, summed up per device."""
-    cells = materialize(small_grid(spark, sf_dir), "cells")
-    visible = los.pairs_of_bits(los.visible_bits(cells, N, N))
-    arcs = los.candidate_links(visible, _kept(spark, sf_dir, cells))
-    spot = lambda k: F.broadcast(cells.select(F.col("cell_id").alias(k), F.col("lat").alias(f"lat_{k}"), F.col("lng").alias(f"lng_{k}")))  # noqa: E731  N * N rows
-    km = F.round(geo.haversine_km(F.col("lat_obs"), F.col("lng_obs"), F.col("lat_tgt"), F.col("lng_tgt")), 9)
-    placed = arcs.join(spot("obs"), "obs").join(spot("tgt"), "tgt").select("obs", "tgt", km.alias("km"), F.lit(100).alias("need"))
-    best = dev.best_device(placed, fx.devices(spark, sf_dir))
-    return best.groupBy("device_id").agg(F.count(F.lit(1)).alias("n_arcs"), F.sum("pair_cost").cast("long").alias("pair_cost"), F.countDistinct("tgt").alias("n_heads"), F.round(F.max("km") * 1000).cast("long").alias("longest_m"))
+    g = fx.lattice(spark, sf_dir)
+    cells, devices = fx.cells(spark, sf_dir, g), fx.devices(spark, sf_dir)
+    arcs = los.kept_links(cells, g, kept_cells(spark, sf_dir, cells, g), widest_range(devices)).withColumn("need", F.lit(100))
+    best = dev.best_device(arcs, devices).filter("device_id >= 0")
+    return best.groupBy("device_id").agg(
+        F.count(F.lit(1)).alias("n_arcs"), F.sum("pair_cost").cast("long").alias("pair_cost"), F.countDistinct("tgt").alias("n_heads"), F.round(F.max("km") * 1000).cast("long").alias("longest_m"),
+    )
 
 
 @query(f"""WITH {CTE}, k AS (SELECT link_id, site_id, lat1, lng1, lat2, lng2, {km_sql("lat1", "lng1", "lat2", "lng2")} AS km FROM link)
-SELECT site_id, bool_and(km <= 40) AS near_all, count(*) AS n FROM k GROUP BY site_id""")
+SELECT site_id, bool_and(km <= 1.6e0) AS near_all, count(*) AS n FROM k GROUP BY site_id""")
 def source_sees_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P10: whether all links of a site stay within a distance."""
     km = geo.haversine_km(F.col("lat1"), F.col("lng1"), F.col("lat2"), F.col("lng2"))
-    return fx.links(spark, sf_dir).groupBy("site_id").agg(F.bool_and(km <= 40).alias("near_all"), F.count(F.lit(1)).alias("n"))
-
+    return fx.links(spark, sf_dir).groupBy("site_id").agg(F.bool_and(km <= 1.6).alias("near_all"), F.count(F.lit(1)).alias("n"))
 
-__all__ = ["QUERIES", "ORACLE", "near"]

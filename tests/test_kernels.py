@@ -1,5 +1,7 @@
 """Kernels against plain re-derivations, and edge cases of grids, devices and files."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -66,6 +68,134 @@ def test_view(shape, order):
             assert {tuple(x) for x in np.argwhere(terrain.view(r, c)).tolist()} == want
 
 
+def test_row_form_is_the_kernel(spark):
+    rng = np.random.default_rng(3)
+    z = rng.integers(100, 160, (7, 7))
+    cells = square(spark, 7, lambda r, c: None if (r, c) == (2, 3) else int(z[r, c])).withColumn("mount_h", F.lit(10))
+    bits = los.visible_bits(cells, 7, 7)
+    assert {tuple(r) for r in los.visible_rows(cells, 7, 7).collect()} == {tuple(r) for r in los.pairs_of_bits(bits).collect()}
+    assert {(r.obs, r.n_seen) for r in los.seen_digest(bits).collect()} == {(r.obs, r.n_visible) for r in bits.collect()}
+
+
+def test_unions_links_and_heights(spark, monkeypatch):
+    monkeypatch.setattr(los, "BLOCK_BYTES", 2)
+    rng = np.random.default_rng(5)
+    z = rng.integers(100, 190, (9, 9))
+    grid = near.Lattice(1.0, 2.0, 0.01, 9, 9)
+    cells = square(spark, 9, lambda r, c: int(z[r, c])).withColumn("mount_h", F.lit(10))
+    kept = cells.filter("cell_id % 4 = 1").select("cell_id")
+    bits = los.visible_bits(cells, 9, 9, observers=cells.join(kept, "cell_id", "left_semi"))
+    pairs = los.pairs_of_bits(los.visible_bits(cells, 9, 9))
+    assert los.coverage_of_bits(bits, 81).collect() == los.coverage(pairs, kept, 81).collect()
+    assert los.coverage_of_bits(bits.filter("false"), 81).first().n_seen == 0
+    want = {tuple(r) for r in los.candidate_links(pairs, kept).collect()}
+    got = los.kept_links(cells, grid, kept).collect()
+    assert {(r.obs, r.tgt) for r in got} == want
+    assert {(r.obs, r.tgt) for r in los.kept_links(cells, grid, kept, 2.5).collect()} == {(r.obs, r.tgt) for r in got if r.km <= 2.5}
+    asked = kept.select(F.col("cell_id").alias("obs"), F.lit(40).cast("long").alias("tgt")).filter("obs <> tgt")
+    first = {r.obs: r.height for r in los.least_heights(cells, 9, 9, asked, (5, 50, 500)).collect()}
+    for height in (5, 50, 500):
+        seen = {r.obs for r in los.pairs_of_bits(los.visible_bits(cells.withColumn("mount_h", F.lit(float(height))), 9, 9)).collect() if r.tgt == 40}
+        assert all((h is not None and h <= height) for o, h in first.items() if o in seen) and all(h != height or o in seen for o, h in first.items())
+    counts = {r.cell_id: tuple(r)[1:] for r in los.sight_counts(bits, np.arange(81) // 9, {4: (3, 5)}, np.arange(81) % 2 == 0).collect()}
+    of = {}
+    for o, t in {tuple(r) for r in pairs.collect()}:
+        of.setdefault(o, set()).add(t)
+    for o, (n, area, parent) in counts.items():
+        assert (n, area, parent) == (len(of.get(o, ())), sum(t // 9 == o // 9 for t in of.get(o, ())), sum(o // 9 == 4 and t // 9 in (3, 5) and t % 2 == 0 for t in of.get(o, ())))
+
+
+def test_equal_rows_stay(spark):
+    cells = square(spark, 4, lambda r, c: 10 * r + c)
+    grid = near.Lattice(1.0, 2.0, 0.01, 4, 4)
+    points = frame(spark, [(1, 0.991, 2.012), (1, 0.991, 2.012), (2, 0.974, 2.022)], "site_id long, lat double, lng double")
+    assert near.nearest_cell(points, cells, grid).count() == 3
+    assert gr.weighted_elevation(points, cells, 1.0, 2.0, 0.01).count() == 3
+    links = frame(spark, [(0.991, 2.012, 0.974, 2.022, 7)] * 2, "lat1 double, lng1 double, lat2 double, lng2 double, cell_id long")
+    snapped = near.snapped_links(links, cells, grid).collect()
+    assert len(snapped) == 2 and len({(r.tail, r.head) for r in snapped}) == 1 and snapped[0].cell_id == 7
+
+
+@pytest.mark.parametrize("lat", [0.0, 60.0, 84.0, -89.0])
+def test_density_clusters_at_any_latitude(spark, lat):
+    rng = np.random.default_rng(int(abs(lat)))
+    wide = 0.002 / max(np.cos(np.radians(abs(lat) + 0.01)), 1e-3)
+    points = [(k, float(lat + rng.uniform(-0.002, 0.002)), float(rng.choice([10.0, 179.9999, -179.9999]) + rng.uniform(-wide, wide) * (rng.random() < 0.9))) for k in range(60)]
+    points = [(k, a, (b + 180) % 360 - 180) for k, a, b in points]
+    comp = {k: k for k, _, _ in points}
+    for i, a, b in points:
+        for j, c, d in points:
+            p, q = np.radians([a, b]), np.radians([c, d])
+            h = np.sin((q[0] - p[0]) / 2) ** 2 + np.cos(p[0]) * np.cos(q[0]) * np.sin((q[1] - p[1]) / 2) ** 2
+            if j < i and 2 * 6371000 * np.arcsin(np.sqrt(min(h, 1))) <= 50.0:
+                x, y = comp[i], comp[j]
+                comp = {k: min(x, y) if v in (x, y) else v for k, v in comp.items()}
+    got = gp.density_clusters(frame(spark, points, "site_id long, lat double, lng double"), 50.0).collect()
+    assert {r.site_id: r.cluster for r in got} == comp
+
+
+def test_components_in_a_task_and_by_stars(spark):
+    rng = np.random.default_rng(2)
+    edges = frame(spark, [(int(a), int(b)) for a, b in rng.integers(-40, 40, (50, 2))], "a long, b long")
+    here = {tuple(r) for r in gp.connected_components(edges).collect()}
+    assert here == {tuple(r) for r in gp.connected_components(edges, most_in_task=0).collect()} and here
+    assert gp.connected_components(edges.filter("false")).count() == 0
+
+
+def test_ids_orders_and_sources(spark):
+    nodes = frame(spark, [(7,), (3,), (7,), (100,)], "node long")
+    ids = jb.local_ids(nodes)
+    assert sorted(map(tuple, ids.collect())) == [(3, 0), (7, 1), (100, 2)]
+    asked = frame(spark, [(7, "x"), (8, "y")], "node long, name string")
+    assert sorted((r.node, r.local) for r in jb.to_local(asked, ids).collect()) == [(7, 1), (8, -1)]
+    edges = frame(spark, [(k % 3, k, k * 7 % 50) for k in range(200)], "flow long, tail long, head long")
+    want = sorted(edges.collect(), key=lambda r: (r.flow, f"{r.tail},{r.head}"))
+    assert [tuple(r)[:3] for r in jb.kept_order(edges).orderBy("place").collect()] == [tuple(r) for r in want]
+    kinds = frame(spark, [("a", "source"), ("a", "sink"), ("b", "sink"), ("c", "source"), ("c", "source")], "job_id string, kind string")
+    assert sorted(map(tuple, jb.one_source(kinds).collect())) == [("a", 1, True), ("b", 0, False), ("c", 2, False)]
+
+
+def test_bit_matrix_round_trip(spark, tmp_path):
+    """Rows that do not end at a byte, and cells without an observer."""
+    z = np.random.default_rng(8).integers(100, 150, (5, 5))
+    cells = square(spark, 5, lambda r, c: None if (r, c) == (4, 4) else int(z[r, c])).withColumn("mount_h", F.lit(10))
+    bits = los.visible_bits(cells, 5, 5)
+    wr.write_bit_matrix(bits, 25, str(tmp_path / "m"))
+    assert {tuple(r) for r in rd.read_bit_matrix(spark, str(tmp_path / "m"), 25).collect()} == {tuple(r) for r in los.pairs_of_bits(bits).collect()}
+
+
+def test_catalogue_is_the_undominated_stairs(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, k, f"d{k}", int(rng.integers(1, 9)), int(rng.integers(1, 9)), int(rng.integers(1, 9)), True) for k in range(60)]
+    devices = frame(spark, rows, "device_id int, ord int, name string, throughput int, range_km int, pair_cost int, selected boolean")
+    left = {d.device_id for d in dev.catalogue(devices).first().devices}
+    assert left == {a[0] for a in rows if not any((b[5], b[1]) < (a[5], a[1]) and b[3] >= a[3] and b[4] >= a[4] for b in rows)}
+    edges = frame(spark, [(1, 2, 1, 50), (1, 3, 1, 60), (1, 4, 0, 70)], "tail long, head long, flow long, pair_cost int")
+    pinned = frame(spark, [(1, 3, 5), (1, 9, 5)], "tail long, head long, device_id int")
+    assert tuple(dev.equipment_cost(edges, pinned, devices).first()) == (50 + rows[5][5], 1)
+
+
+def test_plan_with_pins_and_heights(spark):
+    """A wall hides the sinks; a higher tower or a pinned link reaches them."""
+    from ridgeplan.plans import planner
+
+    cells = square(spark, 6, lambda r, c: 400 if c == 3 else 100)
+    grid = near.Lattice(1.0, 2.0, 0.01, 6, 6)
+    sites = frame(spark, [(0, 0, 0.99, 2.05, 4), (1, 1, 0.97, 2.04, 3), (2, 2, 0.97, 2.0, 0)], "site_id long, ord long, lat double, lng double, demand int")
+    devices = frame(spark, [(1, 0, "a", 1000, 900, 50, True), (2, 1, "b", 5, 900, 20, True)], "device_id int, ord int, name string, throughput int, range_km int, pair_cost int, selected boolean")
+    bare = planner.plan(sites, cells, grid, devices, removal_percent=100.0)
+    assert bare.edges.count() == 0 and bare.document().count() == 0
+    pinned = frame(spark, [(0.97, 2.0, 0.97, 2.04, 0, 1)], "lat1 double, lng1 double, lat2 double, lng2 double, throughput int, device_id int")
+    made = planner.plan(sites, cells, grid, devices, removal_percent=100.0, pinned=pinned)
+    got = {(r.tail, r.head): r for r in made.edges.collect()}
+    assert set(got) == {(18, 22), (22, 11)} and got[18, 22].flow == 7 and got[18, 22].pinned and got[18, 22].device_id == 1 and got[18, 22].unit_cost == 0
+    assert got[22, 11].flow == 4 and got[22, 11].device_id == 2 and got[22, 11].pair_cost == 20
+    assert {(r.node, r.kind, r.supply) for r in made.nodes.collect()} == {(18, "source", 0), (22, "sink", 3), (11, "sink", 4)}
+    assert '"equipmentCost":70' in made.document().first().json
+    tall = planner.plan(sites, cells, grid, devices, heights=cells.select("cell_id", F.lit(900).alias("height")))
+    assert sum(r.got for r in fl.delivered(tall.edges).filter("node <> 18").collect()) == 7
+
+
 def test_flat_and_wall():
     flat = los.Terrain(np.full((7, 7), 5.0), np.full((7, 7), 10.0))
     assert flat.view(3, 3).sum() == 48
@@ -246,10 +376,13 @@ def small_net(seed):
 @pytest.mark.parametrize("seed", range(4))
 def test_designs(seed):
     net = small_net(seed)
-    flow, kept, trace = fl.randomised_rounding(net, seed, False)
-    assert trace[-1] == 0 and fl._met(net, flow) == 5
-    better, _, _ = fl.local_search(net, flow, kept, "leaf")
-    better, _, _ = fl.local_search(net, better, kept, "rest")
+    flow, kept, trace, complete = fl.randomised_rounding(net, seed, False)
+    assert complete and trace[-1] == 0 and fl._met(net, flow) == 5
+    cut = fl.randomised_rounding(net, seed, False, most=1)
+    assert len(cut[2]) == 1 and fl._met(net, cut[0]) == 5 and (cut[3] == (not ((cut[0] > 0) & ~cut[1]).any()) or not cut[3])
+    better, _, _, done = fl.local_search(net, flow, kept, "leaf")
+    better, _, _, done = fl.local_search(net, better, kept, "rest")
+    assert done and not fl.local_search(net, flow, np.isfinite(net.cost), "leaf", most=0)[3]
     assert fl.equipment_cost(net, better) <= fl.equipment_cost(net, flow) and fl._met(net, better) == 5
     exact = fl.fixed_charge_exact(net, net.device_cost)
     incumbents = list(fl.slope_scaling(net, net.device_cost))
@@ -286,6 +419,33 @@ def test_cascade(spark):
     assert {tuple(r) for r in left.collect()} == {(1, 2), (2, 3)}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_sparse_flow_is_the_dense_one(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(int(u), int(v), int(rng.integers(0, 30)), int(rng.integers(0, 4)), 5, False, float(rng.integers(1, 9))) for u, v in rng.integers(0, 12, (60, 2)) if u != v]
+    arcs = frame(spark, rows, "tail long, head long, unit_cost long, capacity int, pair_cost int, pinned boolean, km double")
+    demands = frame(spark, [(k, int(rng.integers(1, 5))) for k in range(1, 12)] + [(3, 2), (99, 1)], "node long, demand int")
+    for longest in (0.0, 6.0):
+        flow = fl.cheapest_flow(arcs, 0, demands, longest)
+        net = fl.network(arcs, 0, demands, longest)
+        dense = fl.min_cost_flow(net.cost, net.source, net.demand)
+        assert sum(r.flow * r.unit_cost for r in flow.collect()) == fl.flow_cost(net, dense)
+        got = {r.node: r.got for r in fl.delivered(flow).collect() if r.node != 0}
+        want = dict(zip(net.nodes.tolist(), (dense.sum(0) - dense.sum(1)).tolist(), strict=True))
+        assert all(want[k] == v for k, v in got.items()) and sum(got.values()) == sum(v for k, v in want.items() if k != 0)
+    assert fl.cheapest_flow(arcs.filter("false"), 0, demands).count() == 0
+
+
+def test_pins_and_traces(spark):
+    edges = frame(spark, [(0, 1, 5), (1, 2, 1)], "tail long, head long, flow long")
+    pinned = frame(spark, [(0, 1), (1, 2), (1, 2), (7, 8)], "tail long, head long")
+    assert tuple(fl.pins_carry_flow(edges, pinned).first()) == (False, 2)
+    assert tuple(fl.pins_carry_flow(edges, pinned.limit(0)).first()) == (True, 0)
+    runs = fl.solved_runs(small_net(1), spark, 2, 3)
+    trace = fl.search_trace(runs.filter("stage = 'rounding'")).collect()
+    assert {r.run for r in trace} == {0, 1} and all(r.cost >= 0 for r in trace) and runs.filter("NOT complete").count() == 0
+
+
 def test_areas_and_contours(spark):
     cells = square(spark, 4, lambda r, c: None if r == 3 else 100 + 100 * (c > 1))
     areas = gp.elevation_areas(cells, 100)
@@ -312,6 +472,56 @@ def test_removal_counts(spark, percent):
     assert kept.count() == -(-15 * (100 - percent) // 100)
 
 
+@pytest.mark.parametrize("scope", ["bucket", "map"])
+@pytest.mark.parametrize("percent", [40, 90])
+def test_elevation_removal_by_hand(spark, scope, percent):
+    """Unions by subset are those of the packed rows; the first of the best subsets is kept."""
+    rng = np.random.default_rng(percent)
+    z = rng.integers(100, 125, (8, 8))
+    cells = square(spark, 8, lambda r, c: int(z[r, c])).withColumn("mount_h", F.lit(10))
+    bits = los.visible_bits(cells, 8, 8)
+    buckets = cells.select("cell_id", geo.elevation_bucket(F.col("z")).alias("bucket"))
+    got = {}
+    for r in rm.elevation_removal(bits.select("obs", "bits"), buckets, percent, scope).collect():
+        got.setdefault(r.bucket, set()).add(r.cell_id)
+    rows = {r.obs: np.frombuffer(bytes(r.bits), np.uint8) for r in bits.collect()}
+    for bucket in range(10, 13):
+        own = np.flatnonzero((z // 10).ravel() == bucket)
+        mask = np.full(64, scope == "map")
+        mask[own] = True
+        mask = np.packbits(mask, bitorder="little")
+        best, most = None, -1
+        for chosen in rm.keep_options(own, percent):
+            n = int(np.bitwise_count(np.bitwise_or.reduce([rows[k] for k in chosen.tolist()]) & mask).sum())
+            if n > most:
+                best, most = set(chosen.tolist()), n
+        assert got[bucket] == best
+
+
+def test_random_removal_with_ties(spark):
+    cells = square(spark, 12, lambda r, c: None if (r + c) % 7 == 0 else 100)
+    ids = sorted((k * 31 % 5, k) for k in range(144) if (k // 12 + k % 12) % 7)
+    for percent in (0, 33, 60, 99.9, 100):
+        removed, kept = rm.random_removal(cells, percent, F.col("cell_id") * 31 % 5)
+        n = int(len(ids) * percent // 100)
+        assert {r.cell_id for r in removed.collect()} == {k for _, k in ids[:n]} and {r.cell_id for r in kept.collect()} == {k for _, k in ids[n:]}
+    assert rm.random_removal(cells.filter("false"), 50, F.col("cell_id"))[1].count() == 0
+
+
+def test_cluster_removal_goes_down_from_the_highest(spark):
+    """A cell of the lower area that sees the kept cell of the upper one comes first."""
+    cells = square(spark, 6, lambda r, c: 250 if c >= 4 else 150).withColumn("mount_h", F.lit(10))
+    areas = gp.elevation_areas(cells, 100)
+    bits = los.visible_bits(cells, 6, 6).select("obs", "bits")
+    sample = areas.join(cells.select("cell_id", "lat", "lng"), "cell_id")
+    kept = rm.remove_from_above(sample, areas, gp.area_parents(areas), bits, 36, 95.0).collect()
+    assert Counter(r.area_id for r in kept) == {0: 2, 4: 1}
+    top = next(r.cell_id for r in kept if r.area_id == 4)
+    seen = {(r.obs, r.tgt) for r in los.pairs_of_bits(bits).collect()}
+    sees = {r.cell_id for r in areas.collect() if r.area_id == 0 and (r.cell_id, top) in seen}
+    assert not sees or any(r.cell_id in sees for r in kept)
+
+
 def test_spaced_pick_stops():
     far = [[(1, 0.0, 0.0), (2, 0.0, 1.0)], [(3, 0.0, 0.5)]]
     assert rm.spaced_pick(far, 1000.0, 3) == [1]
