@@ -315,38 +315,50 @@ def forest(a: np.ndarray, b: np.ndarray, step: int = 1 << 14) -> np.ndarray:
 
 #: Pairs that a tile gives at once, as a multiple of its nodes; beyond that first those that may join components.
 PAIRS_PER_NODE = 8
+#: Pairs that are looked at together.
+LOOK_PAIRS = 1 << 15
 TILED = "a long, b long, more boolean"
 
 
+def open_in_tile(comp: np.ndarray, n: np.ndarray, bits: np.ndarray, left: np.ndarray, right: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of different components that sizes and parities do not rule out; each pair once."""
+    found, rows = [np.empty((2, 0), np.int64)], max(1, LOOK_PAIRS // max(1, len(right)))
+    same = len(left) == len(right) and bool((left == right).all())
+    small = t.den * n
+    large = t.num * n
+    for low in range(0, len(left), rows):
+        some = left[low : low + rows, None]
+        near = (small[some] >= large[right]) & (small[right] >= large[some]) & (comp[some] != comp[right])
+        if same:
+            near &= some < right
+        i, j = np.nonzero(near)
+        i, j = some[i, 0], right[j]
+        apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+        kept = apart <= (t.den - t.num) * (n[i] + n[j]) // (t.den + t.num)
+        found.append(np.stack([i[kept], j[kept]]))
+    return tuple(np.concatenate(found, axis=1))
+
+
 def candidate_tiles(tiles: Iterator[pa.Table], t: Threshold, all_pairs: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of different components in each tile that size and parity do not rule out.
 
     A tile with very many of them gives, unless ``all_pairs``, just enough to join all
-    components that they could join, and a row that says that there are more.
+    components that they could join, and a row (bucket, 0, true) that says that there are more.
     """
     for tile in tiles:
         node, comp, n, side = (tile.column(c).to_numpy().astype(np.int64) for c in ("node", "component", "n", "side"))
         bits = np.frombuffer(b"".join(tile.column("parity").to_pylist()), U64).reshape(-1, PARITY_WORDS)
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        found = []
-        for row, k in enumerate(left):  # one row of the tile at a time
-            most = (t.den - t.num) * (n[k] + n[right]) // (t.den + t.num)
-            open_ = (comp[right] != comp[k]) & (t.den * np.minimum(n[right], n[k]) >= t.num * np.maximum(n[right], n[k]))
-            j = np.flatnonzero(open_)
-            j = j[np.bitwise_count(bits[right[j]] ^ bits[k]).sum(axis=1, dtype=np.int64) <= most[j]]
-            found.append(np.stack([np.full(len(j), row, np.int32), j.astype(np.int32)]))
-        i, j = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int32)
-        cut = int(not all_pairs and len(i) > PAIRS_PER_NODE * len(node))
+        i, j = open_in_tile(comp, n, bits, np.flatnonzero(side != 1), np.flatnonzero(side != 0), t)
+        cut = not all_pairs and len(i) > PAIRS_PER_NODE * len(node)
         if cut:
-            kept = forest(comp[left[i]], comp[right[j]])
+            kept = forest(comp[i], comp[j])
             i, j = i[kept], j[kept]
-        a, b = node[left[i]], node[right[j]]
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        fresh = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
-        columns = [np.append(x[fresh], np.zeros(cut, np.int64)) for x in (a, b)]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.append(np.zeros(fresh.sum(), bool), np.ones(cut, bool)))], ["a", "b", "more"])
+        if not len(i):
+            continue
+        a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+        if cut:
+            a, b = np.append(a, tile.column("key")[0].as_py()), np.append(b, 0)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.arange(len(a)) >= len(i))], ["a", "b", "more"])
 
 
 class JaccardJoin:
@@ -431,7 +443,7 @@ class JaccardJoin:
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         tiles = rows.select(
             F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"),
-            F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "node", "component", "n", "parity",
+            F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "key", "node", "component", "n", "parity",
         )
         out = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda batches: candidate_tiles(runs(batches, "tile"), t, all_pairs), TILED)
         return materialize(out, "tiles"), held.select("key", "node")
@@ -456,8 +468,10 @@ class JaccardJoin:
             if again.limit(1).count():
                 links, pairs = links.unionByName(self.verified(again, texts)), pairs.unionByName(again)
                 comps = connected_components(links)
-            if not tiles.filter("more").limit(1).count():
+            cut = materialize(tiles.filter("more").select(F.col("a").alias("key")).distinct(), "cut")
+            if not cut.limit(1).count():
                 break
+            members = join_counted(members, cut, "key")
         rows = found.filter(F.col("kind") == DOC).select(F.col("x").alias("doc_id"), F.col("y").alias("node"), F.col("z").alias("n_shingles"))
         placed = materialize(join_counted(rows, comps, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("component")), "placed")
         first = materialize(placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("first")), "first")

@@ -337,13 +337,20 @@ def test_tiles_give_every_open_pair(monkeypatch):
     rng, t = np.random.default_rng(3), jaccard.Threshold(80, 100)
     core = rng.integers(0, 2**63, 60, dtype=np.int64).astype(np.uint64)
     sets = [np.unique(np.append(rng.permutation(core)[: 56 + k % 4], rng.integers(0, 2**63, 2, dtype=np.int64).astype(np.uint64))) for k in range(40)]
-    batch = pa.record_batch({"tile": pa.array([1] * 40), "side": pa.array([2] * 40), "node": pa.array(range(40)), "component": pa.array(range(40)), "n": pa.array([len(s) for s in sets]), "parity": pa.array([jaccard.parity(s) for s in sets])})
+    batch = pa.record_batch({"tile": pa.array([1] * 40), "key": pa.array([77] * 40), "side": pa.array([2] * 40), "node": pa.array(range(40)), "component": pa.array(range(40)), "n": pa.array([len(s) for s in sets]), "parity": pa.array([jaccard.parity(s) for s in sets])})
     tile = pa.Table.from_batches([batch])
     whole = pa.Table.from_batches(jaccard.candidate_tiles(iter([tile]), t, True)).to_pydict()
     pairs = set(zip(whole["a"], whole["b"], strict=True))
     assert not any(whole["more"]) and all((a, b) in pairs for a in range(40) for b in range(a + 1, 40) if t.links(sets[a], sets[b]))
     cut = pa.Table.from_batches(jaccard.candidate_tiles(iter([tile]), t, False)).to_pydict()
-    assert cut["more"].count(True) == 1 and len(cut["a"]) == 40
+    assert cut["more"].count(True) == 1 and len(cut["a"]) == 40 and cut["a"][-1] == 77
+    for look in (1, 50, 1 << 15):
+        monkeypatch.setattr(jaccard, "LOOK_PAIRS", look)
+        again = pa.Table.from_batches(jaccard.candidate_tiles(iter([tile]), t, True)).to_pydict()
+        assert set(zip(again["a"], again["b"], strict=True)) == pairs and len(again["a"]) == len(pairs)
+    halves = tile.set_column(2, "side", pa.array([k % 2 for k in range(40)]))
+    crossing = pa.Table.from_batches(jaccard.candidate_tiles(iter([halves]), t, True)).to_pydict()
+    assert set(zip(crossing["a"], crossing["b"], strict=True)) == {(a, b) for a, b in pairs if a % 2 != b % 2}
     monkeypatch.setattr(jaccard, "PAIRS_PER_NODE", 1000)
     assert pa.Table.from_batches(jaccard.candidate_tiles(iter([tile]), t, False)).to_pydict() == whole
 
