@@ -89,6 +89,13 @@ def parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return (mix(keys.astype(U64)) % U64(parts)).astype(np.int64)
 
 
+def passing(columns: list[np.ndarray], parts: int) -> Iterator[dict]:
+    """What needs no meeting: one row per chunk, whose part its first entry chooses."""
+    if len(columns[0]):
+        part = int(parts_of(columns[0][:1] ^ columns[1][:1] ^ columns[2][:1], parts)[0])
+        yield {"p": part, "kind": PASS} | {name: c.tobytes() for name, c in zip(NAMES, columns, strict=False)}
+
+
 class Positions:
     """Step 2, sending side: the chosen positions of one chunk.  Equal rows count, but are held once."""
 
@@ -123,7 +130,7 @@ class Positions:
         n = np.add.reduceat(weight[order], first)
         again = np.repeat(n > 1, np.diff(np.append(first, len(key))))  # live already: these only pass
         passed = [uid[again, 0], uid[again, 1], place[again]]
-        yield from pack(PASS, parts_of(passed[0] ^ passed[1] ^ passed[2], self.parts), passed, self.parts)
+        yield from passing(passed, self.parts)
         heads = first[n == 1]
         yield from pack(MEET, parts_of(key[heads], self.parts), [key[heads], uid[heads, 0], uid[heads, 1], place[heads]], self.parts)
         heads, none = first[n > 1], np.zeros(int((n > 1).sum()), np.int64)
@@ -198,7 +205,7 @@ class Stretches:
             return
         again = [len(places) > 1 or self.uids[places[0][:2]] for places in self.seen.values()]
         covered = np.array([(d, h, s, s + n - 1 + DEPTH) for places, more in zip(self.seen.values(), again, strict=True) if more for d, h, s, n in places], np.int64).reshape(-1, 4)
-        yield from pack(PASS, parts_of(covered[:, 0] ^ covered[:, 1] ^ covered[:, 2], self.parts), list(covered.T), self.parts)
+        yield from passing(list(covered.T), self.parts)
         key = np.array([k for k, _ in self.seen], U64).view(np.int64)
         uid_s_n = np.array([(*places[0][:3], -places[0][3] if more else places[0][3]) for places, more in zip(self.seen.values(), again, strict=True)], np.int64)
         # packed with the place in two columns: key, then (doc_id, text_hash, start, n) row by row
