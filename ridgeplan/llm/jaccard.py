@@ -314,15 +314,15 @@ def forest(a: np.ndarray, b: np.ndarray, step: int = 1 << 14) -> np.ndarray:
 
 
 #: Pairs that a tile gives at once, as a multiple of its nodes; beyond that first those that may join components.
-PAIRS_PER_NODE = 8
+PAIRS_PER_NODE = 1
 #: Pairs that are looked at together.
 LOOK_PAIRS = 1 << 15
 TILED = "a long, b long, more boolean"
 
 
-def open_in_tile(comp: np.ndarray, n: np.ndarray, bits: np.ndarray, left: np.ndarray, right: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs of different components that sizes and parities do not rule out; each pair once."""
-    found, rows = [np.empty((2, 0), np.int64)], max(1, LOOK_PAIRS // max(1, len(right)))
+def open_in_tile(comp: np.ndarray, n: np.ndarray, bits: np.ndarray, left: np.ndarray, right: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the pairs of different components that sizes and parities do not rule out, each pair once, and their differing bits."""
+    found, rows = [np.empty((3, 0), np.int64)], max(1, LOOK_PAIRS // max(1, len(right)))
     same = len(left) == len(right) and bool((left == right).all())
     small = t.den * n
     large = t.num * n
@@ -335,22 +335,26 @@ def open_in_tile(comp: np.ndarray, n: np.ndarray, bits: np.ndarray, left: np.nda
         i, j = some[i, 0], right[j]
         apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
         kept = apart <= (t.den - t.num) * (n[i] + n[j]) // (t.den + t.num)
-        found.append(np.stack([i[kept], j[kept]]))
+        found.append(np.stack([i[kept], j[kept], apart[kept]]))
     return tuple(np.concatenate(found, axis=1))
 
 
 def candidate_tiles(tiles: Iterator[pa.Table], t: Threshold, all_pairs: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of different components in each tile that size and parity do not rule out.
 
-    A tile with very many of them gives, unless ``all_pairs``, just enough to join all
-    components that they could join, and a row (bucket, 0, true) that says that there are more.
+    A tile with more of them than nodes gives, unless ``all_pairs``, just enough to join all
+    components that they could join, those with the nearest sketches, which most likely
+    link and which other tiles of the same nodes choose too, and a row (bucket, 0, true) that
+    says that there are more.
     """
     for tile in tiles:
         node, comp, n, side = (tile.column(c).to_numpy().astype(np.int64) for c in ("node", "component", "n", "side"))
         bits = np.frombuffer(b"".join(tile.column("parity").to_pylist()), U64).reshape(-1, PARITY_WORDS)
-        i, j = open_in_tile(comp, n, bits, np.flatnonzero(side != 1), np.flatnonzero(side != 0), t)
+        i, j, apart = open_in_tile(comp, n, bits, np.flatnonzero(side != 1), np.flatnonzero(side != 0), t)
         cut = not all_pairs and len(i) > PAIRS_PER_NODE * len(node)
         if cut:
+            order = np.lexsort((node[i] + node[j], np.minimum(node[i], node[j]), apart))
+            i, j = i[order], j[order]
             kept = forest(comp[i], comp[j])
             i, j = i[kept], j[kept]
         if not len(i):
