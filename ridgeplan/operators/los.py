@@ -359,28 +359,37 @@ def with_heights(cells: DataFrame, overrides: DataFrame, default: int = 10) -> D
 SAMPLES = 256
 
 
-def path_visible(ends: DataFrame, elevation: DataFrame, north: float, west: float, step: float, default_height: float = 10.0, samples: int = SAMPLES) -> DataFrame:
+def path_visible(ends: DataFrame, cells: DataFrame, grid: Lattice, default_height: float = 10.0, samples: int = SAMPLES) -> DataFrame:
     """Line of sight of links by sampled paths: (link_id, visible), judged at the last point.
 
     ``ends``: link_id, lat1, lng1, lat2, lng2, h1, h2.  ``samples`` points after the start are
-    taken evenly; the same overwriting threshold applies, from minus infinity; the end
+    taken evenly; the same overwriting threshold applies, from far below; the end
     has its own tower, points between the default one.  A link without elevation at
-    either end is not visible.
+    either end is not visible.  The terrain (of checked size) is broadcast, so links stay where they
+    are and all links of a batch advance together.
     """
-    k = F.explode(F.sequence(F.lit(0), F.lit(samples)))
-    points = ends.withColumn("k", k).select("*", *[(F.col(f"{x}1") + (F.col(f"{x}2") - F.col(f"{x}1")) * F.col("k") / samples).alias(x) for x in ("lat", "lng")])
-    points = points.withColumn("r", F.floor((north - F.col("lat")) / step + 0.5).cast("int")).withColumn("c", F.floor((F.col("lng") - west) / step + 0.5).cast("int"))
-    met = points.join(elevation.select("r", "c", "z"), ["r", "c"]).filter("z IS NOT NULL")
-    path = met.groupBy("link_id", "h1", "h2").agg(F.sort_array(F.collect_list(F.struct("k", "z"))).alias("p"))
-    start = F.col("p")[0]
-    z0 = start["z"] + F.col("h1")
-
-    def merge(a, x):
-        top = F.when(x["k"] == samples, F.col("h2")).otherwise(default_height)
-        g, g0 = (x["z"] + top - z0) / x["k"], (x["z"] - z0) / x["k"]
-        return F.struct(F.when(g >= a["m"], g0).otherwise(a["m"]).alias("m"), (g >= a["m"]).alias("ok"))
-
-    fold = F.aggregate(F.slice("p", 2, samples), F.struct(F.lit(-1e300).alias("m"), F.lit(False).alias("ok")), merge)
-    whole = (start["k"] == 0) & (F.element_at("p", -1)["k"] == samples)
-    judged = path.select("link_id", (whole & fold["ok"]).alias("visible"))
-    return ends.select("link_id").join(judged, "link_id", "left").select("link_id", F.coalesce("visible", F.lit(False)).alias("visible"))
+    sent = ends.sparkSession.sparkContext.broadcast(terrain_arrays(cells.withColumn("mount_h", F.lit(default_height)), grid.n_rows, grid.n_cols)[0])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = sent.value
+        for batch in batches:
+            for low in range(0, batch.num_rows, 4096):
+                part = batch.slice(low, 4096)
+                lat1, lng1, lat2, lng2, h1, h2 = (part.column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in range(1, 7))
+                z0, level = np.full(len(h1), np.nan), np.full(len(h1), -1e300)
+                ok = np.zeros(len(h1), bool)
+                for k in range(samples + 1):
+                    y = np.floor((grid.north - (lat1 + (lat2 - lat1) * k / samples)) / grid.step + 0.5)
+                    x = np.floor(((lng1 + (lng2 - lng1) * k / samples) - grid.west) / grid.step + 0.5)
+                    inside = (y >= 0) & (y < grid.n_rows) & (x >= 0) & (x < grid.n_cols)
+                    zt = np.full(len(h1), np.nan)
+                    zt[inside] = z[y[inside].astype(np.int64), x[inside].astype(np.int64)]
+                    if k == 0:
+                        z0 = zt + h1
+                        continue
+                    ok = (zt + (h2 if k == samples else default_height) - z0) / k >= level  # never without elevation
+                    level = np.where(ok, (zt - z0) / k, level)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ok)], ["link_id", "visible"])
+
+    asked = ends.select(F.col("link_id").cast("long").alias("link_id"), *[F.col(c).cast("double").alias(c) for c in ("lat1", "lng1", "lat2", "lng2", "h1", "h2")])
+    return asked.mapInArrow(look, "link_id long, visible boolean")

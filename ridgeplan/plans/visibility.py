@@ -157,7 +157,7 @@ def path_line_of_sight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line of sight of every link along 256 samples."""
     g = fx.lattice(spark, sf_dir)
     ends = fx.links(spark, sf_dir, g).select("link_id", "lat1", "lng1", "lat2", "lng2", F.lit(10).alias("h1"), (F.col("demand") + 5).alias("h2"))
-    return los.path_visible(ends, fx.cells(spark, sf_dir, g), fx.NORTH, fx.WEST, fx.STEP)
+    return los.path_visible(ends, fx.cells(spark, sf_dir, g), g)
 
 
 #: Devices with enough throughput that no cheaper one (or earlier one of the same cost) outranges.
