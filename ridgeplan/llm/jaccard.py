@@ -27,7 +27,7 @@ many they are, and never pairs.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -316,53 +316,77 @@ def forest(a: np.ndarray, b: np.ndarray, step: int = 1 << 14) -> np.ndarray:
 #: Pairs that a tile gives at once, as a multiple of its nodes; beyond that first those that may join components.
 PAIRS_PER_NODE = 1
 #: Pairs that are looked at together.
-LOOK_PAIRS = 1 << 15
+LOOK_PAIRS = 1 << 17
 TILED = "a long, b long, more boolean"
 
 
-def open_in_tile(comp: np.ndarray, n: np.ndarray, bits: np.ndarray, left: np.ndarray, right: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the pairs of different components that sizes and parities do not rule out, each pair once, and their differing bits."""
-    found, rows = [np.empty((3, 0), np.int64)], max(1, LOOK_PAIRS // max(1, len(right)))
-    same = len(left) == len(right) and bool((left == right).all())
-    small = t.den * n
-    large = t.num * n
-    for low in range(0, len(left), rows):
-        some = left[low : low + rows, None]
-        near = (small[some] >= large[right]) & (small[right] >= large[some]) & (comp[some] != comp[right])
-        if same:
-            near &= some < right
-        i, j = np.nonzero(near)
-        i, j = some[i, 0], right[j]
-        apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
-        kept = apart <= (t.den - t.num) * (n[i] + n[j]) // (t.den + t.num)
-        found.append(np.stack([i[kept], j[kept], apart[kept]]))
-    return tuple(np.concatenate(found, axis=1))
-
-
-def candidate_tiles(tiles: Iterator[pa.Table], t: Threshold, all_pairs: bool) -> Iterator[pa.RecordBatch]:
+def whole_tiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted batches cut so that every tile is whole."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tile = batch.column("tile").to_numpy()
+        change = np.flatnonzero(tile[1:] != tile[:-1]) + 1
+        if held and held[-1].column("tile")[-1].as_py() != tile[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        last = int(change[-1]) if len(change) else 0
+        if last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def pairs_in_tiles(first: np.ndarray, size: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of all pairs of each tile: any two rows (side 2), or one of side 0 with one of side 1."""
+    row = np.arange(int(first[0]), int(first[-1] + size[-1]))
+    after = np.repeat(first + size, size) - row - 1  # rows of the tile behind each one
+    i = np.repeat(row, after)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+    met = (side[i] == 2) | (side[i] != side[j])
+    return (i, j) if met.all() else (i[met], j[met])
+
+
+def candidate_tiles(tables: Iterable[pa.Table], t: Threshold, all_pairs: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of different components in each tile that size and parity do not rule out.
 
     A tile with more of them than nodes gives, unless ``all_pairs``, just enough to join all
     components that they could join, those with the nearest sketches, which most likely
     link and which other tiles of the same nodes choose too, and a row (bucket, 0, true) that
-    says that there are more.
+    says that there are more.  Small tiles are looked at many at a time.
     """
-    for tile in tiles:
-        node, comp, n, side = (tile.column(c).to_numpy().astype(np.int64) for c in ("node", "component", "n", "side"))
-        bits = np.frombuffer(b"".join(tile.column("parity").to_pylist()), U64).reshape(-1, PARITY_WORDS)
-        i, j, apart = open_in_tile(comp, n, bits, np.flatnonzero(side != 1), np.flatnonzero(side != 0), t)
-        cut = not all_pairs and len(i) > PAIRS_PER_NODE * len(node)
-        if cut:
-            order = np.lexsort((node[i] + node[j], np.minimum(node[i], node[j]), apart))
-            i, j = i[order], j[order]
-            kept = forest(comp[i], comp[j])
-            i, j = i[kept], j[kept]
-        if not len(i):
-            continue
-        a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-        if cut:
-            a, b = np.append(a, tile.column("key")[0].as_py()), np.append(b, 0)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.arange(len(a)) >= len(i))], ["a", "b", "more"])
+    for table in tables:
+        tile, key, node, comp, n, side = (table.column(c).to_numpy().astype(np.int64) for c in ("tile", "key", "node", "component", "n", "side"))
+        bits = np.frombuffer(b"".join(table.column("parity").to_pylist()), U64).reshape(-1, PARITY_WORDS)
+        first = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
+        size = np.diff(np.append(first, len(tile)))
+        small, large, of = t.den * n, t.num * n, np.repeat(np.arange(len(first)), size)
+        rank = np.unique(comp, return_inverse=True)[1] + of * len(comp)  # components of one tile are its own
+        work, low = np.cumsum(size * (size - 1) // 2), 0
+        while low < len(first):  # whole tiles of about LOOK_PAIRS pairs
+            high = max(low + 1, int(np.searchsorted(work, (work[low - 1] if low else 0) + LOOK_PAIRS, side="right")))
+            i, j = pairs_in_tiles(first[low:high], size[low:high], side)
+            near = (comp[i] != comp[j]) & (small[i] >= large[j]) & (small[j] >= large[i])
+            i, j = i[near], j[near]
+            apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+            kept = apart <= (t.den - t.num) * (n[i] + n[j]) // (t.den + t.num)
+            i, j, apart = i[kept], j[kept], apart[kept]
+            cut = np.zeros(len(first), bool) if all_pairs else np.bincount(of[i], minlength=len(first)) > PAIRS_PER_NODE * size
+            if cut.any():
+                many, few = np.flatnonzero(cut[of[i]]), np.flatnonzero(~cut[of[i]])
+                i_, j_ = i[many], j[many]
+                order = np.lexsort((node[i_] + node[j_], np.minimum(node[i_], node[j_]), apart[many]))
+                i_, j_ = i_[order], j_[order]
+                tree = forest(rank[i_], rank[j_])
+                i, j = np.concatenate([i[few], i_[tree]]), np.concatenate([j[few], j_[tree]])
+            a, b, more = np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), key[first[cut]]
+            if len(a) or len(more):
+                columns = [pa.array(np.append(a, more)), pa.array(np.append(b, np.zeros(len(more), np.int64))), pa.array(np.arange(len(a) + len(more)) >= len(a))]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "more"])
+            low = high
 
 
 class JaccardJoin:
@@ -449,7 +473,7 @@ class JaccardJoin:
             F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"),
             F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "key", "node", "component", "n", "parity",
         )
-        out = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda batches: candidate_tiles(runs(batches, "tile"), t, all_pairs), TILED)
+        out = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda batches: candidate_tiles(whole_tiles(batches), t, all_pairs), TILED)
         return materialize(out, "tiles"), held.select("key", "node")
 
     def components(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

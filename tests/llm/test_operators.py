@@ -332,6 +332,15 @@ def test_random_near_copies_meet(size, num):
     assert linked > 800
 
 
+def gp_labels(pairs):
+    """Smallest node of each component of the pairs."""
+    label = {x: x for p in pairs for x in p}
+    for _ in label:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
 def test_tiles_give_every_open_pair(monkeypatch):
     """Cut tiles say so; the round without a cut gives all pairs that the sketches leave."""
     rng, t = np.random.default_rng(3), jaccard.Threshold(80, 100)
@@ -351,6 +360,20 @@ def test_tiles_give_every_open_pair(monkeypatch):
     halves = tile.set_column(2, "side", pa.array([k % 2 for k in range(40)]))
     crossing = pa.Table.from_batches(jaccard.candidate_tiles(iter([halves]), t, True)).to_pydict()
     assert set(zip(crossing["a"], crossing["b"], strict=True)) == {(a, b) for a, b in pairs if a % 2 != b % 2}
+    # several tiles in batches that cut them anywhere
+    ids = [k // 7 for k in range(40)]
+    several = tile.set_column(0, "tile", pa.array(ids)).set_column(1, "key", pa.array(ids)).combine_chunks().to_batches()[0]
+    for step in (1, 3, 7, 11, 40):
+        cut_up = [several.slice(k, step) for k in range(0, 40, step)]
+        for every in (True, False):
+            got = [r for x in jaccard.candidate_tiles(jaccard.whole_tiles(cut_up), t, every) for r in x.to_pylist()]
+            inside = {(a, b) for a, b in pairs if a // 7 == b // 7}
+            chosen = {(r["a"], r["b"]) for r in got if not r["more"]}
+            full = {q for q in set(ids) if sum(a // 7 == q for a, b in inside) > ids.count(q)}
+            assert {r["a"] for r in got if r["more"]} == (set() if every else full)
+            assert chosen <= inside and (chosen == inside if every else {p for p in inside if p[0] // 7 not in full} <= chosen)
+            joined = gp_labels(chosen)
+            assert all(joined.get(a, a) == joined.get(b, b) for a, b in inside)
     monkeypatch.setattr(jaccard, "PAIRS_PER_NODE", 1000)
     assert pa.Table.from_batches(jaccard.candidate_tiles(iter([tile]), t, False)).to_pydict() == whole
 
