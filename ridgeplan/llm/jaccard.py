@@ -315,6 +315,8 @@ def forest(a: np.ndarray, b: np.ndarray, step: int = 1 << 14) -> np.ndarray:
 
 #: Pairs that a tile gives at once, as a multiple of its nodes; beyond that first those that may join components.
 PAIRS_PER_NODE = 1
+#: Nodes of a bucket up to which all of them meet in one tile.
+WHOLE = 64
 #: Pairs that are looked at together.
 LOOK_PAIRS = 1 << 17
 TILED = "a long, b long, more boolean"
@@ -340,14 +342,13 @@ def whole_tiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def pairs_in_tiles(first: np.ndarray, size: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of all pairs of each tile: any two rows (side 2), or one of side 0 with one of side 1."""
-    row = np.arange(int(first[0]), int(first[-1] + size[-1]))
-    after = np.repeat(first + size, size) - row - 1  # rows of the tile behind each one
-    i = np.repeat(row, after)
-    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
-    met = (side[i] == 2) | (side[i] != side[j])
-    return (i, j) if met.all() else (i[met], j[met])
+def partners(first: np.ndarray, size: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of tiles sorted by falling side its first partner and their number: rows of side 2
+    meet those after them, rows of side 1 those of side 0, which come last."""
+    row, end = np.arange(len(side)), np.repeat(first + size, size)
+    zeros = np.repeat(np.add.reduceat(side == 0, first), size)
+    begin = np.where(side == 2, row + 1, np.where(side == 1, end - zeros, end))
+    return begin, end - begin
 
 
 def candidate_tiles(tables: Iterable[pa.Table], t: Threshold, all_pairs: bool) -> Iterator[pa.RecordBatch]:
@@ -363,12 +364,19 @@ def candidate_tiles(tables: Iterable[pa.Table], t: Threshold, all_pairs: bool) -
         bits = np.frombuffer(b"".join(table.column("parity").to_pylist()), U64).reshape(-1, PARITY_WORDS)
         first = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
         size = np.diff(np.append(first, len(tile)))
-        small, large, of = t.den * n, t.num * n, np.repeat(np.arange(len(first)), size)
+        of = np.repeat(np.arange(len(first)), size)
+        by_side = np.lexsort((-side, of))
+        key, node, comp, n, side, bits = key[by_side], node[by_side], comp[by_side], n[by_side], side[by_side], bits[by_side]
+        small, large = t.den * n, t.num * n
         rank = np.unique(comp, return_inverse=True)[1] + of * len(comp)  # components of one tile are its own
-        work, low = np.cumsum(size * (size - 1) // 2), 0
+        begin, after = partners(first, size, side)
+        work, low = np.cumsum(np.add.reduceat(after, first)), 0
         while low < len(first):  # whole tiles of about LOOK_PAIRS pairs
             high = max(low + 1, int(np.searchsorted(work, (work[low - 1] if low else 0) + LOOK_PAIRS, side="right")))
-            i, j = pairs_in_tiles(first[low:high], size[low:high], side)
+            some = slice(int(first[low]), int(first[high - 1] + size[high - 1]))
+            count = after[some]
+            i = np.repeat(np.arange(some.start, some.stop), count)
+            j = np.repeat(begin[some], count) + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
             near = (comp[i] != comp[j]) & (small[i] >= large[j]) & (small[j] >= large[i])
             i, j = i[near], j[near]
             apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
@@ -463,16 +471,26 @@ class JaccardJoin:
         """TILED rows for buckets that hold several components, and the members of those buckets."""
         t, tile = self.t, self.tile
         placed = materialize(join_counted(members, comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "members")
-        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).filter("low < high")
-        mixed = materialize(mixed.select("key", F.ceil(F.col("size") / tile).cast("int").alias("tiles")), "mixed")
+        sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+        mixed = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+        pieces = lambda n: F.ceil(n / tile).cast("int")
+        rest = F.col("size") - F.col("top.c")
+        mixed = materialize(mixed.select("key", F.col("top.component").alias("major"), (F.col("size") <= min(WHOLE, tile)).alias("whole"), pieces(F.col("top.c")).alias("majors"), pieces(rest).alias("others")), "mixed")
         held = materialize(join_counted(placed, mixed, "key"), "mixed-members")
-        rows = held.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-        rows = rows.join(texts.select("node", "n", "parity").hint("merge"), "node")
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        tiles = rows.select(
-            F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"),
-            F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "key", "node", "component", "n", "parity",
-        )
+        rows = held.join(texts.select("node", "n", "parity").hint("merge"), "node")
+        # nodes of a bucket's largest component meet only the others, never one another
+        major = F.col("component") == F.col("major")
+        own = F.pmod(F.xxhash64("node"), F.when(major, F.col("majors")).otherwise(F.col("others"))).cast("int")
+        place = lambda kind, x, y, side: F.struct(F.lit(kind).alias("kind"), x.cast("int").alias("x"), y.cast("int").alias("y"), side.cast("int").alias("side"))
+        upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        as_major = F.transform(upto("others"), lambda o: place(1, own, o, F.lit(0)))
+        as_other = F.concat(
+            F.transform(upto("majors"), lambda m: place(1, m, own, F.lit(1))),
+            F.transform(upto("others"), lambda o: place(2, F.least(own, o), F.greatest(own, o), F.when(own == o, 2).when(own < o, 0).otherwise(1))),
+        )
+        spread = F.when(F.col("whole"), F.array(place(0, F.lit(0), F.lit(0), F.lit(2)))).when(major, as_major).otherwise(as_other)
+        rows = rows.select("key", "node", "component", "n", "parity", F.explode(spread).alias("at"))
+        tiles = rows.select(F.xxhash64("key", "at.kind", "at.x", "at.y").alias("tile"), "at.side", "key", "node", "component", "n", "parity")
         out = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda batches: candidate_tiles(whole_tiles(batches), t, all_pairs), TILED)
         return materialize(out, "tiles"), held.select("key", "node")
 

@@ -282,8 +282,10 @@ def test_jaccard_join_of_nothing(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in lone) == [(1, 0, 1), (2, 2, 2)]
 
 
-def test_loose_family(spark):
+@pytest.mark.parametrize("whole", [64, 3])
+def test_loose_family(spark, whole, monkeypatch):
     """A family of copies around a core: most pairs do not link with any one pivot."""
+    monkeypatch.setattr(jaccard, "WHOLE", whole)
     rng = random.Random(9)
     core = words(rng, 150, 10_000)
     rows = [(k, " ".join(w if rng.random() > 0.03 else f"e{k}_{j}" for j, w in enumerate(core))) for k in range(60)]
