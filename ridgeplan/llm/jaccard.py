@@ -340,23 +340,30 @@ def whole_tiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def pairs_in_tiles(first: np.ndarray, size: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of all pairs of each tile: any two rows (side 2), or one of side 0 with one of side 1."""
-    row = np.arange(int(first[0]), int(first[-1] + size[-1]))
-    after = np.repeat(first + size, size) - row - 1  # rows of the tile behind each one
+def pairs_of_rows(low: int, high: int, end: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of each of the rows from ``low`` with the later ones of its tile: any two (side 2), or one of side 0 with one of side 1."""
+    row = np.arange(low, high)
+    after = end[low:high] - row - 1  # rows of the tile behind each one
     i = np.repeat(row, after)
     j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
     met = (side[i] == 2) | (side[i] != side[j])
     return (i, j) if met.all() else (i[met], j[met])
 
 
+def sketches_near(bits_a: np.ndarray, bits_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
+    """Bits in which sketches differ, and whether sizes and sketches leave a link possible."""
+    apart = np.bitwise_count(bits_a ^ bits_b).sum(axis=1, dtype=np.int64)
+    sizes = (t.den * n_a >= t.num * n_b) & (t.den * n_b >= t.num * n_a)
+    return apart, sizes & (apart <= (t.den - t.num) * (n_a + n_b) // (t.den + t.num))
+
+
 def candidate_tiles(tables: Iterable[pa.Table], t: Threshold, all_pairs: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of different components in each tile that size and parity do not rule out.
 
     A tile with more of them than nodes gives, unless ``all_pairs``, just enough to join all
     components that they could join, those with the nearest sketches, which most likely
     link and which other tiles of the same nodes choose too, and a row (bucket, 0, true) that
-    says that there are more.  Small tiles are looked at many at a time.
+    says that there are more.  Small tiles are looked at many at a time, a large one some of its rows at a time.
     """
     for table in tables:
         tile, key, node, comp, n, side = (table.column(c).to_numpy().astype(np.int64) for c in ("tile", "key", "node", "component", "n", "side"))
@@ -364,35 +371,49 @@ def candidate_tiles(tables: Iterable[pa.Table], t: Threshold, all_pairs: bool) -
         first = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
         size = np.diff(np.append(first, len(tile)))
         small, large, of = t.den * n, t.num * n, np.repeat(np.arange(len(first)), size)
+        end = np.repeat(first + size, size)
         rank = np.unique(comp, return_inverse=True)[1] + of * len(comp)  # components of one tile are its own
-        work, low = np.cumsum(size * (size - 1) // 2), 0
-        while low < len(first):  # whole tiles of about LOOK_PAIRS pairs
+
+        def thinned(i: np.ndarray, j: np.ndarray, apart: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Of tiles that are cut a forest of the nearest; that of a part's forest and the rest is that of all."""
+            many, few = np.flatnonzero(cut[of[i]]), np.flatnonzero(~cut[of[i]])
+            order = many[np.lexsort((node[i[many]] + node[j[many]], np.minimum(node[i[many]], node[j[many]]), apart[many]))]
+            kept = np.concatenate([few, order[forest(rank[i[order]], rank[j[order]])]])
+            return i[kept], j[kept], apart[kept]
+
+        def given(i: np.ndarray, j: np.ndarray, more: np.ndarray) -> Iterator[pa.RecordBatch]:
+            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+            if len(a) or len(more):
+                columns = [pa.array(np.append(a, more)), pa.array(np.append(b, np.zeros(len(more), np.int64))), pa.array(np.arange(len(a) + len(more)) >= len(a))]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "more"])
+
+        work, low = np.cumsum(end - np.arange(len(tile)) - 1), 0
+        found, held = np.zeros(len(first), np.int64), [(np.empty(0, np.int64),) * 3]
+        while low < len(tile):  # rows with about LOOK_PAIRS pairs
             high = max(low + 1, int(np.searchsorted(work, (work[low - 1] if low else 0) + LOOK_PAIRS, side="right")))
-            i, j = pairs_in_tiles(first[low:high], size[low:high], side)
+            i, j = pairs_of_rows(low, high, end, side)
             near = (comp[i] != comp[j]) & (small[i] >= large[j]) & (small[j] >= large[i])
             i, j = i[near], j[near]
-            apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
-            kept = apart <= (t.den - t.num) * (n[i] + n[j]) // (t.den + t.num)
+            apart, kept = sketches_near(bits[i], bits[j], n[i], n[j], t)
             i, j, apart = i[kept], j[kept], apart[kept]
-            cut = np.zeros(len(first), bool) if all_pairs else np.bincount(of[i], minlength=len(first)) > PAIRS_PER_NODE * size
-            if cut.any():
-                many, few = np.flatnonzero(cut[of[i]]), np.flatnonzero(~cut[of[i]])
-                i_, j_ = i[many], j[many]
-                order = np.lexsort((node[i_] + node[j_], np.minimum(node[i_], node[j_]), apart[many]))
-                i_, j_ = i_[order], j_[order]
-                tree = forest(rank[i_], rank[j_])
-                i, j = np.concatenate([i[few], i_[tree]]), np.concatenate([j[few], j_[tree]])
-            a, b, more = np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), key[first[cut]]
-            if len(a) or len(more):
-                columns = [pa.array(np.append(a, more)), pa.array(np.append(b, np.zeros(len(more), np.int64))), pa.array(np.arange(len(a) + len(more)) >= len(a))]
-                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "more"])
             low = high
+            if all_pairs:
+                yield from given(i, j, key[:0])
+                continue
+            found += np.bincount(of[i], minlength=len(first))
+            held.append((i, j, apart))
+            if low == len(tile) or sum(len(x[0]) for x in held) > LOOK_PAIRS:
+                i, j, apart = (np.concatenate(c) for c in zip(*held, strict=True))
+                cut = found > PAIRS_PER_NODE * size
+                held = [thinned(i, j, apart, cut) if cut.any() else (i, j, apart)]
+        if not all_pairs:
+            yield from given(*held[-1][:2], key[first[found > PAIRS_PER_NODE * size]])
 
 
 class JaccardJoin:
     """Links between documents whose shingle sets have a Jaccard similarity of num / den or more."""
 
-    def __init__(self, size: int = 4, num: int = 85, den: int = 100, chunk_words: int = CHUNK_WORDS, tile: int = 1024) -> None:
+    def __init__(self, size: int = 4, num: int = 85, den: int = 100, chunk_words: int = CHUNK_WORDS, tile: int = 4096) -> None:
         self.size, self.t, self.chunk_words, self.tile = size, Threshold(num, den), chunk_words, tile
 
     def found(self, docs: DataFrame) -> DataFrame:
@@ -441,6 +462,20 @@ class JaccardJoin:
         picked = join_counted(docs, wanted, "doc_id").select("node", "text").mapInArrow(look, SETS)
         return materialize(picked.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("n", "text", "parity")]), "texts")
 
+    def possible(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """The pairs that sizes and sketches leave, so that texts travel for these only."""
+        t = self.t
+        a, b = (texts.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("parity").alias(f"parity_{k}")) for k in "ab")
+
+        def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), U64).reshape(-1, PARITY_WORDS) for c in ("parity_a", "parity_b")]
+                kept = sketches_near(*bits, *(batch.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b")), t)[1]
+                yield batch.select(["a", "b"]).filter(pa.array(kept))
+
+        both = pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").select("a", "b", "n_a", "n_b", "parity_a", "parity_b")
+        return materialize(both.mapInArrow(test, "a long, b long"), "possible")
+
     def verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """The pairs that are links, by exact comparison of their sets."""
         t, size = self.t, self.size
@@ -488,6 +523,7 @@ class JaccardJoin:
         pairs = materialize(found.filter(F.col("kind") == PAIR).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
         members = found.filter(F.col("kind") == MEMBER).select(F.col("x").alias("key"), F.col("y").alias("node")).distinct()
         texts = self.texts(docs, found, pairs)
+        pairs = self.possible(pairs, texts)
         links = self.verified(pairs, texts)
         comps = connected_components(links)
         for all_pairs in (False, True):  # then, where a tile gave only as few pairs as might do, all that are still open

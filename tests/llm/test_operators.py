@@ -378,6 +378,38 @@ def test_tiles_give_every_open_pair(monkeypatch):
     assert pa.Table.from_batches(jaccard.candidate_tiles(iter([tile]), t, False)).to_pydict() == whole
 
 
+def test_large_tiles_are_looked_at_in_parts(monkeypatch):
+    """A tile of which only some rows are looked at at once gives what it gives whole: the same pairs, forest and notice."""
+    rng, t = np.random.default_rng(5), jaccard.Threshold(80, 100)
+    core = rng.integers(0, 2**63, 60, dtype=np.int64).astype(np.uint64)
+    sets = [np.unique(np.append(rng.permutation(core)[: 55 + k % 5], rng.integers(0, 2**63, 2, dtype=np.int64).astype(np.uint64))) for k in range(90)]
+    table_ = pa.table({"tile": [0] * 70 + [1] * 20, "key": [5] * 70 + [6] * 20, "side": [2] * 70 + [k % 2 for k in range(20)], "node": range(90), "component": range(90), "n": [len(s) for s in sets], "parity": [jaccard.parity(s) for s in sets]})
+    wanted, most, plain = {}, 0, jaccard.pairs_of_rows
+    for look in (1 << 20, 200, 70, 1):
+        monkeypatch.setattr(jaccard, "LOOK_PAIRS", look)
+        sizes = []
+        monkeypatch.setattr(jaccard, "pairs_of_rows", lambda *x, got=sizes: got.append(len((y := plain(*x))[0])) or y)
+        for every in (True, False):
+            rows = sorted(tuple(r.values()) for x in jaccard.candidate_tiles(iter([table_]), t, every) for r in x.to_pylist())
+            assert wanted.setdefault(every, rows) == rows and rows
+        most = max(most, max(sizes) if look < 1 << 20 else 0)
+    assert most <= 200 and {r[0] for r in wanted[False] if r[2]} >= {5}
+
+
+def test_only_possible_pairs_meet_as_texts(spark, monkeypatch):
+    """Texts that share a passage and no more are told apart by their sketches before any text is compared."""
+    rng, seen = random.Random(23), []
+    passage = words(rng, 30, 10_000)
+    rows = [(k, " ".join(passage + words(rng, 60, 10_000))) for k in range(40)] + [(90, rows_text := " ".join(words(rng, 80, 10_000))), (91, rows_text + " end")]
+    plain, possible = jaccard.JaccardJoin.verified, jaccard.JaccardJoin.possible
+    met = []
+    monkeypatch.setattr(jaccard.JaccardJoin, "possible", lambda self, pairs, texts: met.append(pairs.count()) or possible(self, pairs, texts))
+    monkeypatch.setattr(jaccard.JaccardJoin, "verified", lambda self, pairs, texts: seen.append(pairs.count()) or plain(self, pairs, texts))
+    got = jaccard.JaccardJoin(5, 80, 100).components(table(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == links_of(rows, 5, 80, 100)
+    assert seen[0] == 1 < met[0]
+
+
 def test_words_end_at_all_six_separators():
     text = "a\tb\nc\x0bd\x0ce\rf g"
     assert jaccard.words_of(text) == [b"a", b"b", b"c", b"d", b"e", b"f", b"g"]
