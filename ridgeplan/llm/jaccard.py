@@ -413,7 +413,7 @@ def candidate_tiles(tables: Iterable[pa.Table], t: Threshold, all_pairs: bool) -
 class JaccardJoin:
     """Links between documents whose shingle sets have a Jaccard similarity of num / den or more."""
 
-    def __init__(self, size: int = 4, num: int = 85, den: int = 100, chunk_words: int = CHUNK_WORDS, tile: int = 4096) -> None:
+    def __init__(self, size: int = 4, num: int = 85, den: int = 100, chunk_words: int = CHUNK_WORDS, tile: int = 8192) -> None:
         self.size, self.t, self.chunk_words, self.tile = size, Threshold(num, den), chunk_words, tile
 
     def found(self, docs: DataFrame) -> DataFrame:
