@@ -77,6 +77,19 @@ def test_row_form_is_the_kernel(spark):
     assert {(r.obs, r.n_seen) for r in los.seen_digest(bits).collect()} == {(r.obs, r.n_visible) for r in bits.collect()}
 
 
+def test_ray_totals_are_the_rows(spark, monkeypatch):
+    """Sums by arithmetic equal those of the row form, on grids of any shape; no row is made of a step."""
+    for n_rows, n_cols in ((9, 9), (1, 6), (7, 1), (12, 5), (8, 15), (1, 1)):
+        at = frame(spark, [(r * n_cols + c, r, c) for r in range(n_rows) for c in range(n_cols)], "cell_id long, r int, c int")
+        ends = los.edge_cells(at, n_rows, n_cols).select(F.col("r").alias("r2"), F.col("c").alias("c2"))
+        rays = at.select(F.col("cell_id").alias("obs"), F.col("r").alias("r1"), F.col("c").alias("c1")).join(ends, (F.col("r1") != F.col("r2")) | (F.col("c1") != F.col("c2")))
+        want = los.ray_steps(rays).groupBy("obs").agg(F.count(F.lit(1)), F.sum("r"), F.sum("c")).collect()
+        monkeypatch.setattr(los, "SUM_RAYS", 40)
+        assert sorted(map(tuple, los.ray_totals(at, n_rows, n_cols).collect())) == sorted(map(tuple, want))
+    plan = los.ray_totals(at, 1, 1)._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "Join" not in plan
+
+
 def test_unions_links_and_heights(spark, monkeypatch):
     monkeypatch.setattr(los, "BLOCK_BYTES", 2)
     rng = np.random.default_rng(5)
