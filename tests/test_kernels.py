@@ -90,6 +90,16 @@ def test_ray_totals_are_the_rows(spark, monkeypatch):
     assert "Generate" not in plan and "Join" not in plan
 
 
+def test_flags_stay_in_the_task(spark):
+    """Digests equal those of the packed rows, and no plan sends a packed row on: neither to a digest nor to a join."""
+    rng = np.random.default_rng(13)
+    z = rng.integers(100, 190, (9, 9))
+    cells = square(spark, 9, lambda r, c: None if (r, c) == (3, 3) else int(z[r, c])).withColumn("mount_h", F.lit(10))
+    digest = los.visible_digest(cells, 9, 9)
+    assert sorted(map(tuple, digest.collect())) == sorted(map(tuple, los.seen_digest(los.visible_bits(cells, 9, 9)).collect()))
+    assert "bits" not in digest._jdf.queryExecution().toString()
+
+
 def test_unions_links_and_heights(spark, monkeypatch):
     monkeypatch.setattr(los, "BLOCK_BYTES", 2)
     rng = np.random.default_rng(5)
