@@ -100,6 +100,19 @@ def test_flags_stay_in_the_task(spark):
     assert "bits" not in digest._jdf.queryExecution().toString()
 
 
+def test_heights_without_packed_rows(spark, monkeypatch):
+    """Asked cells travel to their observers; before, packed rows of the whole grid met the asked cells in a join."""
+    rng = np.random.default_rng(15)
+    z = rng.integers(100, 190, (9, 9))
+    cells = square(spark, 9, lambda r, c: None if (r, c) == (3, 3) else int(z[r, c])).withColumn("mount_h", F.lit(10))
+    asked = frame(spark, [(int(a), int(b)) for a, b in rng.integers(0, 81, (60, 2)) if a != b], "obs long, tgt long")
+    seen = {h: {tuple(r) for r in los.pairs_of_bits(los.visible_bits(cells.withColumn("mount_h", F.lit(float(h))), 9, 9)).collect()} for h in (5, 30, 200)}
+    want = {(r.obs, r.tgt): next((h for h in (5, 30, 200) if (r.obs, r.tgt) in seen[h]), None) for r in asked.collect()}
+    monkeypatch.setattr(los, "visible_bits", None)
+    got = los.least_heights(cells, 9, 9, asked, (5, 30, 200)).collect()
+    assert {(r.obs, r.tgt): r.height for r in got} == want and len(got) == len(want)
+
+
 def test_unions_links_and_heights(spark, monkeypatch):
     monkeypatch.setattr(los, "BLOCK_BYTES", 2)
     rng = np.random.default_rng(5)
