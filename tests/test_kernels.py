@@ -200,6 +200,43 @@ def test_bit_matrix_round_trip(spark, tmp_path):
     assert {tuple(r) for r in rd.read_bit_matrix(spark, str(tmp_path / "m"), 25).collect()} == {tuple(r) for r in los.pairs_of_bits(bits).collect()}
 
 
+def test_bit_matrix_of_several_files(spark, tmp_path, monkeypatch):
+    """A matrix beyond one file's bytes is cut between observers; its files joined are the one file."""
+    z = np.random.default_rng(9).integers(100, 150, (7, 7))
+    cells = square(spark, 7, lambda r, c: None if r == 3 else int(z[r, c])).withColumn("mount_h", F.lit(10))
+    bits = los.visible_bits(cells, 7, 7)
+    wr.write_bit_matrix(bits, 49, str(tmp_path / "one"))
+    monkeypatch.setattr(wr, "MATRIX_BYTES", 100)
+    wr.write_bit_matrix(bits, 49, str(tmp_path / "more"))
+    files = sorted((tmp_path / "more").glob("out_49.bin.*"))
+    assert len(files) == 4 and b"".join(f.read_bytes() for f in files) == (tmp_path / "one" / "out_49.bin").read_bytes()
+    pairs = {tuple(r) for r in los.pairs_of_bits(bits).collect()}
+    for k in ("one", "more"):
+        assert {tuple(r) for r in rd.read_bit_matrix(spark, str(tmp_path / k), 49).collect()} == pairs
+        assert {tuple(r) for r in rd.read_matrix_digest(spark, str(tmp_path / k), 49).collect()} == {(o, n, s) for o, n, s in map(tuple, los.seen_digest(bits).collect()) if n}
+
+
+def test_large_matrix_is_no_error(spark, tmp_path):
+    """More cells than one file used to hold: the files of the first and last observers are there."""
+    n = 60_008
+    row = np.zeros(n, np.uint8)
+    row[[5, n - 1]] = 1
+    bits = frame(spark, [(3, bytearray(np.packbits(row, bitorder="little").tobytes()))], "obs long, bits binary")
+    made = {}
+    class Stop(Exception):
+        pass
+
+    def first_files(_, path, parts):
+        made[path] = next(iter(parts))
+        raise Stop
+    from unittest import mock
+
+    with mock.patch.object(wr, "write_bytes", first_files), pytest.raises(Stop):
+        wr.write_bit_matrix(bits, n, str(tmp_path))
+    (path, eight), = made.items()
+    assert path.endswith(f"out_{n}.bin.{0:012d}") and np.flatnonzero(np.unpackbits(np.frombuffer(eight, np.uint8), bitorder="little")).tolist() == [3 * n + 5, 4 * n - 1]
+
+
 def test_catalogue_is_the_undominated_stairs(spark):
     rng = np.random.default_rng(4)
     rows = [(k, k, f"d{k}", int(rng.integers(1, 9)), int(rng.integers(1, 9)), int(rng.integers(1, 9)), True) for k in range(60)]
