@@ -366,6 +366,29 @@ def test_paths_of_a_graph_beyond_the_broadcast(spark, monkeypatch):
     assert gp.shortest_paths(edges, asked.filter("node = 999")).count() == 0
 
 
+def test_flow_keeps_its_arcs_in_a_file(spark):
+    """The task of a cheapest flow holds runs of tails, not arcs; runs of one tail may lie apart."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(37)
+    arcs = {(int(a), int(b)): int(c) for a, b, c in zip(*rng.integers(0, 40, (2, 500)), rng.integers(0, 30, 500), strict=True) if a != b}
+    order = sorted(arcs)
+    batches = [pa.record_batch({"tail": [a for a, _ in part], "head": [b for _, b in part], "unit_cost": [arcs[x] for x in part]}) for part in (order[1::2], order[::2])]
+    file = fl.ArcFile(iter(batches), np.array([99]))
+    assert not any(isinstance(x, np.ndarray) and len(x) > 2 * len(file.nodes) + 2 for x in vars(file).values())
+    for u, name in enumerate(file.nodes.tolist()):
+        head, cost = file.arcs_of(u)
+        assert sorted(zip(file.nodes[head].tolist(), cost.tolist(), strict=True)) == sorted((b, c) for (a, b), c in arcs.items() if a == name)
+    dist = {0: 0}
+    for _ in range(60):
+        for (a, b), c in arcs.items():
+            if a in dist and dist[a] + c < dist.get(b, 10**9):
+                dist[b] = dist[a] + c
+    got, before, price, settled = fl.shortest_tree(len(file.nodes), file.arcs_of, int(np.searchsorted(file.nodes, 0)))
+    assert {int(file.nodes[v]): int(got[v]) for v in settled} == dist
+    assert all(got[v] == got[before[v]] + price[v] for v in settled[1:])
+
+
 def test_bit_matrix(spark, tmp_path):
     m = np.zeros((9, 9), np.uint8)
     m[0, 8] = m[4, 1] = m[8, 8] = 1
