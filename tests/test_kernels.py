@@ -17,6 +17,7 @@ from ridgeplan.operators import jobs as jb
 from ridgeplan.operators import los
 from ridgeplan.operators import nearest as near
 from ridgeplan.operators import removal as rm
+from ridgeplan.plans.registry import QUERIES
 from ridgeplan.sources import readers as rd
 from ridgeplan.sources import writers as wr
 
@@ -141,6 +142,52 @@ def test_unions_links_and_heights(spark, monkeypatch):
         assert (n, area, parent) == (len(of.get(o, ())), sum(t // 9 == o // 9 for t in of.get(o, ())), sum(o // 9 == 4 and t // 9 in (3, 5) and t % 2 == 0 for t in of.get(o, ())))
 
 
+def rough(spark, n, seed, amp=90):
+    z = np.random.default_rng(seed).integers(100, 100 + amp, (n, n))
+    return z, square(spark, n, lambda r, c: None if (r * n + c) % 11 == 5 else int(z[r, c])).withColumn("mount_h", F.lit(10))
+
+
+def test_rays_that_pass_a_cell():
+    """Asking for single cells, or for those near, gives what the whole view gives."""
+    for shape in ((1, 6), (7, 1), (9, 14), (12, 12)):
+        for order in ("reference", "outward"):
+            rng = np.random.default_rng(sum(shape))
+            z = rng.integers(100, 125, shape).astype(float)
+            z[rng.random(shape) < 0.1] = np.nan
+            terrain = los.Terrain(z, rng.integers(5, 15, shape).astype(float), order)
+            r, c = np.nonzero(np.isfinite(z))
+            seen = terrain.views(r, c)
+            obs, tgt = (x.ravel() for x in np.indices(seen.shape))
+            obs, tgt = obs[other := r[obs] * shape[1] + c[obs] != tgt], tgt[other]
+            assert (terrain.sees(r[obs], c[obs], tgt // shape[1], tgt % shape[1]) == seen[obs, tgt]).all()
+            for reach in ((2, 3), (0, 4), (30, 30)):
+                near_ = (np.abs(tgt // shape[1] - r[obs]) <= reach[0]) & (np.abs(tgt % shape[1] - c[obs]) <= reach[1]) & seen[obs, tgt]
+                got = list(zip(*(x.tolist() for x in terrain.near(r, c, reach)), strict=True))
+                assert sorted(got) == sorted(zip(obs[near_].tolist(), tgt[near_].tolist(), strict=True))
+
+
+@pytest.mark.parametrize("looks", [1, 2, 48])
+def test_coverage_without_every_view(spark, monkeypatch, looks):
+    """The union is that of all views, though few are made; before, each kept cell sent its packed row."""
+    monkeypatch.setattr(los, "FIRST_LOOKS", looks)
+    monkeypatch.setattr(los, "LOOK_CHUNK", 3)
+    monkeypatch.setattr(los, "LOOK_PAIRS", 16)
+    _, cells = rough(spark, 9, 21, 200)
+    kept = cells.filter("cell_id % 10 = 3").select("cell_id")
+    pairs = los.pairs_of_bits(los.visible_bits(cells, 9, 9))
+    want = los.coverage(pairs, kept, 81).collect()
+    assert 0 < want[0].n_seen < 73  # some cells with data are seen by none
+    monkeypatch.setattr(los, "visible_bits", None)
+    assert los.covered(cells, 9, 9, kept).collect() == want
+    assert los.covered(cells, 9, 9, kept.filter("false")).first().n_seen == 0
+
+
+def test_coverage_query_looks_a_few_times(spark, sf_dir, monkeypatch):
+    """Before, coverage looked from each site's cell by packed rows."""
+    monkeypatch.setattr(los, "visible_bits", None)
+    assert QUERIES["coverage"](spark, sf_dir).first().n_seen > 0
+
+
 def test_equal_rows_stay(spark):
     cells = square(spark, 4, lambda r, c: 10 * r + c)
     grid = near.Lattice(1.0, 2.0, 0.01, 4, 4)
