@@ -653,6 +653,27 @@ def test_elevation_removal_by_hand(spark, scope, percent):
         assert got[bucket] == best
 
 
+@pytest.mark.parametrize("scope", ["bucket", "map"])
+@pytest.mark.parametrize("percent", [0, 40, 90, 95, 100])
+def test_removal_without_every_view(spark, monkeypatch, scope, percent):
+    """Large, small and single-subset buckets keep what the packed rows of all cells keep; before, every cell looked."""
+    monkeypatch.setattr(los, "FIRST_LOOKS", 1)
+    monkeypatch.setattr(rm, "EXHAUSTIVE", 6)
+    z, cells = rough(spark, 11, percent, 28)
+    buckets = cells.filter("z IS NOT NULL").select("cell_id", F.when(F.col("z") > 126, 99).otherwise(geo.elevation_bucket(F.col("z"))).alias("bucket"))
+    want = rm.elevation_removal(los.visible_bits(cells, 11, 11).select("obs", "bits"), buckets, percent, scope).collect()
+    monkeypatch.setattr(los, "visible_bits", None)
+    got = rm.viewed_removal(cells, 11, 11, buckets, percent, scope).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and (len({r.bucket for r in want}) > 2) == (percent < 100)
+
+
+@pytest.mark.parametrize("name", ["elevation_removal"])
+def test_removal_queries_look_from_few_cells(spark, sf_dir, monkeypatch, name):
+    """Before, both made the packed row of every cell with data."""
+    monkeypatch.setattr(los, "visible_bits", None)
+    assert QUERIES[name](spark, sf_dir).count() > 0
+
+
 def test_random_removal_with_ties(spark):
     cells = square(spark, 12, lambda r, c: None if (r + c) % 7 == 0 else 100)
     ids = sorted((k * 31 % 5, k) for k in range(144) if (k // 12 + k % 12) % 7)
