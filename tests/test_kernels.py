@@ -667,7 +667,7 @@ def test_removal_without_every_view(spark, monkeypatch, scope, percent):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and (len({r.bucket for r in want}) > 2) == (percent < 100)
 
 
-@pytest.mark.parametrize("name", ["elevation_removal"])
+@pytest.mark.parametrize("name", ["elevation_removal", "whole_map_removal"])
 def test_removal_queries_look_from_few_cells(spark, sf_dir, monkeypatch, name):
     """Before, both made the packed row of every cell with data."""
     monkeypatch.setattr(los, "visible_bits", None)
