@@ -1,5 +1,6 @@
 """Kernels against plain re-derivations, and edge cases of grids, devices and files."""
 
+import json
 from collections import Counter
 
 import numpy as np
@@ -737,6 +738,26 @@ def test_planner_json_round_trip(spark, tmp_path):
     assert [(r.cell_id, r.capacity) for r in sources.collect()] == [(7, 11)]
 
 
+def test_solution_in_lines(spark, sf_dir, tmp_path, monkeypatch):
+    """The lines of a run are its document, dealt over files; before, a run was one row of arrays and text."""
+    rng = np.random.default_rng(4)
+    rows = [(run, int(a), int(b), int(f), 70, 3, 900, 1.5, 11) for run in range(3) for a, b, f in rng.integers(0, 4, (30, 3))] + [(7, 90, 91, 2, 5, 1, 10, 0.5, None)]
+    edges = frame(spark, rows, "run long, tail long, head long, flow long, unit_cost long, device_id int, pair_cost int, km double, capacity int")
+    nodes = frame(spark, [(k, "sink" if k % 2 else "intermediate", 1.0 + k, 2.0, 10, 5 * k) for k in range(4)], "node long, kind string, lat double, lng double, mounting_height int, supply long")
+    for own, of in ((edges, nodes), (edges.drop("capacity"), nodes.drop("supply"))):
+        path = str(tmp_path / f"solutions-{len(own.columns)}")
+        wr.write_solution(own.repartition(5), of, path)
+        want = {r.run: json.loads(r.json) for r in wr.solution_json(own, of).collect()}
+        got = {k: json.loads("\n".join(part.read_text() for part in sorted((tmp_path / path / f"run={k}").glob("part-*")))) for k in want}
+        assert got == want and set(want) == {0, 1, 2, 7}
+        links, ends, totals = rd.read_solution(spark, path)
+        assert {r.run: r.n for r in links.groupBy("run").agg(F.count("edge.edgeProperty.length").alias("n")).collect()} == {k: len(x["edges"]) for k, x in want.items()}
+        assert {r.run: r.n for r in ends.groupBy("run").agg(F.sum("node.node").alias("n")).collect()} == {k: sum(n["node"] for n in x["nodes"]) for k, x in want.items() if "nodes" in x}
+        assert {r.run: (r.costs, r.originalCost, r.equipmentCost) for r in totals.collect()} == {k: (x["costs"], x["originalCost"], x["equipmentCost"]) for k, x in want.items()}
+    monkeypatch.setattr(wr, "solution_json", None)
+    assert QUERIES["solution_document"](spark, sf_dir).count() == 10
+
+
 def test_resample_and_bits(spark):
     cells = square(spark, 4, lambda r, c: 10 * r + c)
     assert [r.z for r in gr.resample(cells, 2, 2, 4, 4).orderBy("cell_id").collect()] == [11, 13, 31, 33]
