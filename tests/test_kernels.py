@@ -189,6 +189,25 @@ def test_coverage_query_looks_a_few_times(spark, sf_dir, monkeypatch):
     assert QUERIES["coverage"](spark, sf_dir).first().n_seen > 0
 
 
+@pytest.mark.parametrize("within", [0.0, 1.2, 4.0, 1000.0])
+def test_links_look_as_far_as_they_reach(spark, monkeypatch, within):
+    """Links within a range equal those of whole views; before, packed rows of the whole grid were made for them."""
+    _, cells = rough(spark, 12, 8, 40)
+    grid = near.Lattice(1.0, 2.0, 0.01, 12, 12)
+    kept = cells.filter("cell_id % 3 <> 1").select("cell_id")
+    whole = {(r.obs, r.tgt): r.km for r in los.kept_links(cells, grid, kept).collect()}
+    monkeypatch.setattr(los, "visible_bits", None)
+    got = los.kept_links(cells, grid, kept, within).collect()
+    assert {(r.obs, r.tgt): r.km for r in got} == {k: x for k, x in whole.items() if x <= within} and len({(r.obs, r.tgt) for r in got}) == len(got)
+
+
+@pytest.mark.parametrize("name", ["candidate_links", "plan_report"])
+def test_queries_without_packed_rows(spark, sf_dir, monkeypatch, name):
+    """Before, these made the packed row of each observer."""
+    monkeypatch.setattr(los, "visible_bits", None)
+    assert QUERIES[name](spark, sf_dir).count() > 0
+
+
 def test_equal_rows_stay(spark):
     cells = square(spark, 4, lambda r, c: 10 * r + c)
     grid = near.Lattice(1.0, 2.0, 0.01, 4, 4)
