@@ -201,13 +201,21 @@ def test_links_look_as_far_as_they_reach(spark, monkeypatch, within):
     assert {(r.obs, r.tgt): r.km for r in got} == {k: x for k, x in whole.items() if x <= within} and len({(r.obs, r.tgt) for r in got}) == len(got)
 
 
-@pytest.mark.parametrize("name", ["candidate_links", "plan_report"])
+@pytest.mark.parametrize("name", ["candidate_links", "plan_report", "parent_visibility"])
 def test_queries_without_packed_rows(spark, sf_dir, monkeypatch, name):
     """Before, these made the packed row of each observer."""
     monkeypatch.setattr(los, "visible_bits", None)
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_counts_in_the_task_that_looked(spark):
+    """Counts equal those of packed rows, also where a cell has no area or its area no parents."""
+    _, cells = rough(spark, 10, 2)
+    areas, parents, alive = np.arange(100) // 17 - 1, {2: (3, 4), 3: (4,), -1: (1,)}, np.arange(100) % 2 == 0
+    want = los.sight_counts(los.visible_bits(cells, 10, 10), areas, parents, alive)
+    assert sorted(map(tuple, los.looked_counts(cells, 10, 10, areas, parents, alive).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_equal_rows_stay(spark):
     cells = square(spark, 4, lambda r, c: 10 * r + c)
     grid = near.Lattice(1.0, 2.0, 0.01, 4, 4)
