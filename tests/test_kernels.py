@@ -17,6 +17,7 @@ from ridgeplan.operators import grid as gr
 from ridgeplan.operators import jobs as jb
 from ridgeplan.operators import los
 from ridgeplan.operators import nearest as near
+from ridgeplan.operators import rays
 from ridgeplan.operators import removal as rm
 from ridgeplan.plans.registry import QUERIES
 from ridgeplan.sources import readers as rd
@@ -208,6 +209,35 @@ def test_queries_without_packed_rows(spark, sf_dir, monkeypatch, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 
+@pytest.mark.parametrize(("n", "kind"), [(1, "whole"), (9, "whole"), (23, "whole"), (17, "parts"), (14, "towers")])
+def test_blocks_see_what_single_observers_see(n, kind):
+    """Rays of neighbouring observers, walked together, against those of each; towers of height 0 make most comparisons ties."""
+    rng = np.random.default_rng(n)
+    for wide, height in ((n, 10.0), (max(1, n // 2), 0.0), (2 * n + 5, 3.0)):
+        z = rng.integers(100, 112, (n, wide)) + 3.0 * np.abs(np.arange(wide) - wide // 2) + (rng.random((n, wide)) if kind == "parts" else 0.0)
+        z[rng.random(z.shape) < 0.06] = np.nan
+        tower = rng.integers(0, 9, z.shape).astype(float) if kind == "towers" else np.full(z.shape, height)
+        reach = (n // 2, wide // 3)
+        r, c = np.nonzero(np.isfinite(z))
+        who, tgt = los.Terrain(z, tower).near(r, c, reach)
+        looker, got = rays.Looker(z, tower, reach), []
+        for top in range(0, n, 10):
+            for left in range(0, wide, 7):
+                asked = np.isfinite(z[top : top + 10, left : left + 7])
+                down, right, i, j = np.nonzero(looker.block(asked, top, left) & asked)
+                got += zip(((top + i) * wide + left + j).tolist(), ((top + i + down - reach[0]) * wide + left + j + right - reach[1]).tolist(), strict=True)
+        looker.close()
+        assert sorted(got) == sorted(zip((r[who] * wide + c[who]).tolist(), tgt.tolist(), strict=True))
+
+
+def test_report_makes_no_row_of_a_pair(spark, sf_dir, monkeypatch):
+    """Before, every candidate link was a row; blocks and single observers count the same, also without Java."""
+    want = sorted(map(tuple, QUERIES["plan_report"](spark, sf_dir).collect()))
+    monkeypatch.setattr(los, "near_links", None)
+    monkeypatch.setattr(los, "BLOCK_STEPS", 0)
+    assert sorted(map(tuple, QUERIES["plan_report"](spark, sf_dir).collect())) == want and want
+
+
 def test_counts_in_the_task_that_looked(spark):
     """Counts equal those of packed rows, also where a cell has no area or its area no parents."""
     _, cells = rough(spark, 10, 2)
