@@ -15,8 +15,8 @@ a segment compared within one deletion is two, at least one must agree.
 * Buckets without an asking row are dropped.  The other buckets give candidate pairs with
   the bucket's first set; equal subsets inside a task are combined before the exchange.
 * Candidates are verified exactly on the whole texts.  Verified links make components.
-  In a bucket whose sets are not all in one component, pairs between components come
-  next: all that sizes and sketches leave, or, where those are very many, first just as many
+  In a bucket whose sets are not all in one component, pairs between components of which the
+  larger set asks there come next (any link is such a pair of some bucket): all that sizes and sketches leave, or, where those are very many, first just as many
   as could join the components and then, with the components that those made, all that
   are left, so no link between different components is lost.
 
@@ -160,26 +160,31 @@ def signatures(found: np.ndarray, t: Threshold, frequency: np.ndarray) -> np.nda
 
 def bucketed(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows in buckets of two nodes or more with an asking row: (key, node, first node), distinct."""
+    return asked_buckets(sig, node)[:3]
+
+
+def asked_buckets(sig: np.ndarray, node: np.ndarray, unasked: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, node, first node, whether the node asks), the buckets that :func:`bucketed` gives and, if wanted, those without an asking row."""
     empty = np.empty(0, np.int64)
     key = sig >> LOW
     order = np.argsort(key)
     key, ask, node = key[order], (sig[order] & LOW).astype(bool), node[order]
     if len(key) < 2:
-        return empty.astype(U64), empty, empty
+        return empty.astype(U64), empty, empty, empty.astype(bool)
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(first, len(key)))
-    live = np.repeat((size > 1) & np.logical_or.reduceat(ask, first), size)
-    key, node = key[live], node[live]
-    order = np.lexsort((node, key))
-    key, node = key[order], node[order]
+    live = np.repeat((size > 1) & (unasked | np.logical_or.reduceat(ask, first)), size)
+    key, node, ask = key[live], node[live], ask[live]
+    order = np.lexsort((~ask, node, key))
+    key, node, ask = key[order], node[order], ask[order]
     if not len(key):
-        return key, node, node
+        return key, node, node, ask
     fresh = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
-    key, node = key[fresh], node[fresh]
+    key, node, ask = key[fresh], node[fresh], ask[fresh]
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(first, len(key)))
     head, live = np.repeat(node[first], size), np.repeat(size > 1, size)
-    return key[live], node[live], head[live]
+    return key[live], node[live], head[live], ask[live]
 
 
 def frequencies(sets: list[np.ndarray]) -> list[np.ndarray]:
@@ -195,10 +200,10 @@ def frequencies(sets: list[np.ndarray]) -> list[np.ndarray]:
 
 
 #: What tasks exchange: packed arrays by part.  DOC: doc_id, node, set size; SUBSET: signature,
-#: node; LOCAL: key, node, first node of a bucket that was combined within a chunk.
+#: node; LOCAL: signature, node, first node of a bucket that was combined within a chunk.
 INDEX = "p int, kind int, a binary, b binary, c binary"
 DOC, SUBSET, LOCAL = 0, 1, 2
-#: What comes back: DOC rows as above, PAIR rows (two nodes) and MEMBER rows (bucket, node).
+#: What comes back: DOC rows as above, PAIR rows (two nodes) and MEMBER rows (bucket, node, 1 if the node asks).
 FOUND = "kind int, x long, y long, z long"
 PAIR, MEMBER = 1, 2
 
@@ -219,7 +224,7 @@ def by_part(kind: int, keys: np.ndarray, columns: list[np.ndarray], parts: int)
 
 
 def index_chunk(ids: list[int], sets: list[np.ndarray], t: Threshold, parts: int) -> Iterator[dict]:
-    """What one chunk of documents sends; equal subsets are combined to their smallest node."""
+    """What one chunk of documents sends; equal subsets are combined to their smallest node, of those that ask if any does."""
     nodes = np.array([node_of(s) if len(s) else 0 for s in sets], np.int64)
     keys = mix(np.array(ids, np.int64).astype(U64))
     yield from by_part(DOC, keys, [np.array(ids, np.int64), nodes, np.array([len(s) for s in sets], np.int64)], parts)
@@ -228,13 +233,12 @@ def index_chunk(ids: list[int], sets: list[np.ndarray], t: Threshold, parts: int
         return
     found = [signatures(s, t, f) for s, f in zip(distinct.values(), frequencies(list(distinct.values())), strict=True)]
     sig, node = np.concatenate(found), np.repeat(np.fromiter(distinct, np.int64, len(distinct)), [len(x) for x in found])
-    key, member, head = bucketed(sig | LOW, node)
-    yield from by_part(LOCAL, key, [key, member, head], parts)
-    order = np.lexsort((node, sig >> LOW))
+    key, member, head, ask = asked_buckets(sig, node, unasked=True)
+    yield from by_part(LOCAL, key, [key << LOW | ask.astype(U64), member, head], parts)
+    order = np.lexsort((node, ~sig & LOW, sig >> LOW))
     sig, node = sig[order], node[order]
     first = np.flatnonzero(np.append(True, (sig[1:] >> LOW) != (sig[:-1] >> LOW)))
-    sent = (sig[first] & ~LOW) | np.bitwise_or.reduceat(sig & LOW, first)
-    yield from by_part(SUBSET, sent >> LOW, [sent, node[first]], parts)
+    yield from by_part(SUBSET, sig[first] >> LOW, [sig[first], node[first]], parts)
 
 
 def join_part(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -246,36 +250,38 @@ def join_part(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     yield record(DOC, *columns[DOC])
     sig, node, _ = columns[SUBSET]
     sig = sig.view(U64)
-    key, member, head = bucketed(sig, node)
+    key, member, head, ask = asked_buckets(sig, node)
     asked = np.sort(sig[(sig & LOW).astype(bool)] >> LOW)
-    local_key, local_member, local_head = columns[LOCAL]
-    live = np.isin(local_key.view(U64), asked)
+    local_sig, local_member, local_head = columns[LOCAL]
+    local_key, local_ask = local_sig.view(U64) >> LOW, (local_sig & 1).astype(bool)
+    live = np.isin(local_key, asked)
     pairs = np.unique(np.concatenate([np.stack([head, member], axis=1), np.stack([local_head, local_member], axis=1)[live]]), axis=0)
     pairs = pairs[pairs[:, 0] != pairs[:, 1]]
     yield record(PAIR, pairs[:, 0], pairs[:, 1])
-    yield record(MEMBER, *wide_buckets(np.concatenate([key, local_key.view(U64)[live]]), np.concatenate([member, local_member[live]])))
+    yield record(MEMBER, *wide_buckets(np.concatenate([key, local_key[live]]), np.concatenate([member, local_member[live]]), np.concatenate([ask, local_ask[live]])))
 
 
-def wide_buckets(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, node) of the buckets of three nodes and more, named by their nodes, each set of nodes once.
+def wide_buckets(key: np.ndarray, node: np.ndarray, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, node, asks) of the buckets of three nodes and more, named by their nodes, each set of nodes once.
 
-    Buckets of two are one pair, which is tried anyway.
+    Buckets of two are one pair, which is tried anyway.  A node asks if it does in any bucket of these nodes.
     """
-    order = np.lexsort((node, key))
-    key, node = key[order], node[order]
+    order = np.lexsort((~ask, node, key))
+    key, node, ask = key[order], node[order], ask[order]
     fresh = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))[: len(key)]
-    key, node = key[fresh], node[fresh]
+    key, node, ask = key[fresh], node[fresh], ask[fresh]
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
     size = np.diff(np.append(first, len(key)))
     if not (size > 2).any():
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
     with np.errstate(over="ignore"):
         name = mix(np.add.reduceat(mix(node.astype(U64) ^ MIX_A), first) + size.astype(U64) * MIX_B)
-    _, once = np.unique(name, return_index=True)
-    chosen = np.zeros(len(first), bool)
-    chosen[once] = True
-    live = np.repeat(chosen & (size > 2), size)
-    return np.repeat(name, size)[live].view(np.int64), node[live]
+    live = np.repeat(size > 2, size)
+    name, node, ask = np.repeat(name, size)[live].view(np.int64), node[live], ask[live]
+    order = np.lexsort((~ask, node, name))
+    name, node, ask = name[order], node[order], ask[order]
+    fresh = np.append(True, (name[1:] != name[:-1]) | (node[1:] != node[:-1]))
+    return name[fresh], node[fresh], ask[fresh]
 
 
 PARITY_WORDS = 16
@@ -340,12 +346,11 @@ def whole_tiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def pairs_of_rows(low: int, high: int, end: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of each of the rows from ``low`` with the later ones of its tile: any two (side 2), or one of side 0 with one of side 1."""
-    row = np.arange(low, high)
-    after = end[low:high] - row - 1  # rows of the tile behind each one
-    i = np.repeat(row, after)
-    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
+def pairs_of_rows(low: int, high: int, begin: np.ndarray, end: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of each of the rows from ``low`` with those from its ``begin`` to its ``end``: any two (side 2), or one of side 0 with one of side 1."""
+    after = (end - begin)[low:high]  # rows of the tile that each one is tried with
+    i = np.repeat(np.arange(low, high), after)
+    j = np.repeat(begin[low:high], after) + np.arange(len(i)) - np.repeat(np.cumsum(after) - after, after)
     met = (side[i] == 2) | (side[i] != side[j])
     return (i, j) if met.all() else (i[met], j[met])
 
@@ -358,8 +363,9 @@ def sketches_near(bits_a: np.ndarray, bits_b: np.ndarray, n_a: np.ndarray, n_b:
 
 
 def candidate_tiles(tables: Iterable[pa.Table], t: Threshold, all_pairs: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in each tile that size and parity do not rule out.
+    """Pairs of different components in each tile that size and parity do not rule out and of which the larger set asks (either of equal ones).
 
+    Rows without a column ``ask`` all ask.  Where few of a tile's rows ask, only these are tried with the others.
     A tile with more of them than nodes gives, unless ``all_pairs``, just enough to join all
     components that they could join, those with the nearest sketches, which most likely
     link and which other tiles of the same nodes choose too, and a row (bucket, 0, true) that
@@ -368,10 +374,20 @@ def candidate_tiles(tables: Iterable[pa.Table], t: Threshold, all_pairs: bool) -
     for table in tables:
         tile, key, node, comp, n, side = (table.column(c).to_numpy().astype(np.int64) for c in ("tile", "key", "node", "component", "n", "side"))
         bits = np.frombuffer(b"".join(table.column("parity").to_pylist()), U64).reshape(-1, PARITY_WORDS)
+        ask = leads = np.ones(len(tile), bool)
+        if "ask" in table.column_names:  # rows that lead pairs come first in their tile
+            ask = table.column("ask").to_numpy(zero_copy_only=False).astype(bool)
+            order = np.lexsort((~(ask & (side != 1)), tile))
+            tile, key, node, comp, n, side, bits, ask = (x[order] for x in (tile, key, node, comp, n, side, bits, ask))
+            leads = ask & (side != 1)
         first = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
         size = np.diff(np.append(first, len(tile)))
         small, large, of = t.den * n, t.num * n, np.repeat(np.arange(len(first)), size)
-        end = np.repeat(first + size, size)
+        end, begin = np.repeat(first + size, size), np.arange(len(tile)) + 1
+        if not leads.all():
+            others = first + np.add.reduceat(leads.astype(np.int64), first)
+            begin = np.where(side == 0, np.repeat(others, size), begin)
+            end = np.where(leads, end, begin)
         rank = np.unique(comp, return_inverse=True)[1] + of * len(comp)  # components of one tile are its own
 
         def thinned(i: np.ndarray, j: np.ndarray, apart: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -387,12 +403,12 @@ def candidate_tiles(tables: Iterable[pa.Table], t: Threshold, all_pairs: bool) -
                 columns = [pa.array(np.append(a, more)), pa.array(np.append(b, np.zeros(len(more), np.int64))), pa.array(np.arange(len(a) + len(more)) >= len(a))]
                 yield pa.RecordBatch.from_arrays(columns, ["a", "b", "more"])
 
-        work, low = np.cumsum(end - np.arange(len(tile)) - 1), 0
+        work, low = np.cumsum(end - begin), 0
         found, held = np.zeros(len(first), np.int64), [(np.empty(0, np.int64),) * 3]
         while low < len(tile):  # rows with about LOOK_PAIRS pairs
             high = max(low + 1, int(np.searchsorted(work, (work[low - 1] if low else 0) + LOOK_PAIRS, side="right")))
-            i, j = pairs_of_rows(low, high, end, side)
-            near = (comp[i] != comp[j]) & (small[i] >= large[j]) & (small[j] >= large[i])
+            i, j = pairs_of_rows(low, high, begin, end, side)
+            near = (comp[i] != comp[j]) & (small[i] >= large[j]) & (small[j] >= large[i]) & (ask[j] | (n[i] >= n[j]))
             i, j = i[near], j[near]
             apart, kept = sketches_near(bits[i], bits[j], n[i], n[j], t)
             i, j, apart = i[kept], j[kept], apart[kept]
@@ -497,19 +513,27 @@ class JaccardJoin:
     def open_pairs(self, members: DataFrame, comps: DataFrame, texts: DataFrame, all_pairs: bool) -> tuple[DataFrame, DataFrame]:
         """TILED rows for buckets that hold several components, and the members of those buckets."""
         t, tile = self.t, self.tile
-        placed = materialize(join_counted(members, comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "members")
-        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).filter("low < high")
-        mixed = materialize(mixed.select("key", F.ceil(F.col("size") / tile).cast("int").alias("tiles")), "mixed")
+        placed = materialize(join_counted(members, comps, "node", "left").select("key", "node", "ask", F.coalesce("component", "node").alias("component")), "members")
+        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"), F.count_if("ask").alias("asks")).filter("low < high")
+        groups = lambda n: F.when(F.col("size") <= tile, 0).otherwise(F.ceil(n / tile)).cast("int")  # noqa: E731  0, 0: the bucket is one tile
+        mixed = materialize(mixed.select("key", groups(F.col("asks")).alias("asking"), groups(F.col("size") - F.col("asks")).alias("quiet")), "mixed")
         held = materialize(join_counted(placed, mixed, "key"), "mixed-members")
-        rows = held.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+        # a group of asking rows meets itself, every later one and every group of quiet rows, which do not meet
+        upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+        met = lambda c, quiet: F.transform(upto(c), lambda k: F.struct(F.lit(quiet).alias("quiet"), k.alias("group")))
+        rows = held.withColumn("own", F.pmod(F.xxhash64("node"), F.greatest(F.when(F.col("ask"), F.col("asking")).otherwise(F.col("quiet")), F.lit(1))).cast("int"))
         rows = rows.join(texts.select("node", "n", "parity").hint("merge"), "node")
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        whole = F.array(F.struct(F.lit(False).alias("quiet"), F.lit(0).alias("group")))
+        others = F.when(F.col("asking") + F.col("quiet") == 0, whole).when(F.col("ask"), F.concat(met("asking", False), met("quiet", True))).otherwise(met("asking", True))
+        rows = rows.withColumn("other", F.explode(others)).withColumn("group", F.col("other.group"))
+        crossed = F.col("other.quiet")
+        low, high = (F.when(crossed, F.when(F.col("ask"), F.col(a)).otherwise(F.col(b))).otherwise(f("own", "group")) for a, b, f in (("own", "group", F.least), ("group", "own", F.greatest)))
         tiles = rows.select(
-            F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"),
-            F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "key", "node", "component", "n", "parity",
+            F.xxhash64("key", crossed, low, high).alias("tile"),
+            F.when(crossed, F.when(F.col("ask"), 0).otherwise(1)).when(F.col("own") == F.col("group"), 2).when(F.col("own") < F.col("group"), 0).otherwise(1).alias("side"), "key", "node", "component", "n", "ask", "parity",
         )
         out = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(lambda batches: candidate_tiles(whole_tiles(batches), t, all_pairs), TILED)
-        return materialize(out, "tiles"), held.select("key", "node")
+        return materialize(out, "tiles"), held.select("key", "node", "ask")
 
     def components(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
@@ -521,7 +545,7 @@ class JaccardJoin:
         docs = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
         found = self.found(docs)
         pairs = materialize(found.filter(F.col("kind") == PAIR).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
-        members = found.filter(F.col("kind") == MEMBER).select(F.col("x").alias("key"), F.col("y").alias("node")).distinct()
+        members = found.filter(F.col("kind") == MEMBER).groupBy(F.col("x").alias("key"), F.col("y").alias("node")).agg((F.max("z") > 0).alias("ask"))
         texts = self.texts(docs, found, pairs)
         pairs = self.possible(pairs, texts)
         links = self.verified(pairs, texts)

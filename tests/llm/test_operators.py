@@ -396,6 +396,40 @@ def test_large_tiles_are_looked_at_in_parts(monkeypatch):
     assert most <= 200 and {r[0] for r in wanted[False] if r[2]} >= {5}
 
 
+def test_tiles_try_pairs_of_asking_rows_only(monkeypatch):
+    """A large bucket in which few sets ask: before, each of its pairs was tried."""
+    rng, t, looked, plain = np.random.default_rng(6), jaccard.Threshold(80, 100), [], jaccard.pairs_of_rows
+    core = rng.integers(0, 2**63, 60, dtype=np.int64).astype(np.uint64)
+    sets = [np.unique(np.append(rng.permutation(core)[: 56 + k % 4], rng.integers(0, 2**63, 2, dtype=np.int64).astype(np.uint64))) for k in range(200)]
+    ask = [k % 50 == 3 for k in range(200)]
+    whole = pa.table({"tile": [1] * 200, "key": [7] * 200, "side": [2] * 200, "node": range(200), "component": range(200), "n": [len(s) for s in sets], "ask": ask, "parity": [jaccard.parity(s) for s in sets]})
+    all_pairs = pa.Table.from_batches(jaccard.candidate_tiles([whole.drop_columns("ask")], t, True)).to_pydict()
+    larger = {(a, b) for a, b in zip(all_pairs["a"], all_pairs["b"], strict=True) if (ask[a] and len(sets[a]) >= len(sets[b])) or (ask[b] and len(sets[b]) >= len(sets[a]))}
+    monkeypatch.setattr(jaccard, "pairs_of_rows", lambda *x: looked.append(len((y := plain(*x))[0])) or y)
+    for side, want in (([2] * 200, larger), ([0 if x else 1 for x in ask], {(a, b) for a, b in larger if ask[a] != ask[b]})):
+        looked.clear()
+        got = pa.Table.from_batches(jaccard.candidate_tiles([whole.set_column(2, "side", pa.array(side))], t, True)).to_pydict()
+        assert set(zip(got["a"], got["b"], strict=True)) == want and len(got["a"]) == len(want) > 50
+        assert sum(looked) <= 4 * 199
+
+
+@pytest.mark.parametrize(("size", "num"), [(4, 85), (5, 80)])
+def test_the_larger_set_of_a_link_asks(size, num):
+    """Sets around a core, many in a bucket: each link is a pair of some bucket in which the larger set asks."""
+    rng, t = random.Random(size + 50), jaccard.Threshold(num, 100)
+    core = [b"w%d" % rng.randrange(10**6) for _ in range(90)]
+    texts = [[w if rng.random() > 0.02 else b"x%d" % rng.randrange(10**6) for w in core[: rng.randint(70, 90)]] for _ in range(60)]
+    sets = {jaccard.node_of(x): x for x in (jaccard.shingles(w, size) for w in texts)}
+    sig = [jaccard.signatures(x, t, f) for x, f in zip(sets.values(), jaccard.frequencies(list(sets.values())), strict=True)]
+    key, node, _, ask = jaccard.asked_buckets(np.concatenate(sig), np.repeat(np.array(list(sets), np.int64), [len(x) for x in sig]))
+    bucket: dict = {}
+    for k, n, a in zip(key.tolist(), node.tolist(), ask.tolist(), strict=True):
+        bucket.setdefault(k, []).append((n, a))
+    met = {(a, b) for rows in bucket.values() for a, asks in rows for b, _ in rows if asks and a != b and len(sets[a]) >= len(sets[b])}
+    links = [(a, b) for a in sets for b in sets if a < b and t.links(sets[a], sets[b])]
+    assert len(links) > 50 and all((a, b) in met or (b, a) in met for a, b in links) and not ask.all()
+
+
 def test_only_possible_pairs_meet_as_texts(spark, monkeypatch):
     """Texts that share a passage and no more are told apart by their sketches before any text is compared."""
     rng, seen = random.Random(23), []
