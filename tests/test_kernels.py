@@ -519,6 +519,23 @@ def test_flow_keeps_its_arcs_in_a_file(spark):
     assert all(got[v] == got[before[v]] + price[v] for v in settled[1:])
 
 
+def test_arcs_of_a_flow_are_exchanged_once_and_packed(spark, monkeypatch):
+    """One exchange of three columns, of parallel arcs the cheapest, and a file of fewer than eight bytes an arc; before, two exchanges and sixteen bytes."""
+    import pyarrow as pa
+
+    plans, plain = [], fl.materialize
+    monkeypatch.setattr(fl, "materialize", lambda df, tag: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, tag))
+    arcs = frame(spark, [(0, 1, 5, 1, 9, False, 1.0), (0, 1, 4, 1, 9, False, 1.0), (1, 2, 3, 1, 9, False, 1.0), (0, 2, 1, 0, 9, False, 1.0)], "tail long, head long, unit_cost long, capacity int, pair_cost int, pinned boolean, km double")
+    demands = frame(spark, [(2, 7)], "node long, demand long")
+    assert sorted(map(tuple, fl.cheapest_flow(arcs, 0, demands).collect())) == [(0, 1, 7, 4), (1, 2, 7, 3)]
+    assert plans[0].count("Exchange hashpartitioning") == 1
+    rng = np.random.default_rng(3)
+    heads = [np.sort(rng.choice(900, 300, replace=False)) for _ in range(20)]
+    batches = [pa.record_batch({"tail": np.full(300, k), "head": h, "unit_cost": 60 + np.abs(h - 450) // 4}) for k, h in enumerate(heads)]
+    file = fl.ArcFile(iter(batches), np.array([0]))
+    assert file.file.tell() < 8 * 20 * 300 and all((file.nodes[file.arcs_of(int(np.searchsorted(file.nodes, k)))[0]] == h).all() for k, h in enumerate(heads))
+
+
 def test_bit_matrix(spark, tmp_path):
     m = np.zeros((9, 9), np.uint8)
     m[0, 8] = m[4, 1] = m[8, 8] = 1
