@@ -536,6 +536,17 @@ def test_arcs_of_a_flow_are_exchanged_once_and_packed(spark, monkeypatch):
     assert file.file.tell() < 8 * 20 * 300 and all((file.nodes[file.arcs_of(int(np.searchsorted(file.nodes, k)))[0]] == h).all() for k, h in enumerate(heads))
 
 
+def test_pins_do_not_exchange_arcs(spark):
+    """A few pins take the place of their arcs or stand alone; before, all arcs were exchanged and sorted to meet them."""
+    from ridgeplan.operators import devices as dev
+
+    arcs = frame(spark, [(0, 1, 5, 3, 8), (1, 2, 6, 3, 8), (2, 0, 7, 3, 8)], "tail long, head long, unit_cost long, capacity int, device_id int")
+    pinned = frame(spark, [(1, 2, 0, 4), (5, 6, 9, None)], "tail long, head long, throughput int, device_id int")
+    got = dev.pinned_overlay(arcs, pinned, 100)
+    assert sorted(map(tuple, got.collect()), key=str) == [(0, 1, 5, 3, 8, False), (1, 2, 0, 100, 4, True), (2, 0, 7, 3, 8, False), (5, 6, 0, 9, None, True)]
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bit_matrix(spark, tmp_path):
     m = np.zeros((9, 9), np.uint8)
     m[0, 8] = m[4, 1] = m[8, 8] = 1
